@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import decode, encode
 from .common import table
+from .near_dedup import near_duplicates
 from .packing import pack, token_pieces
 from .suffix_dedup import suffix_dedup
 
@@ -34,10 +35,14 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1, size=2048)
     return pack(pieces, size=2048).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op5_byte_bpe, op8_packing)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op5_byte_bpe, op6_near_dedup, op8_packing)}
 ORACLE_SQL: dict[str, str] = {}
