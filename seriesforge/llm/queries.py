@@ -12,6 +12,7 @@ from .common import table
 from .knn_join import top_inner_products
 from .near_dedup import near_duplicates
 from .packing import pack, token_pieces
+from .pii import BASE, describe, find_pii
 from .suffix_dedup import suffix_dedup
 
 
@@ -54,7 +55,15 @@ def op9_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op3_ann, op5_byte_bpe, op6_near_dedup, op8_packing, op9_knn_join)}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(table(spark, sf_dir, "documents"))
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    counts = [of(kind).alias(f"n_{kind}") for kind in BASE]
+    base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
+    return found.select("doc_id", *counts, F.sha2(describe(base), 256).alias("base_sha256"), describe(F.col("spans")).alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op3_ann, op5_byte_bpe, op6_near_dedup, op8_packing, op9_knn_join, op10_pii)}
 _VECTORS = "SELECT vec_id, min(embedding::DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id"
 
 ORACLE_SQL = {
