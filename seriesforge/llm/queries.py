@@ -10,6 +10,7 @@ from .ann import nearest
 from .byte_bpe import decode, encode
 from .common import table
 from .knn_join import top_inner_products
+from .license_scan import scan_licenses
 from .near_dedup import near_duplicates
 from .packing import pack, token_pieces
 from .pii import BASE, describe, find_pii
@@ -31,6 +32,23 @@ def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score is 1 where a whole template stands, 0.5 where only base phrases do, else 0."""
+    base = F.filter("spans", lambda s: s["base"])
+    starts = F.transform(base, lambda s: s["start"])
+    labels = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
+    return scan_licenses(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        labels(base).alias("base_labels"),
+        labels(F.col("spans")).alias("labels"),
+        F.when(F.exists("spans", lambda s: ~s["base"]), 1.0).when(F.size("spans") > 0, 0.5).otherwise(0.0).alias("score"),
+    )
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     out = decode(encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
@@ -63,7 +81,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(describe(base), 256).alias("base_sha256"), describe(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op3_ann, op5_byte_bpe, op6_near_dedup, op8_packing, op9_knn_join, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op3_ann, op4_license_scan, op5_byte_bpe, op6_near_dedup, op8_packing, op9_knn_join, op10_pii)}
 _VECTORS = "SELECT vec_id, min(embedding::DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id"
 
 ORACLE_SQL = {
