@@ -281,17 +281,17 @@ def _links(node: Node) -> int:
 
 def content(tree: Node, is_template=lambda node, text: False) -> list[tuple[Node, str]]:
     """The blocks of a page's main part that aren't template."""
-    size = lambda n, inside=True: sum(len(t) for o, t in _walk(n, inside) if not is_template(o, t))
+    size = lambda n: sum(len(t) for o, t in _walk(n) if not is_template(o, t))
     for test in (lambda n: n.tag == "article", lambda n: n.tag == "main" or "main" in n.words, lambda n: n.tag in ("div", "section", "td") and not _MAIN.isdisjoint(n.words)):
-        found = [(size(n), n) for n in _find(tree, test)]
-        most = max((s for s, _ in found), default=0)
-        if most:
-            return [x for s, n in found if s >= most / 4 for x in _walk(n, True) if not is_template(*x)]
+        found = [[x for x in _walk(n, True) if not is_template(*x)] for n in _find(tree, test)]
+        sizes = [sum(len(t) for _, t in blocks) for blocks in found]
+        if any(sizes):
+            return [x for blocks, n in zip(found, sizes, strict=True) if n >= max(sizes) / 4 for x in blocks]
     node = next(iter(_find(tree, lambda n: n.tag == "body")), tree)
     while True:  # down to where the varying text is
         kids = [k for k in node.kids if type(k) is Node and k.tag in _BLOCK and k.tag != "p" and not k.drop]
-        best = max(kids, key=lambda n: size(n, False), default=None)
-        if best is None or size(best, False) < 0.7 * size(node, False):
+        best = max(kids, key=size, default=None)
+        if best is None or size(best) < 0.7 * size(node):
             break
         node = best
     blocks = [x for x in _walk(node) if not is_template(*x)]

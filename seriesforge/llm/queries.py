@@ -15,6 +15,7 @@ from .license_scan import scan_licenses
 from .near_dedup import near_duplicates
 from .packing import pack, token_pieces
 from .pii import BASE, describe, find_pii
+from .quality import score_quality
 from .suffix_dedup import suffix_dedup
 
 
@@ -69,6 +70,10 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1, size=2048)
     return pack(pieces, size=2048).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -86,7 +91,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(describe(base), 256).alias("base_sha256"), describe(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_html_extract, op3_ann, op4_license_scan, op5_byte_bpe, op6_near_dedup, op8_packing, op9_knn_join, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_html_extract, op3_ann, op4_license_scan, op5_byte_bpe, op6_near_dedup, op7_quality, op8_packing, op9_knn_join, op10_pii)}
 _VECTORS = "SELECT vec_id, min(embedding::DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id"
 
 ORACLE_SQL = {
