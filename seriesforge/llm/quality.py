@@ -104,11 +104,11 @@ def features(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _featurise(carry: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in C.slices(batches):
         x = features(*C.text_bytes(batch.column("text")))
         flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * SIZE), len(x), [None, pa.py_buffer(np.ascontiguousarray(x))]).cast(pa.binary())
-        yield pa.record_batch([batch.column("doc_id"), flat] + ([batch.column("row")] if carry else []), names=["doc_id", "features"] + ["row"] * carry)
+        yield pa.record_batch([batch.column("doc_id"), flat], names=["doc_id", "features"])
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -148,11 +148,14 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
 
 
 def _score(model: Model | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        x = _matrix(batch.column("features"))
-        score = model.score(x) if model else np.full(len(x), 0.5)
-        rest = [n for n in batch.schema.names if n != "features"]
-        yield pa.record_batch([*(batch.column(n) for n in rest), pa.array(score.astype(np.float64))], names=[*rest, "score"])
+    """From stored features, or for rows that carry others, from the text itself."""
+    for whole in batches:
+        stored = "features" in whole.schema.names
+        for batch in [whole] if stored else C.slices([whole]):
+            x = _matrix(batch.column("features")) if stored else features(*C.text_bytes(batch.column("text")))
+            score = model.score(x) if model else np.full(len(x), 0.5)
+            rest = [n for n in ("doc_id", "row") if n in batch.schema.names]
+            yield pa.record_batch([*(batch.column(n) for n in rest), pa.array(score.astype(np.float64))], names=[*rest, "score"])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -163,7 +166,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, ca
     """doc_id, held_out, score and predicted (1 if score >= threshold). Labels of held-out rows are never read."""
     df = C.with_text(docs, carry)
     kind = f", row {df.schema['row'].dataType.simpleString()}" if carry else ""
-    made = C.stage(df.mapInArrow(functools.partial(_featurise, bool(carry)), f"doc_id long, features binary{kind}"), "features")
+    made = C.stage(df.select("doc_id", "text").mapInArrow(_featurise, "doc_id long, features binary"), "features")
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     marks = marks.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     n, ones = marks.agg(F.count("*"), F.coalesce(F.sum("quality"), F.lit(0))).first()
@@ -176,6 +179,6 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, ca
         unlabelled = pick(known.where(~held_out(F.col("doc_id"))), known.count())
         if positive.num_rows and unlabelled.num_rows:
             model = fit(*(_matrix(t.column(0).combine_chunks()) for t in (positive, unlabelled)), min(0.95, max(0.05, ones / n)))
-    out = made.mapInArrow(functools.partial(_score, model), f"doc_id long{kind}, score double")
+    out = (df if carry else made).mapInArrow(functools.partial(_score, model), f"doc_id long{kind}, score double")
     cols = ["row"] if carry else []
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *cols)
