@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("relational",)
+MODULES = ("relational", "windowed")
 
 
 def all_queries():
