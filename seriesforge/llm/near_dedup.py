@@ -14,10 +14,16 @@ equal sets form a class, of which only the least doc_id goes on.
 3. Confirmation. Pairs whose registers, corrected for those that agree by
    collision, put the similarity clearly below the threshold are dropped (by
    over six standard deviations); the others are compared on their full sets.
-   First each document is compared with the least of its buckets' documents, at
-   most two pairs each; most of a group of copies is then one component. Then
-   every pair that shares a bucket and isn't in one component yet is compared,
-   so no link between components is missed, however large the bucket.
+   First each document is compared with two of its buckets' documents: the
+   least, and the one whose buckets are fullest, which in a group of copies is
+   the text they stem from. Most of a group is then one component.
+   What is left are buckets with several components. Documents that such
+   buckets connect form a family; its largest component is its main one, and
+   each document outside the main one is compared with every other of the
+   family. A family is dealt out in blocks of about BLOCK by BLOCK documents,
+   whose registers are compared as matrices; no pairs are written but links
+   that join components. So no link between components is missed, and a group
+   of copies costs no more than its size times its strays.
 4. Links are joined to components by shuffles of edges.
 
 Words are separated by white space, and A-Z are lower-cased. Documents without
@@ -46,6 +52,8 @@ LARGE_FROM, SMALL_TO = 52, 80
 EMPTY = np.uint16(0xFFFF)
 #: How far below the threshold an estimate must lie for a pair not to be compared.
 MARGIN = 0.2
+#: Documents on either side of a block.
+BLOCK = 256
 
 
 @functools.cache
@@ -243,19 +251,88 @@ def _sets(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.record_batch([batch.column("doc_id"), pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(h))])], names=["doc_id", "shingles"])
 
 
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    return int((both[1:] == both[:-1]).sum())
+
+
 def _confirm(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
         for x, y in zip(batch.column("shingles_a"), batch.column("shingles_b"), strict=True):
             x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = np.concatenate([x, y])
-            both.sort(kind="stable")
-            common = int((both[1:] == both[:-1]).sum())
-            keep.append(100 * common >= percent * (len(both) - common))
+            common = _common(x, y)
+            keep.append(100 * common >= percent * (len(x) + len(y) - common))
         mask = pa.array(keep, pa.bool_())
         yield pa.record_batch([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
 
 
+def _block(percent: int, held: pa.Table) -> list[tuple[int, int]]:
+    """Links of a block's strays with its other documents, as far as they join components."""
+    held = held.combine_chunks()
+    column = lambda c: held.column(c).combine_chunks() if isinstance(held.column(c), pa.ChunkedArray) else held.column(c)
+    stray = column("stray").to_numpy(zero_copy_only=False)
+    ids, component, n = (column(c).to_numpy() for c in ("doc_id", "component", "n"))
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in column("shingles")]
+    s, m = np.flatnonzero(stray), np.flatnonzero(~stray)
+    if not len(s) or not len(m):
+        return []
+    best = np.full((len(s), len(m)), -1.0)
+    for kind in ("small", "large"):
+        known = column(kind).is_valid().to_numpy(zero_copy_only=False)
+        regs = np.full((len(ids), REGISTERS), EMPTY, np.uint16)
+        regs[known] = _registers(column(kind))
+        ok = np.flatnonzero(known[m])
+        for i in np.flatnonzero(known[s]):
+            best[i, ok] = np.maximum(best[i, ok], similarity(regs[s[i]][None, :], regs[m[ok]], n[s[i]], n[m[ok]].astype(float)))
+    sizes = 100 * np.minimum(n[s][:, None], n[m][None, :]) >= percent * np.maximum(n[s][:, None], n[m][None, :])
+    best[~sizes | (component[s][:, None] == component[m][None, :])] = -1
+    parent: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while parent.get(c, c) != c:
+            c = parent[c]
+        return c
+
+    links = []
+    for i in range(len(s)):
+        order = np.argsort(-best[i], kind="stable")
+        for j in order[: int((best[i] >= percent / 100 - MARGIN).sum())]:
+            p, q = root(int(component[s[i]])), root(int(component[m[j]]))
+            if p != q:
+                common = _common(sets[s[i]], sets[m[j]])
+                if 100 * common >= percent * (len(sets[s[i]]) + len(sets[m[j]]) - common):
+                    parent[max(p, q)] = min(p, q)
+                    links.append((int(ids[s[i]]), int(ids[m[j]])))
+    return links
+
+
+def _blocks(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by block; one block at a time is held."""
+    held: list[pa.RecordBatch] = []
+    last = None
+
+    def done() -> pa.RecordBatch:
+        links = _block(percent, pa.Table.from_batches(held))
+        return pa.record_batch([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)], 1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            key = tuple(keys[lo])
+            if held and key != last:
+                yield done()
+                held.clear()
+            held.append(batch.slice(lo, hi - lo))
+            last = key
+    if held:
+        yield done()
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """Links documents whose shingle sets have intersection / union of at least percent / 100.
 
@@ -272,31 +349,42 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     shared = C.stage(bands.join(buckets, "band"), "buckets")
 
     registers = known.select("doc_id", F.col("n_shingles").alias("n"), "small", "large")
-
-    def links(pairs: DataFrame) -> DataFrame:
-        a = registers.select(*(F.col(c).alias({"doc_id": "a", "n": "n"}.get(c, f"{c}_a")) for c in registers.columns))
-        b = registers.select(*(F.col(c).alias({"doc_id": "b", "n": "m"}.get(c, f"{c}_b")) for c in registers.columns))
-        sized = pairs.join(a, "a").join(b, "b").where(F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)"))
-        likely = C.stage(sized.mapInArrow(functools.partial(_screen, percent / 100 - MARGIN), "a long, b long"), "likely")
-        ids = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        sets = C.stage(texts.join(ids, "doc_id", "left_semi").mapInArrow(functools.partial(_sets, shingle), "doc_id long, shingles binary"), "sets")
-        full = likely.join(sets.toDF("a", "shingles_a"), "a").join(sets.toDF("b", "shingles_b"), "b")
-        return C.stage(full.mapInArrow(functools.partial(_confirm, percent), "a long, b long").distinct(), "links")
-
-    partners = shared.where("first < doc_id").groupBy("doc_id").agg(F.min("first").alias("x"), F.max("first").alias("y"))
-    near = C.stage(partners.select(F.explode(F.array_distinct(F.array("x", "y"))).alias("a"), F.col("doc_id").alias("b")), "partners")
-    found = links(near)
+    sets = C.stage(texts.join(shared.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(functools.partial(_sets, shingle), "doc_id long, shingles binary"), "sets")
+
+    load = shared.groupBy("band").agg(F.count("*").alias("full"))
+    central = shared.join(load, "band").groupBy("doc_id").agg(F.sum("full").alias("weight"))
+    weighed = C.stage(shared.join(central, "doc_id"), "weighed")
+    hubs = weighed.groupBy("band").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("neg"))).alias("hub"))
+    met = weighed.join(hubs, "band")
+    hub = -F.max(F.when(-F.col("hub.neg") != F.col("doc_id"), F.col("hub")))["neg"]
+    partners = met.groupBy("doc_id").agg(F.min("first").alias("x"), hub.alias("y")).select("doc_id", F.explode(F.array_distinct(F.array("x", "y"))).alias("z")).where("z is not null and z != doc_id")
+    near = partners.select(F.least("doc_id", "z").alias("a"), F.greatest("doc_id", "z").alias("b")).distinct()
+    a, b = (registers.toDF(x, n, f"small_{x}", f"large_{x}") for x, n in (("a", "n"), ("b", "m")))
+    sized = near.join(a, "a").join(b, "b").where(F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)"))
+    likely = C.stage(sized.mapInArrow(functools.partial(_screen, percent / 100 - MARGIN), "a long, b long"), "likely")
+    full = likely.join(sets.toDF("a", "shingles_a"), "a").join(sets.toDF("b", "shingles_b"), "b")
+    found = C.stage(full.mapInArrow(functools.partial(_confirm, percent), "a long, b long").distinct(), "links")
     joined = components(found)
 
-    # pairs of a bucket that are not in one component yet
-    placed = shared.select("band", "doc_id").join(joined, "doc_id", "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    sizes = placed.groupBy("band", "component").agg(F.count("*").alias("n"))
-    mains = C.stage(sizes.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("band", "main"), "mains")
-    mixed = C.stage(placed.join(mains, "band"), "mixed")
-    stray = mixed.where("component != main").select("band", F.col("doc_id").alias("s"), F.col("component").alias("s_component"))
-    across = mixed.join(stray, "band").where("component != s_component and (component = main or doc_id < s)")
-    rest = across.select(F.least("doc_id", "s").alias("a"), F.greatest("doc_id", "s").alias("b")).distinct().join(near, ["a", "b"], "left_anti")
-    more = links(rest)
+    # families: documents of buckets that hold several components
+    placed = met.select("band", "doc_id", (-F.col("hub.neg")).alias("hub")).join(joined, "doc_id", "left").select("band", "doc_id", "hub", F.coalesce("component", "doc_id").alias("component"))
+    mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
+    mixed = C.stage(placed.join(mixed, "band").select("doc_id", "hub", "component").distinct(), "mixed")
+    families = components(mixed.select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("component", "family")
+    kin = mixed.select("doc_id", "component").distinct().join(families, "doc_id", "left").withColumn("family", F.coalesce("family", "doc_id"))
+    kin = C.stage(kin, "kin")
+    sizes = kin.groupBy("family", "component").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("strays")).where("strays > 0")
+    parts = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    dealt = kin.join(sizes.select("family", "main", parts("all").alias("m"), parts("strays").alias("s")), "family")
+    chunk = lambda c, seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    stray = dealt.where("component != main").select("family", "doc_id", "component", F.lit(True).alias("stray"), chunk("s", 1).alias("sp"), "m").withColumn("mp", every("m")).drop("m")
+    whole = dealt.select("family", "doc_id", "component", F.lit(False).alias("stray"), chunk("m", 2).alias("mp"), "s").withColumn("sp", every("s")).drop("s")
+    blocks = stray.unionByName(whole).join(registers, "doc_id").join(sets, "doc_id").select("family", "sp", "mp", "stray", "doc_id", "component", "n", "small", "large", "shingles")
+    keys = ["family", "sp", "mp"]
+    more = blocks.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(functools.partial(_blocks, percent), "a long, b long")
+    more = C.stage(more, "more")
     joined = components(found.unionByName(more)) if more.limit(1).count() else joined
 
     member = classes.join(joined.withColumnRenamed("doc_id", "leader"), "leader", "left").select("k1", "k2", "n_shingles", F.coalesce("component", "leader").alias("component_id"))

@@ -57,13 +57,15 @@ def test_against_brute_force(spark, seed, n):
     assert got == brute(rows, n)
 
 
-def test_large_group_of_near_copies_and_a_chain(spark):
+@pytest.mark.parametrize("block", [256, 7])
+def test_large_group_of_near_copies_and_a_chain(spark, monkeypatch, block):
+    monkeypatch.setattr(N, "BLOCK", block)
     r = random.Random(8)
     base = [f"v{r.randint(0, 5000)}" for _ in range(200)]
     rows = []
     for i in range(150):
         words = list(base)
-        for _ in range(r.randint(0, 9)):
+        for _ in range(r.randint(0, 14)):
             words[r.randrange(200)] = f"u{r.randint(0, 9999)}"
         rows.append((1000 - i, " ".join(words)))
     words = [f"c{i}" for i in range(200)]
