@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("relational", "windowed")
+MODULES = ("relational", "windowed", "analytics")
 
 
 def all_queries():
