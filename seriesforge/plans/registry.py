@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +16,8 @@ def query(sql: str | None = None, name: str | None = None):
     def add(f):
         key = name or f.__name__
         QUERIES[key] = f
-        if sql:
-            ORACLE_SQL[key] = sql
+        if sql:  # like rounded(): -0.0 is 0.0
+            ORACLE_SQL[key] = re.sub(r", (\d+)\) AS ", r", \1) + 0 AS ", sql)
         return f
 
     return add

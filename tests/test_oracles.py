@@ -1,13 +1,14 @@
 """Every query with an oracle against DuckDB; the others must give rows."""
 
 import glob
+import os
 import math
 
 import pytest
 
 from __spark_entry__ import oracle_sql, queries
 
-DATA = "/root/testdata/sf0.001"
+DATA = os.environ.get("ORACLE_DATA", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 NAMES = [n for n in queries() if not n.startswith("op") and n != "pipeline"]
 EMPTY = {"filter_matches"}
