@@ -137,19 +137,17 @@ def density_and_clustering(net: DataFrame, entities: DataFrame) -> DataFrame:
     return j.select("nodes", "edges", F.coalesce(2 * F.col("edges") / F.nullif(n * (n - 1), F.lit(0)), F.lit(0.0)).alias("density"), F.coalesce(F.col("c") / F.nullif(n, F.lit(0)), F.lit(0.0)).alias("clustering"))
 
 
-def eigenvector_centrality(net: DataFrame, rounds: int = 50) -> DataFrame:
-    """By power iteration as joins; the plan is cut every few rounds by a checkpoint."""
-    both = net.select("a", "b", "weight").unionByName(net.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")).cache()
+def eigenvector_centrality(net: DataFrame, rounds: int = 50, every: int = 5) -> DataFrame:
+    """By power iteration as joins; each few rounds the values are scaled and a checkpoint cuts the plan."""
+    both = net.select("a", "b", "weight").unionByName(net.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")).checkpoint()
     v = both.select(F.col("a").alias(KEY)).distinct().withColumn("x", F.lit(1.0))
-    for i in range(rounds):
+    for i in range(1, rounds + 1):
         y = both.join(v, both.b == v[KEY]).groupBy("a").agg(F.sum(F.col("weight") * F.col("x")).alias("y"))
-        y = y.join(v.withColumnRenamed(KEY, "a"), "a").select(F.col("a").alias(KEY), (F.col("y") + F.col("x")).alias("x"))  # the shift keeps two-sided networks from swinging
-        norm = y.agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("n")).first()["n"]
-        if not norm:
-            return v
-        v = y.withColumn("x", F.col("x") / norm)
-        if i % 5 == 4:
+        v = y.join(v.withColumnRenamed(KEY, "a"), "a").select(F.col("a").alias(KEY), (F.col("y") + F.col("x")).alias("x"))  # the shift keeps two-sided networks from swinging
+        if i % every == 0 or i == rounds:
             v = v.checkpoint()
+            norm = v.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0]
+            v = v.withColumn("x", F.col("x") / (norm or 1.0))
     return v.withColumnRenamed("x", "centrality")
 
 

@@ -144,6 +144,18 @@ def calendar(ts: Column) -> dict[str, Column]:
     }
 
 
+#: Month and day of fixed holidays, and of the ends of sessions. Fixed values.
+HOLIDAYS = [(1, 1), (6, 19), (7, 4), (11, 11), (12, 25)]
+SESSION_ENDS = [(7, 31), (12, 31)]
+
+
+def days_to(day: Column, dates: list[tuple[int, int]]) -> Column:
+    """Days to the next of these dates of the year, 0 on one."""
+    year = F.year(day)
+    at = lambda y, m, d: F.make_date(y, F.lit(m), F.lit(d))
+    return F.datediff(F.least(*(F.when(at(year, m, d) >= day, at(year, m, d)).otherwise(at(year + 1, m, d)) for m, d in dates)), day)
+
+
 def drawdown(curve: Column) -> Column:
     peak = F.max(curve).over(by_time().rowsBetween(Window.unboundedPreceding, 0))
     return (curve - peak) / F.nullif(peak, F.lit(0.0))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("relational", "windowed", "analytics")
+MODULES = ("relational", "windowed", "analytics", "more")
 
 
 def all_queries():

@@ -114,7 +114,7 @@ def volume_features(spark, d):
     return m.select("entity", "idx", *(F.round(I.sma(v, n), 4).alias(f"volume_sma_{n}") for n in (5, 10, 20, 50)), *(F.round(v / I.sma(v, n), 6).alias(f"volume_ratio_{n}") for n in (20, 50)), F.round(dollars, 2).alias("dollar_volume_20"))
 
 
-@query(f"WITH {TRADES} SELECT event_id, " + ", ".join(f"count(*) OVER (PARTITION BY entity ORDER BY epoch(ts)::BIGINT RANGE BETWEEN {n * 86400 - 1} PRECEDING AND CURRENT ROW) AS n_{n}" for n in (7, 30, 90, 180)) + ", date_diff('day', CAST(min(ts) OVER (PARTITION BY entity) AS DATE), CAST(ts AS DATE)) AS days_since_first, date_diff('day', CAST(lag(ts) OVER (PARTITION BY entity ORDER BY ts, event_id) AS DATE), CAST(ts AS DATE)) AS days_since_last FROM trades".replace("epoch(ts)::BIGINT", "CAST(floor(epoch(ts)) AS BIGINT)"))
+@query(f"WITH {TRADES} SELECT event_id, " + ", ".join(f"count(*) OVER (PARTITION BY entity ORDER BY CAST(floor(epoch(ts)) AS BIGINT) RANGE BETWEEN {n * 86400 - 1} PRECEDING AND CURRENT ROW) AS n_{n}" for n in (7, 30, 90, 180)) + ", date_diff('day', CAST(min(ts) OVER (PARTITION BY entity) AS DATE), CAST(ts AS DATE)) AS days_since_first, date_diff('day', CAST(lag(ts) OVER (PARTITION BY entity ORDER BY ts, event_id) AS DATE), CAST(ts AS DATE)) AS days_since_last FROM trades")
 def trades_last_nd(spark, d):
     t = trades(spark, d)
     first = F.datediff("ts", F.min("ts").over(Window.partitionBy("entity")))
