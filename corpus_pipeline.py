@@ -7,10 +7,7 @@ the stages that compare documents untouched.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import public_tokenizers
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,17 +37,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
-def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [None if b is None else b.decode("utf-8", "ignore") for b in batch.column("kept").to_pylist()]  # a cut may split a character
-        yield pa.record_batch([pa.array(texts, pa.string()), batch.column("row")], names=["whole", "row"])
-
-
 def suffix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of at least 100 bytes that stand earlier in the corpus are cut."""
-    made = suffix_dedup(docs, length=100, carry=docs.columns)
-    kind = made.schema["row"].dataType.simpleString()
-    return _rebuilt(made.select("kept", "row").mapInArrow(_decoded, f"whole string, row {kind}"), docs, F.col("whole"))
+    return _rebuilt(suffix_dedup(docs, length=100, carry=docs.columns, as_text=True), docs, F.col("kept"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

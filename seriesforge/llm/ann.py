@@ -26,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common as C
 from . import vectors as V
 
 #: Rows that the codebooks are fitted to, at most.
 TRAINING = 8192
-M, WORDS, BEAM, SHORT = 8, 256, 4, 192
+M, WORDS, BEAM, SHORT = 8, 256, 4, 512
 
 
 def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> np.ndarray:
@@ -86,6 +87,7 @@ def fit(x: np.ndarray, m: int = M, words: int = WORDS, rounds: int = 2, seed: in
     return out
 
 
+@C.tidy
 def _pack(books: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     dim = books.shape[2]
     for batch in batches:
@@ -98,6 +100,7 @@ def _pack(books: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
             yield pa.record_batch([pa.array([int(ids[0])]), *(pa.array([c], pa.binary()) for c in cells)], names=["chunk", "ids", "codes", "norms", "vectors"])
 
 
+@C.tidy
 def _search(books: np.ndarray, k: int, short: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     m, words, dim = books.shape
     for batch in batches:

@@ -207,6 +207,7 @@ def _pattern(pattern: str):
     return regex.compile(pattern).findall
 
 
+@C.tidy
 def _encode(path: str, pattern: str, carry: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     v, find = vocabulary(path), _pattern(pattern)
     for batch in C.slices(batches):
@@ -219,6 +220,7 @@ def _encode(path: str, pattern: str, carry: bool, batches: Iterator[pa.RecordBat
         yield pa.record_batch(cols + ([batch.column("row")] if carry else []), names=["doc_id", "ids"] + ["row"] * carry)
 
 
+@C.tidy
 def _decode(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     v = vocabulary(path)
     for batch in batches:

@@ -6,6 +6,8 @@ of each document, so that hashing runs over whole batches and not row by row.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 import tempfile
 import uuid
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task hashes at once; numpy needs about 60 times as much.
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +74,23 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             lo = hi
 
 
+def tidy(job):
+    """A task function over batches that gives memory back when it ends, since Spark keeps the worker for other tasks."""
+
+    @functools.wraps(job)
+    def run(*args):
+        try:
+            yield from job(*args)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # not this C library
+                pass
+
+    return run
+
+
 def table_of_words(seed: int) -> np.ndarray:
     """256 odd 64-bit numbers, one for each byte."""
     return np.random.default_rng(seed).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

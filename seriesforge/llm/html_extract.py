@@ -36,6 +36,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common as C
+
 CONSTANT, LEAST_PAGES = 0.95, 10
 BROADCAST = 16 << 20
 CELLS = 40_000
@@ -315,6 +317,7 @@ def _rows(batch: pa.RecordBatch, sent: dict, column: str) -> Iterator[tuple]:
         yield i, host, text, own[i] if own else sent.get(host)
 
 
+@C.tidy
 def _slots(references: dict[str, str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = set()
@@ -329,6 +332,7 @@ def _slots(references: dict[str, str], batches: Iterator[pa.RecordBatch]) -> Ite
             yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["host", "slot", "words", "page"])
 
 
+@C.tidy
 def _extract(references: dict[str, str], templates: dict[str, list], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []

@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common as C
 from . import vectors as V
 
 PIVOTS = 256
@@ -44,6 +45,7 @@ def _inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a.astype(np.int64) @ b.astype(np.int64).T
 
 
+@C.tidy
 def _cells(scale: int, k: int, pivots: np.ndarray, pivot_ids: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     norms = (pivots**2).sum(1)
     for batch in batches:
@@ -60,6 +62,7 @@ def _cells(scale: int, k: int, pivots: np.ndarray, pivot_ids: np.ndarray, batche
         yield pa.record_batch([batch.column("vec_id"), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), flat), pa.array(cell.astype(np.int32)), pa.array(radius), pa.array(kth)], names=["vec_id", "embedding", "cell", "radius", "kth"])
 
 
+@C.tidy
 def _pack(dim: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by cell: chunks of one cell each."""
     for batch in batches:
@@ -71,6 +74,7 @@ def _pack(dim: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.record_batch([pa.array([int(cell[lo])], pa.int32()), pa.array([int(ids[0])]), pa.array([ids.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], names=["cell", "chunk", "ids", "vectors"])
 
 
+@C.tidy
 def _solve(k: int, pivots: np.ndarray, radius: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     dim = pivots.shape[1]
     for batch in batches:

@@ -148,6 +148,7 @@ class _Words:
         return out
 
 
+@C.tidy
 def _scan(templates: dict[str, str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     machines = {label: Automaton(t) for label, t in templates.items()}
     starts_with: dict[tuple[str, ...], list[str]] = {}

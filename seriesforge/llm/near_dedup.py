@@ -66,8 +66,13 @@ def _byte_tables() -> tuple[np.ndarray, np.ndarray]:
     return value, space
 
 
-@functools.lru_cache(maxsize=2)
+_table: list[tuple[np.ndarray, np.ndarray]] = []
+
+
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least so many powers of BASE and of its inverse; a worker keeps those of a slice."""
+    if _table and len(_table[0][0]) >= size:
+        return _table[0]
     out = []
     for base in (BASE, UNBASE):
         p = np.ones(size, np.uint64)
@@ -76,6 +81,8 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
             p[n : 2 * n] = p[: min(n, size - n)] * C.power(base, n)
             n *= 2
         out.append(p)
+    if size <= 2 * C.SLICE_BYTES:
+        _table[:] = [(out[0], out[1])]
     return out[0], out[1]
 
 
@@ -84,7 +91,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     value, space = _byte_tables()
-    up, down = _powers(1 << max(10, len(data).bit_length()))
+    up, down = _powers(max(len(data), C.SLICE_BYTES))
     inside = ~space[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[starts] = True  # words end with their document
@@ -170,6 +177,7 @@ def _binaries(values: np.ndarray, rows: np.ndarray, n: int) -> pa.Array:
     return flat.cast(pa.binary()).take(pa.array(at, mask=at < 0))
 
 
+@C.tidy
 def _sign(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in C.slices(batches):
         data, starts = C.text_bytes(batch.column("text"))
@@ -199,6 +207,7 @@ def _registers(column: pa.Array) -> np.ndarray:
     return data.view(np.uint16).reshape(-1, REGISTERS)
 
 
+@C.tidy
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     count = REGISTERS // ROWS
     for batch in batches:
@@ -228,6 +237,7 @@ def similarity(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np
     return (agree - chance) / (1 - chance)
 
 
+@C.tidy
 def _screen(least: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
@@ -243,6 +253,7 @@ def _screen(least: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
         yield pa.record_batch([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], names=["a", "b"])
 
 
+@C.tidy
 def _sets(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in C.slices(batches):
         data, starts = C.text_bytes(batch.column("text"))
@@ -257,6 +268,7 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
     return int((both[1:] == both[:-1]).sum())
 
 
+@C.tidy
 def _confirm(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
@@ -308,6 +320,7 @@ def _block(percent: int, held: pa.Table) -> list[tuple[int, int]]:
     return links
 
 
+@C.tidy
 def _blocks(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by block; one block at a time is held."""
     held: list[pa.RecordBatch] = []

@@ -7,11 +7,14 @@ rest. Whole pieces fill a sequence each. Rests are packed:
    as its longest member, so at most `size` / `UNIT` of them, however many rows
    there are). Only this histogram reaches the driver.
 2. The linear program over patterns (multisets of classes that fit a sequence)
-   starts from patterns of one class. Its dual prices go to a knapsack dynamic
-   program, whose best pattern enters the basis, until no pattern's price
-   exceeds 1 or the bound shows that less than `GAP` is left to gain.
+   starts from patterns of one class; patterns of a best-fit packing of the
+   histogram are its first further columns. Its dual prices go to a knapsack
+   dynamic program, whose best pattern enters the basis, until no pattern's
+   price exceeds 1 or the bound shows that less than `GAP` is left to gain.
 3. The patterns' uses are rounded down. What is left, a few pieces of each
-   class, is packed largest first into the fullest sequence with room.
+   class, is packed largest first into the fullest sequence with room. Where
+   rounding costs more than the program gained (tables of few documents), the
+   best-fit packing stands.
 4. Within a class documents are ranked, in two levels (256 buckets, then within
    a bucket), so that no task holds a class. A table of rank ranges, as long as
    there are slots in patterns, says which sequence and slot a rank goes to.
@@ -37,7 +40,7 @@ UNIT = 4
 GAP = 5e-4
 BUCKETS = 256
 ROUNDS = 3000
-CACHED = 400_000
+CACHED = 120_000
 #: How the vocabulary's own tokenizer splits a text into pieces that are merged separately.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -57,6 +60,21 @@ class _Tokens:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.find = regex.compile(SPLIT).findall
         self.cache: dict[str, bytes] = {}
+        self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, words: list[str]) -> None:
+        """Encodes pieces without line ends together, a line each: a line end is a piece and a token of its own."""
+        ids = np.array(self.tokenizer.encode("\n".join(words), add_special_tokens=False).ids, "<u4")
+        cuts = np.flatnonzero(ids == self.line_end)
+        if len(cuts) != len(words) - 1:  # some line end was no token of its own
+            self.cache.update((w, self._ids(w)) for w in words)
+            return
+        raw, edges = ids.tobytes(), [-1, *cuts.tolist(), len(ids)]
+        for w, lo, hi in zip(words, edges[:-1], edges[1:], strict=True):
+            self.cache[w] = raw[4 * lo + 4 : 4 * hi]
 
     def of(self, texts: list[str]) -> list[bytes]:
         """Of each text its ids as little-endian 32-bit numbers."""
@@ -64,15 +82,16 @@ class _Tokens:
         found = [[] if o else self.find(t) for t, o in zip(texts, odd, strict=True)]
         words = set().union(*found) if found else set()
         todo = [w for w in words if w not in self.cache]
-        if len(self.cache) + len(todo) > CACHED:
-            self.cache.clear()
-            todo = list(words)
-        for lo in range(0, len(todo), 20_000):
-            part = todo[lo : lo + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.cache[w] = np.array(e.ids, "<u4").tobytes()
+        if len(self.cache) + len(todo) > CACHED:  # what this slice needs stays
+            self.cache = {w: self.cache[w] for w in words if w in self.cache}
+        plain = [w for w in todo if "\n" not in w and not w.isspace()]
+        for lo in range(0, len(plain), 5_000):
+            self._learn(plain[lo : lo + 5_000])
+        for w in todo:
+            if w not in self.cache:
+                self.cache[w] = self._ids(w)
         cache = self.cache
-        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if o else b"".join([cache[w] for w in ws]) for t, o, ws in zip(texts, odd, found, strict=True)]
+        return [self._ids(t) if o else b"".join([cache[w] for w in ws]) for t, o, ws in zip(texts, odd, found, strict=True)]
 
 
 @functools.cache
@@ -80,6 +99,7 @@ def _tokens(path: str) -> _Tokens:
     return _Tokens(path)
 
 
+@C.tidy
 def _pieces(path: str, end_id: int, size: int, with_ids: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tokens, end = _tokens(path), np.array([end_id], "<u4").tobytes()
     for batch in C.slices(batches):
@@ -124,49 +144,74 @@ def _knapsack(price: np.ndarray, width: np.ndarray, room: int) -> tuple[float, d
     return float(best[room]), pattern
 
 
+def best_fit(width: np.ndarray, demand: np.ndarray, room: int) -> list[tuple[int, list[int]]]:
+    """Largest first, each into the fullest sequence with room: patterns and how often each is used. Equal items go together, so the work depends on the classes alone."""
+    groups: dict[int, list[tuple[int, list[int]]]] = {}  # by room that is left
+    for i in np.argsort(-width, kind="stable").tolist():
+        w, left = int(width[i]), int(demand[i])
+        while left:
+            at = next((r for r in range(w, room) if groups.get(r)), room)
+            n, items = groups[at].pop() if at < room else (left, [])
+            per = at // w
+            whole, rest = min(n, left // per), 0
+            if whole < n and left % per:
+                rest = left % per if whole == left // per else 0
+            for count, k in ((whole, per), (1 if rest else 0, rest)):
+                if count:
+                    groups.setdefault(at - k * w, []).append((count, items + [i] * k))
+            spare = n - whole - bool(rest)
+            if spare and at < room:
+                groups.setdefault(at, []).append((spare, items))
+            left -= whole * per + rest
+    return [x for found in groups.values() for x in found]
+
+
 def cutting_patterns(width: np.ndarray, demand: np.ndarray, room: int, rounds: int = ROUNDS) -> list[tuple[int, list[int]]]:
     """Patterns (as lists of item indices) with the number of times each is used; together they meet the demand exactly."""
     m = len(width)
+    if not m:
+        return []
     left = demand.astype(np.int64).copy()
     plan: list[tuple[int, list[int]]] = []
-    if m:
-        patterns = [{i: int(room // width[i])} for i in range(m)]
-        inverse = np.diag(1.0 / (room // width))
-        use = inverse @ demand
-        for _ in range(rounds):
-            price = inverse.sum(0)
+    known = best_fit(width, demand, room)  # columns to begin with
+    pool = np.stack([np.bincount(items, minlength=m) for _, items in known]).astype(float)
+    patterns = [np.eye(m)[i] * (room // width[i]) for i in range(m)]
+    inverse = np.diag(1.0 / (room // width))
+    use = inverse @ demand
+    for _ in range(rounds):
+        price = inverse.sum(0)
+        values = pool @ price
+        column = pool[int(values.argmax())]
+        if values.max() <= 1 + 1e-7:
             value, pattern = _knapsack(price, width, room)
-            if value <= 1 + 1e-9 or use.sum() - (price @ demand) / value <= GAP * use.sum():
+            if value <= 1 + 1e-7 or use.sum() - (price @ demand) / value <= GAP * use.sum():
                 break
             column = np.zeros(m)
             for i, k in pattern.items():
                 column[i] = k
-            way = inverse @ column
-            ratio = np.where(way > 1e-9, use / np.where(way > 1e-9, way, 1), np.inf)
-            out = int(ratio.argmin())
-            use -= way * ratio[out]
-            use[out] = ratio[out]
-            inverse[out] /= way[out]
-            others = np.arange(m) != out
-            inverse[others] -= np.outer(way[others], inverse[out])
-            patterns[out] = pattern
-        for n, pattern in sorted(zip(np.floor(use + 1e-7).astype(np.int64).tolist(), patterns, strict=True), key=lambda x: -x[0]):
-            n = min([n, *(int(left[i]) // k for i, k in pattern.items())])
-            if n > 0:
-                plan.append((n, [i for i, k in pattern.items() for _ in range(k)]))
-                for i, k in pattern.items():
-                    left[i] -= n * k
-    open_at: dict[int, list[list[int]]] = {}  # by room that is left
-    for i in sorted(range(m), key=lambda i: -width[i]):
-        for _ in range(int(left[i])):
-            w = int(width[i])
-            at = next((r for r in range(w, room + 1) if open_at.get(r)), None)
-            items = open_at[at].pop() if at is not None else []
-            items.append(i)
-            open_at.setdefault((at if at is not None else room) - w, []).append(items)
-    return plan + [(1, items) for bins in open_at.values() for items in bins]
+        way = inverse @ column
+        ratio = np.where(way > 1e-9, use / np.where(way > 1e-9, way, 1), np.inf)
+        out = int(ratio.argmin())
+        step = ratio[out]
+        use -= way * step
+        use[out] = step
+        inverse[out] /= way[out]
+        others = np.flatnonzero(np.abs(way) > 1e-12)
+        others = others[others != out]
+        inverse[others] -= np.outer(way[others], inverse[out])
+        patterns[out] = column
+    for k in np.argsort(-use, kind="stable"):
+        column = patterns[k].astype(np.int64)
+        has = column > 0
+        n = min(int(np.floor(use[k] + 1e-7)), int((left[has] // column[has]).min()))
+        if n > 0:
+            plan.append((n, [i for i in np.flatnonzero(has).tolist() for _ in range(int(column[i]))]))
+            left -= n * column
+    plan += best_fit(width, left, room)
+    return plan if sum(n for n, _ in plan) <= sum(n for n, _ in known) else known
 
 
+@C.tidy
 def _assign(plan: dict[int, tuple[np.ndarray, ...]], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         kind, rank = (batch.column(x).to_numpy() for x in ("kind", "rank"))

@@ -104,6 +104,7 @@ def features(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
+@C.tidy
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in C.slices(batches):
         x = features(*C.text_bytes(batch.column("text")))
@@ -147,6 +148,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     return Model(mean, scale, w, float(b))
 
 
+@C.tidy
 def _score(model: Model | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From stored features, or for rows that carry others, from the text itself."""
     for whole in batches:

@@ -47,6 +47,8 @@ K = 36
 BASE = 0x9E3779B97F4A7C15
 #: Distinct phrases of one trigger that are sorted together; beyond it they are dealt out by window.
 GROUP = 20_000
+#: So many large triggers are sent to all tasks, at 12 bytes each; more are joined.
+SENT = 200_000
 #: Windows that are sorted at once in a task.
 SORTED = 150_000
 
@@ -123,6 +125,7 @@ def _runs(row: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndar
 PARSED = pa.schema([("trigger", pa.int64()), ("content", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("repeat", pa.bool_())])
 
 
+@C.tidy
 def _parse(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in C.slices(batches):
         if batch.column("doc_id").null_count:
@@ -160,6 +163,7 @@ def _parse(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 FOUND = pa.schema([("doc_id", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("trigger", pa.int64())])
 
 
+@C.tidy
 def _dictionary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (trigger, content, place), seen one batch after the other: repeats, and dictionary phrases that share a trigger."""
     held = None  # the first phrase of the trigger at hand, until a second one shows that it is shared
@@ -203,6 +207,7 @@ def _dictionary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 FETCHED = pa.schema([("trigger", pa.int64()), ("salt", pa.int32()), ("doc_id", pa.int64()), ("lo", pa.int32()), ("phrase", pa.binary())])
 
 
+@C.tidy
 def _fetch(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the phrases that a document has in the dictionary; of split triggers, those of each window."""
     for batch in batches:
@@ -260,6 +265,7 @@ def _suffix_order(length: int, held: pa.Table) -> pa.RecordBatch:
     return pa.record_batch([pa.array(ids[r]), pa.array(f.astype(np.int32)), pa.array((e - f + 1).astype(np.int32))], schema=SPANS)
 
 
+@C.tidy
 def _sorted_groups(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (trigger, salt); whole groups are sorted together, many small ones at once."""
     held: list[pa.RecordBatch] = []
@@ -289,7 +295,8 @@ def _sorted_groups(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[p
         yield _suffix_order(length, pa.Table.from_batches(held))
 
 
-def _cut(length: int, carried: pa.DataType | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+@C.tidy
+def _cut(length: int, carried: bool, as_text: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
     names = ["doc_id", "n_bytes", "kept", "removed"] + (["row"] if carried else [])
     for batch in C.slices(batches):
@@ -313,21 +320,25 @@ def _cut(length: int, carried: pa.DataType | None, batches: Iterator[pa.RecordBa
         b, e = np.flatnonzero(begin), np.flatnonzero(end)
         per = np.concatenate([[0], np.cumsum(np.bincount(owner[b], minlength=batch.num_rows))])
         runs = pa.StructArray.from_arrays([pa.array(b - starts[owner[b]]), pa.array(e + 1 - starts[owner[e]])], fields=list(span))
+        whole = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(kept))])
+        if as_text:
+            whole = pa.array([b.decode("utf-8", "ignore") for b in whole.to_pylist()], pa.string())
         cols = [
             batch.column("doc_id"),
             pa.array(np.diff(starts)),
-            pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(kept))]),
+            whole,
             C.lists(runs, per),
         ]
         yield pa.record_batch(cols + ([batch.column("row")] if carried else []), names=names)
 
 
-def suffix_dedup(docs: DataFrame, length: int = 100, carry: list[str] | None = None) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 100, carry: list[str] | None = None, as_text: bool = False) -> DataFrame:
     """Cuts repeated passages of at least `length` bytes out of `text`.
 
     Returns doc_id, n_bytes long, kept binary (the bytes that stay), removed
     array<struct<start,end>> (maximal runs of bytes cut, end exclusive) and,
-    with `carry`, `row` with those columns as they came.
+    with `carry`, `row` with those columns as they came. With as_text, kept is
+    a string, without the characters that a cut split.
     """
     texts = C.with_text(docs)
     parsed = texts.mapInArrow(functools.partial(_parse, length), "trigger long, content long, doc_id long, lo int, n int, repeat boolean")
@@ -336,7 +347,9 @@ def suffix_dedup(docs: DataFrame, length: int = 100, carry: list[str] | None = N
 
     # edges of repeated passages: phrases whose trigger others share
     edges = found.where("trigger is not null")
-    large = edges.groupBy("trigger").count().where(F.col("count") > GROUP).select("trigger", F.ceil(F.col("count") / GROUP).cast("int").alias("split"))
+    large = C.stage(edges.groupBy("trigger").count().where(F.col("count") > GROUP).select("trigger", F.ceil(F.col("count") / GROUP).cast("int").alias("split")), "large")
+    if large.count() <= SENT:  # few triggers are so common; a join would gather each in one task
+        large = F.broadcast(large)
     edges = edges.join(large, "trigger", "left").select("doc_id", F.struct("lo", "n", "trigger", F.coalesce("split", F.lit(1)).alias("split")).alias("s"))
     wanted = edges.groupBy("doc_id").agg(F.collect_list("s").alias("wanted"))
     known = C.with_text(docs, carry).where("doc_id is not null").repartition("doc_id")
@@ -348,4 +361,4 @@ def suffix_dedup(docs: DataFrame, length: int = 100, carry: list[str] | None = N
     unknown = C.with_text(docs, carry).where("doc_id is null").withColumn("spans", F.lit(None).cast("array<struct<lo:int,n:int>>"))
     out = joined.select(*unknown.columns).unionByName(unknown)
     kind = f", row {out.schema['row'].dataType.simpleString()}" if carry else ""
-    return out.mapInArrow(functools.partial(_cut, length, True if carry else None), f"doc_id long, n_bytes long, kept binary, removed array<struct<start:bigint,end:bigint>>{kind}")
+    return out.mapInArrow(functools.partial(_cut, length, bool(carry), as_text), f"doc_id long, n_bytes long, kept {'string' if as_text else 'binary'}, removed array<struct<start:bigint,end:bigint>>{kind}")
