@@ -40,7 +40,7 @@ UNIT = 4
 GAP = 5e-4
 BUCKETS = 256
 ROUNDS = 3000
-CACHED = 120_000
+CACHED = 400_000
 #: How the vocabulary's own tokenizer splits a text into pieces that are merged separately.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
