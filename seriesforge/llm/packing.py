@@ -102,7 +102,7 @@ def _tokens(path: str) -> _Tokens:
 @C.tidy
 def _pieces(path: str, end_id: int, size: int, with_ids: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tokens, end = _tokens(path), np.array([end_id], "<u4").tobytes()
-    for batch in C.slices(batches):
+    for batch in C.slices(batches, limit=3 << 20):  # larger slices, fewer words seen anew
         rows: list[tuple] = []
         for doc, ids in zip(batch.column("doc_id").to_pylist(), tokens.of(batch.column("text").to_pylist()), strict=True):
             ids += end
