@@ -149,7 +149,7 @@ def ts_cv(spark, d):
 
 
 def _matches(spark, d):
-    return M.find(panel(spark, d).where("idx < 700"), threshold=0.2)
+    return M.find(panel(spark, d), threshold=0.2)
 
 
 @query()
@@ -159,7 +159,7 @@ def dtw_match(spark, d):
 
 @query()
 def dtw_predict(spark, d):
-    s, m = panel(spark, d).where("idx < 700"), _matches(spark, d)
+    s, m = panel(spark, d), _matches(spark, d)
     return M.predict(m, M.outcomes(s, m))
 
 
@@ -197,7 +197,7 @@ def cusum(spark, d):
 
 @query()
 def cp_bootstrap(spark, d):
-    return CP.bootstrap(panel(spark, d).where("idx < 400"), n=10, method="binseg", penalty=0.001, least=10)
+    return CP.bootstrap(panel(spark, d), n=10, method="binseg", penalty=0.001, least=10)
 
 
 @query(f"WITH {PANEL} SELECT entity, idx // 300 AS segment, min(idx) AS start, max(idx) + 1 AS \"end\", count(*) AS length, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS std, round(median(value), 4) AS median, round(regr_slope(value, idx), 4) AS slope FROM panel GROUP BY 1, 2 HAVING count(*) > 1")
@@ -209,19 +209,19 @@ def segment_stats(spark, d):
 
 @query()
 def wavelet_ridges(spark, d):
-    return W.dominant(W.ridges(W.power(panel(spark, d).where("idx < 500"), [4, 8, 16, 32, 64]), 0.02))
+    return W.dominant(W.ridges(W.power(panel(spark, d), [4, 8, 16, 32, 64]), 0.02))
 
 
 @query()
 def red_noise_sig(spark, d):
-    s = panel(spark, d).where("idx < 300")
+    s = panel(spark, d)
     return W.significant(W.power(s, [4, 8, 16, 32]), s).groupBy("entity", "scale").agg(F.avg(F.col("significant").cast("int")).alias("share"))
 
 
 @query()
 def compare_fourier(spark, d):
     s = _segments(spark, d)
-    return W.compare(W.global_spectrum(W.power(s.where("idx < 500"), [4, 8, 16, 32, 64])), SP.top(SP.cycles(s, 0.1, 0.55)))
+    return W.compare(W.global_spectrum(W.power(s, [4, 8, 16, 32, 64])), SP.top(SP.cycles(s, 0.1, 0.55)))
 
 
 @query(f"WITH {PANEL}, n AS (SELECT *, count(*) OVER (PARTITION BY entity) AS n FROM panel) SELECT entity, idx, round(least(idx, n - 1 - idx) * sqrt(2), 6) AS coi FROM n")
@@ -327,8 +327,8 @@ def anomaly_score(spark, d):
 
 
 def _insights(spark, d):
-    s = panel(spark, d).where("idx < 700").withColumn("value", F.col("value") / 1e5)
-    bars = panel(spark, d).where("idx < 700").select("entity", "idx", F.col("value").alias("close"), F.col("value").alias("volume"))
+    s = panel(spark, d).withColumn("value", F.col("value") / 1e5)
+    bars = panel(spark, d).select("entity", "idx", F.col("value").alias("close"), F.col("value").alias("volume"))
     cy, st = SP.cycles(s, 0.1, 0.55), H.states(H.features(bars.withColumn("close", F.col("close") + 1e6)), 3, 20)
     pr, cu, ma = H.profiles(st), H.current(st), M.find(s, threshold=0.2)
     pd_ = M.predict(ma, M.outcomes(s, ma, horizons=(30,)))
@@ -410,7 +410,7 @@ def validate_returns(spark, d):
 
 @query()
 def tune(spark, d):
-    s = panel(spark, d).where("idx < 300")
+    s = panel(spark, d)
     return T.search(s, T.SPACES["changepoint"], T.score_changepoint, 6).unionByName(T.search(s, T.SPACES["fourier"], T.score_fourier, 4, "grid")).select("entity", "trial", "score", "best")
 
 
@@ -419,17 +419,17 @@ _LSTM = L.Config(epochs=3, hidden=8)
 
 @query()
 def lstm_predict(spark, d):
-    return L.predict(panel(spark, d).where("idx < 200"), _LSTM)
+    return L.predict(panel(spark, d), _LSTM)
 
 
 @query()
 def lstm_anomaly(spark, d):
-    return L.anomalies(L.predict(panel(spark, d).where("idx < 200"), _LSTM), 1.0)
+    return L.anomalies(L.predict(panel(spark, d), _LSTM), 1.0)
 
 
 @query()
 def lstm_attention(spark, d):
-    return L.attention(L.predict(panel(spark, d).where("idx < 200"), _LSTM))
+    return L.attention(L.predict(panel(spark, d), _LSTM))
 
 
 @query(f"WITH {PANEL} SELECT entity, idx, round(value, 4) AS y, round(lag(value, 5) OVER (PARTITION BY entity ORDER BY idx), 4) AS x0 FROM panel QUALIFY row_number() OVER (PARTITION BY entity ORDER BY idx) > 5")
