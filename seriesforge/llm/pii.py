@@ -14,9 +14,10 @@ Further kinds need a score of at least KEEP. A span's score is that of its kind
 (a checksum included), raised by CONTEXT if one of its kind's words stands in
 the NEAR code points before it: iban (mod 97; kept without context), card13
 (13 digits, Luhn), national (a phone number without country code), and secret
-(an assigned token; its own name is its context). Base spans carry a score,
-too, but stay whatever it is. A further span that overlaps a base one is left
-out.
+(an assigned token, to its end; its own name is its context). Base spans carry
+a score, too, but stay whatever it is. A further span that lies within a base
+one is left out; one that reaches beyond it stays, since its rest is personal
+data as well. Redaction covers all that overlapping spans cover.
 
 A null text has no spans; null and repeated doc_id values pass through. Other
 columns are ignored, or kept in the struct `row` if named in `carry`.
@@ -44,7 +45,7 @@ PATTERNS = {
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", None, 0.6, "iban|account|bank|transfer"),
     "card13": (_RUN + r"[0-9](?:[\x20-]?[0-9]){12}+(?![\x20-]?[0-9])", None, 0.3, "card|credit|visa|pay"),
     "national": (r"(?<![0-9+(.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9.-])", None, 0.3, "phone|tel|call|mobile|fax"),
-    "secret": (r"(?i)(?<![a-z])(?:token|secret|password|passwd|api[_-]?key)\x20{0,3}[=:]\x20{0,3}[\"']?[a-z0-9_./+-]{12,200}[\"']?", None, 0.5, "key|auth|login"),
+    "secret": (r"(?i)(?<![a-z])(?:token|secret|password|passwd|api[_-]?key)\x20{0,3}[=:]\x20{0,3}[\"']?[a-z0-9_./+-]{12,}+[\"']?", None, 0.5, "key|auth|login"),
 }
 
 
@@ -113,7 +114,7 @@ def find_pii(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
         df = df.withColumn(kind, F.when(cond, _spans(kind, F.col("text"))).otherwise(plain))
     base = F.concat(*BASE)
     others = F.concat(*(k for k in KINDS if k not in BASE))
-    free = F.filter(others, lambda o: (o["score"] >= KEEP) & ~F.exists("base", lambda b: (b["start"] < o["end"]) & (o["start"] < b["end"])))
+    free = F.filter(others, lambda o: (o["score"] >= KEEP) & ~F.exists("base", lambda b: (b["start"] <= o["start"]) & (o["end"] <= b["end"])))
     df = df.withColumn("base", base).withColumn("all", F.array_sort(F.concat("base", free)))
     named = F.transform("all", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1).alias("kind"), s["score"].alias("score")))
     return df.select("doc_id", "text", named.alias("spans"), *(["row"] if carry else []))
