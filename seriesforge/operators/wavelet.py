@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from .series import KEY
 
+#: Scales of a full scan. Fixed values.
+SCALES = list(range(1, 365))
 #: Centre frequencies in cycles a scale. Fixed values.
 CENTRE = {"morlet": 0.8125, "mexican_hat": 0.25, "ricker": 0.25, "paul": 0.8125}
 

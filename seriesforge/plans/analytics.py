@@ -97,7 +97,7 @@ def quick_fft(spark, d):
 @query()
 def boot_cycle(spark, d):
     s = _segments(spark, d)
-    return SP.cycle_significance(s, SP.top(SP.cycles(s, 0.1, 0.55), 3), n=100)
+    return SP.cycle_significance(s, SP.top(SP.cycles(s, 0.1, 0.55), 3), n=1000)
 
 
 _PV = "p AS (SELECT p_size AS entity, p_partkey * 1.0 AS period_days, (p_partkey * 7919 % 1000) / 20000.0 AS p FROM part), r AS (SELECT *, count(*) OVER (PARTITION BY entity) AS m, row_number() OVER (PARTITION BY entity ORDER BY p, period_days) AS i FROM p)"
@@ -140,7 +140,7 @@ def expected_duration(spark, d):
 
 @query()
 def perm_regime(spark, d):
-    return H.separation(_states(spark, d), n=50)
+    return H.separation(_states(spark, d), n=1000)
 
 
 @query()
@@ -197,7 +197,7 @@ def cusum(spark, d):
 
 @query()
 def cp_bootstrap(spark, d):
-    return CP.bootstrap(panel(spark, d), n=10, method="binseg", penalty=0.001, least=10)
+    return CP.bootstrap(panel(spark, d), n=100, method="binseg", penalty=0.001, least=10)
 
 
 @query(f"WITH {PANEL} SELECT entity, idx // 300 AS segment, min(idx) AS start, max(idx) + 1 AS \"end\", count(*) AS length, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS std, round(median(value), 4) AS median, round(regr_slope(value, idx), 4) AS slope FROM panel GROUP BY 1, 2 HAVING count(*) > 1")
@@ -209,19 +209,19 @@ def segment_stats(spark, d):
 
 @query()
 def wavelet_ridges(spark, d):
-    return W.dominant(W.ridges(W.power(panel(spark, d), [4, 8, 16, 32, 64]), 0.02))
+    return W.dominant(W.ridges(W.power(panel(spark, d), W.SCALES), 0.02))
 
 
 @query()
 def red_noise_sig(spark, d):
     s = panel(spark, d)
-    return W.significant(W.power(s, [4, 8, 16, 32]), s).groupBy("entity", "scale").agg(F.avg(F.col("significant").cast("int")).alias("share"))
+    return W.significant(W.power(s, W.SCALES), s).groupBy("entity", "scale").agg(F.avg(F.col("significant").cast("int")).alias("share"))
 
 
 @query()
 def compare_fourier(spark, d):
     s = _segments(spark, d)
-    return W.compare(W.global_spectrum(W.power(s, [4, 8, 16, 32, 64])), SP.top(SP.cycles(s, 0.1, 0.55)))
+    return W.compare(W.dominant(W.ridges(W.power(s, W.SCALES), 0.02)), SP.top(SP.cycles(s, 0.1, 0.55)))
 
 
 @query(f"WITH {PANEL}, n AS (SELECT *, count(*) OVER (PARTITION BY entity) AS n FROM panel) SELECT entity, idx, round(least(idx, n - 1 - idx) * sqrt(2), 6) AS coi FROM n")
@@ -242,7 +242,7 @@ def lag_corr(spark, d):
 
 @query()
 def corr_tested(spark, d):
-    return CO.tested(CO.lagged(panel(spark, d), 5))
+    return CO.tested(CO.lagged(panel(spark, d), 30))
 
 
 _EDGE = "ed AS (SELECT a.entity AS a, b.entity AS b, corr(a.value, b.value) AS r FROM panel a JOIN panel b ON a.ts = b.ts AND a.entity < b.entity GROUP BY 1, 2)"
@@ -388,7 +388,7 @@ def compare_strategies(spark, d):
 
 @query()
 def monte_carlo(spark, d):
-    return B.monte_carlo(B.run(_prices(spark, d)), 50)
+    return B.monte_carlo(B.run(_prices(spark, d)), 1000)
 
 
 @query(f"WITH {PANEL}, g AS (SELECT *, date_diff('day', lag(ts) OVER (PARTITION BY entity ORDER BY idx), ts) AS gap FROM panel WHERE idx % 7 <> 3) SELECT entity, count(*) AS n, count(*) >= 10 AND var_pop(value) >= 1e-10 AS is_valid, max(gap) AS longest_gap FROM g GROUP BY 1")

@@ -116,12 +116,12 @@ def stop_take(spark, d):
 
 @query()
 def global_spectrum(spark, d):
-    return W.global_spectrum(W.power(panel(spark, d), [4, 8, 16, 32], "mexican_hat"))
+    return W.global_spectrum(W.power(panel(spark, d), W.SCALES, "mexican_hat"))
 
 
 @query()
 def scale_average(spark, d):
-    return W.scale_average(W.power(panel(spark, d), [4, 8, 16]))
+    return W.scale_average(W.power(panel(spark, d), W.SCALES))
 
 
 @query()
