@@ -110,7 +110,7 @@ def multi_test(spark, d):
 
 
 def _states(spark, d):
-    return H.states(H.features(market(spark, d)), 3, 40)
+    return H.states(H.features(market(spark, d)), 4, 1000)
 
 
 @query()
@@ -329,7 +329,7 @@ def anomaly_score(spark, d):
 def _insights(spark, d):
     s = panel(spark, d).withColumn("value", F.col("value") / 1e5)
     bars = panel(spark, d).select("entity", "idx", F.col("value").alias("close"), F.col("value").alias("volume"))
-    cy, st = SP.cycles(s, 0.1, 0.55), H.states(H.features(bars.withColumn("close", F.col("close") + 1e6)), 3, 20)
+    cy, st = SP.cycles(s, 0.1, 0.55), H.states(H.features(bars.withColumn("close", F.col("close") + 1e6)), 4, 1000)
     pr, cu, ma = H.profiles(st), H.current(st), M.find(s, threshold=0.2)
     pd_ = M.predict(ma, M.outcomes(s, ma, horizons=(30,)))
     fc = SP.forecast(s, cy)
