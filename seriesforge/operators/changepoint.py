@@ -15,39 +15,60 @@ from .spectral import hash_of
 
 
 class Cost:
-    """The cost of a segment [i, j) in constant time: l2, normal, or rbf (a kernel with bandwidth 1 on values)."""
+    """The cost of a segment [i, j): l2 and normal in constant time; rbf, a kernel with bandwidth 1 on values, by summing its rows."""
 
     def __init__(self, x: np.ndarray, model: str):
-        self.model = model
+        self.model, self.x = model, x
         self.s, self.q = np.concatenate([[0.0], np.cumsum(x)]), np.concatenate([[0.0], np.cumsum(x * x)])
-        if model == "rbf":
-            self.k = np.zeros((len(x) + 1, len(x) + 1))
-            self.k[1:, 1:] = np.exp(-0.5 * (x[:, None] - x[None, :]) ** 2).cumsum(0).cumsum(1)
 
     def __call__(self, i, j):
         n = j - i
         if self.model == "rbf":
-            return n - (self.k[j, j] - self.k[i, j] - self.k[j, i] + self.k[i, i]) / n
+            part = self.x[i:j]
+            return n - sum(np.exp(-0.5 * (part - v) ** 2).sum() for v in part) / n
         sse = np.maximum(self.q[j] - self.q[i] - (self.s[j] - self.s[i]) ** 2 / n, 0)
         return sse if self.model == "l2" else n * np.log(sse / n + 1e-10)
 
 
+class _Running:
+    """Kernel sums of [i, t) for all starts i while t grows by one: a number a start, no matrix."""
+
+    def __init__(self, x: np.ndarray):
+        self.x, self.sums, self.t = x, np.zeros(len(x)), 0
+
+    def __call__(self, starts: np.ndarray, t: int, low: int) -> np.ndarray:
+        """The costs of [starts, t); starts below `low` are asked for no more."""
+        while self.t < t:
+            near = np.exp(-0.5 * (self.x[low : self.t + 1] - self.x[self.t]) ** 2)
+            self.sums[low : self.t + 1] += 2 * near[::-1].cumsum()[::-1] - near[-1]
+            self.t += 1
+        n = t - starts
+        return n - self.sums[starts] / n
+
+
 def pelt(x: np.ndarray, model: str = "l2", penalty: float = 10.0, least: int = 5) -> list[int]:
-    """The breaks that minimise the sum of costs and penalties, exactly; candidates that can't win any more are dropped."""
+    """The breaks that minimise the sum of costs and penalties, exactly.
+
+    A start that is beaten at t by one at t itself can't win any end from
+    t + least on, since [t, end) must have `least` rows; it is kept until then.
+    """
     n = len(x)
     if n < 2 * least:
         return []
-    cost = Cost(x, model)
+    running = _Running(x) if model == "rbf" else None
+    cost = None if running else Cost(x, model)
     best, back = np.full(n + 1, np.inf), np.zeros(n + 1, int)
     best[0] = -penalty
-    alive = np.array([0])
+    alive, until = np.array([0]), np.array([n + 1])
     for t in range(least, n + 1):
-        ready = alive[alive <= t - least]
-        total = best[ready] + np.array([cost(int(i), t) for i in ready]) if model == "rbf" else best[ready] + cost(ready, np.full(len(ready), t))
-        k = int(total.argmin())
-        best[t], back[t] = total[k] + penalty, ready[k]
-        alive = np.concatenate([ready[total <= best[t]], alive[alive > t - least], [t]])
-        alive = alive[np.isfinite(best[alive])]
+        k = int(np.searchsorted(alive, t - least, "right"))
+        ready = alive[:k]
+        total = best[ready] + (running(ready, t, int(alive[0])) if running else cost(ready, t))
+        won = int(total.argmin())
+        best[t], back[t] = total[won] + penalty, ready[won]
+        until[:k][total > best[t]] = np.minimum(until[:k][total > best[t]], t + least)
+        stays = until > t + 1
+        alive, until = np.append(alive[stays], t), np.append(until[stays], n + 1)
     out, t = [], n
     while back[t] > 0:
         t = back[t]

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -32,7 +33,7 @@ def test_p_values():
     assert special.correlation_p(np.array([0.632, 1.0, 0.1]), np.array([10, 5, 2]))[:2] == pytest.approx([0.05, 0], abs=1e-3)
 
 
-@settings(max_examples=40, deadline=None)
+@settings(max_examples=400, deadline=None)
 @given(st.lists(st.floats(-5, 5), min_size=8, max_size=13), st.sampled_from(["l2", "normal", "rbf"]), st.floats(0.5, 5))
 def test_pelt_is_exact(values, model, penalty):
     x, least = np.array(values), 2
@@ -45,8 +46,16 @@ def test_pelt_is_exact(values, model, penalty):
     options = [c for k in range(len(x) // least) for c in itertools.combinations(range(1, len(x)), k) if all(b - a >= least for a, b in itertools.pairwise([0, *c, len(x)]))]
     got = CP.pelt(x, model, penalty, least)
     assert all(b - a >= least for a, b in itertools.pairwise([0, *got, len(x)]))
-    if model != "normal":  # its cost isn't concave enough for pruning to be provably exact
-        assert total(got) == pytest.approx(min(map(total, options)), abs=1e-6)
+    assert total(got) == pytest.approx(min(map(total, options)), abs=1e-6)
+
+
+def test_pelt_of_long_series_needs_no_matrix():
+    x = shift(parts=((0, 1, 3000), (4, 1, 3000)))
+    tracemalloc.start()
+    cuts = CP.pelt(x, "rbf", 30.0, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(cuts) == 1 and abs(cuts[0] - 3000) <= 3 and peak < 20 << 20
 
 
 def test_breaks_are_found():
