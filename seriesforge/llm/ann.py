@@ -2,15 +2,17 @@
 
 A vector is stored as one code from each of M codebooks of full dimension; the
 sum of their words approximates it. Codebooks are fitted to a bounded sample:
-k-means on the residuals that the codebooks before leave, then rounds of beam
-search and a least-squares fit of all codebooks together. Every row is encoded
-by beam search, with the squared norm of its approximation stored.
-
-Codes, norms and vectors are packed in chunks. A block of queries meets a chunk
-in one task: tables of inner products with all codewords score the chunk,
-a shortlist of SHORT is taken by these scores, and its exact distances to the
-original vectors give the chunk's nearest, of which a ranking keeps k. Blocks
-meet all chunks, so every row is indexed and scored.
+k-means on the residuals that the codebooks before leave, then beam search and
+sweeps that move each codebook to where it serves the others best. Every row is
+encoded by beam search, with the squared norm of its approximation stored.
+
+Only codes and norms are packed in chunks. A block of queries meets a chunk in
+one task: tables of inner products with all codewords score the whole chunk,
+and the task keeps the SHORT best of each query over the chunks that it sees.
+Of all tasks' lists the SHORT best of a query are its shortlist, whatever the
+chunks and partitions are; these ids are joined to the original vectors, whose
+exact distances give the k nearest. Every row is indexed and scored; no table
+size has another way.
 
 What takes no part and how repeated ids count is said in vectors.valid_vectors.
 Tables without valid vectors have no neighbours.
@@ -23,121 +25,173 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
 from . import vectors as V
 
 #: Rows that the codebooks are fitted to, at most.
-TRAINING = 8192
-M, WORDS, BEAM, SHORT = 8, 256, 4, 512
+TRAINING = 16_384
+M, WORDS, BEAM, SHORT = 24, 256, 4, 128
+#: Chunks that one list of a block of queries covers, at most.
+COVERED = 256
 
 
 def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> np.ndarray:
     """The codes of each row: of the `beam` best sums so far, the best continuations, codebook by codebook."""
-    m, words, _ = books.shape
-    n = len(x)
-    flat = books.reshape(m * words, -1)
-    inner, with_x = flat @ flat.T, x @ flat.T
-    half = 0.5 * np.diag(inner)
-    codes, cost = np.zeros((n, 1, 0), np.int64), np.zeros((n, 1))
-    for k in range(m):
-        lo = k * words
-        # |x - s - c|^2 / 2 less what is fixed: cost(s) - x.c + s.c + |c|^2 / 2
-        step = cost[:, :, None] - with_x[:, None, lo : lo + words] + half[lo : lo + words]
-        for j in range(k):
-            step += inner[codes[:, :, j] + j * words, lo : lo + words]
-        width = min(beam, step.shape[1] * words)
+    n, dim = x.shape
+    rest = x[:, None, :].astype(np.float32)  # what each sum of the beam leaves
+    codes, left = np.zeros((n, 1, 0), np.uint8), (rest**2).sum(2)
+    for book in books.astype(np.float32):
+        step = (rest.reshape(-1, dim) @ (-2 * book.T)).reshape(n, -1, len(book))
+        step += left[:, :, None] + (book**2).sum(1)
         step = step.reshape(n, -1)
+        width = min(beam, step.shape[1])
         pick = np.argpartition(step, width - 1, axis=1)[:, :width]
-        cost = np.take_along_axis(step, pick, 1)
-        from_row, word = pick // words, pick % words
-        codes = np.concatenate([np.take_along_axis(codes, from_row[:, :, None], 1) if k else np.zeros((n, width, 0), np.int64), word[:, :, None]], 2)
-    return codes[np.arange(n), cost.argmin(1)]
+        left = np.take_along_axis(step, pick, 1)
+        before, word = pick // len(book), pick % len(book)
+        rest = np.take_along_axis(rest, before[:, :, None], 1) - book[word]
+        codes = np.concatenate([np.take_along_axis(codes, before[:, :, None], 1), word[:, :, None].astype(np.uint8)], 2)
+    return codes[np.arange(n), left.argmin(1)]
+
+
+def _means(x: np.ndarray, group: np.ndarray, old: np.ndarray) -> np.ndarray:
+    """The mean of each group of rows; groups without rows stay as they are."""
+    order = np.argsort(group, kind="stable")
+    counts = np.bincount(group, minlength=len(old))
+    first = np.cumsum(counts) - counts
+    some = counts > 0
+    out = old.copy()
+    out[some] = np.add.reduceat(x[order], first[some], axis=0) / counts[some][:, None]
+    return out
 
 
-def fit(x: np.ndarray, m: int = M, words: int = WORDS, rounds: int = 2, seed: int = 0) -> np.ndarray:
+def fit(x: np.ndarray, m: int = M, words: int = WORDS, sweeps: int = 3, seed: int = 0) -> np.ndarray:
     """The codebooks, of shape (m, words, dimension)."""
     r = np.random.default_rng(seed)
     words = max(1, min(words, len(x)))
-    books, rest = [], x.copy()
+    books, rest = [], x.astype(np.float32)
+    nearest_word = lambda rest, book: ((book**2).sum(1) - 2 * rest @ book.T).argmin(1)
     for _ in range(m):
         book = rest[r.choice(len(rest), words, replace=False)]
         for _ in range(6):
-            near = ((book**2).sum(1) - 2 * rest @ book.T).argmin(1)
-            counts = np.bincount(near, minlength=words)
-            total = np.zeros_like(book)
-            np.add.at(total, near, rest)
-            book = np.where(counts[:, None] > 0, total / np.maximum(counts, 1)[:, None], book)
-        near = ((book**2).sum(1) - 2 * rest @ book.T).argmin(1)
-        rest = rest - book[near]
+            book = _means(rest, nearest_word(rest, book), book)
+        rest = rest - book[nearest_word(rest, book)]
         books.append(book)
-    out = np.stack(books)
-    for _ in range(rounds):
-        codes = np.concatenate([encode(x[i : i + 1024], out) for i in range(0, len(x), 1024)]) + np.arange(m) * words
-        gram, right = np.eye(m * words) * 1e-2, np.zeros((m * words, x.shape[1]))
-        for a in range(m):
-            np.add.at(right, codes[:, a], x)
-            for b in range(m):
-                np.add.at(gram, (codes[:, a], codes[:, b]), 1.0)
-        # unused words stay where they are
-        right += 1e-2 * out.reshape(m * words, -1)
-        out = np.linalg.solve(gram, right).reshape(out.shape)
+    out = np.stack(books).astype(np.float64)
+    codes = np.concatenate([encode(x[i : i + 512], out) for i in range(0, len(x), 512)])
+    rest = x - out[np.arange(m), codes].sum(1)
+    for _ in range(sweeps):
+        for k in range(m):
+            target = rest + out[k][codes[:, k]]
+            out[k] = _means(target, codes[:, k], out[k])
+            rest = target - out[k][codes[:, k]]
     return out
 
 
 @C.tidy
-def _pack(books: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    dim = books.shape[2]
+def _encode(books: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    m, _, dim = books.shape
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 512):
+            part = batch.slice(lo, 512)
+            codes = encode(V.matrix(part.column("embedding"), dim), books)
+            norms = (books[np.arange(m), codes].sum(1) ** 2).sum(1)
+            flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(m), len(codes), [None, pa.py_buffer(np.ascontiguousarray(codes))]).cast(pa.binary())
+            yield pa.record_batch([part.column("vec_id"), flat, pa.array(norms)], names=["vec_id", "codes", "norm"])
+
+
+@C.tidy
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo in range(0, batch.num_rows, V.CHUNK):
             part = batch.slice(lo, V.CHUNK)
-            x, ids = V.matrix(part.column("embedding"), dim), part.column("vec_id").to_numpy()
-            codes = np.concatenate([encode(x[i : i + 512], books) for i in range(0, len(x), 512)])
-            norms = (books[np.arange(len(books)), codes].sum(1) ** 2).sum(1)
-            cells = [ids.tobytes(), codes.astype(np.uint8).tobytes(), norms.tobytes(), x.tobytes()]
-            yield pa.record_batch([pa.array([int(ids[0])]), *(pa.array([c], pa.binary()) for c in cells)], names=["chunk", "ids", "codes", "norms", "vectors"])
+            ids, codes = part.column("vec_id").to_numpy(), C.text_bytes(part.column("codes"))[0]
+            cells = [np.ascontiguousarray(c).tobytes() for c in (ids, codes, part.column("norm").to_numpy())]
+            yield pa.record_batch([pa.array([int(ids[0])]), *(pa.array([c], pa.binary()) for c in cells)], names=["chunk", "ids", "codes", "norms"])
+
+
+class _Lists:
+    """The `short` least scores of each query of a block, ties to the smaller id, over the chunks seen so far."""
+
+    def __init__(self, q_ids: np.ndarray, q: np.ndarray, books: np.ndarray, short: int):
+        self.q_ids, self.short = q_ids, short
+        self.table = -2 * np.einsum("qd,mwd->mqw", q, books)
+        self.ids, self.scores = np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0))
+
+    def add(self, ids: np.ndarray, codes: np.ndarray, norms: np.ndarray) -> None:
+        found_ids, found = [], []
+        for lo in range(0, len(self.q_ids), 64):  # a few queries at a time bound the memory
+            score = np.broadcast_to(norms, (len(self.q_ids[lo : lo + 64]), len(ids))).copy()
+            for j, part in enumerate(self.table):
+                score += part[lo : lo + 64][:, codes[:, j]]
+            score[self.q_ids[lo : lo + 64, None] == ids[None, :]] = np.inf
+            all_ids = np.concatenate([self.ids[lo : lo + 64], np.broadcast_to(ids, score.shape)], 1)
+            every = np.concatenate([self.scores[lo : lo + 64], score], 1)
+            if every.shape[1] > self.short:
+                edge = np.partition(every, self.short - 1, axis=1)[:, self.short - 1 : self.short]
+                rows, cols = np.nonzero(every <= edge)
+                order = np.lexsort((all_ids[rows, cols], every[rows, cols], rows))
+                rows, cols = rows[order], cols[order]
+                first = np.searchsorted(rows, np.arange(len(every)))
+                pick = np.arange(len(rows)) - first[rows] < self.short
+                cols = cols[pick].reshape(len(every), self.short)
+                all_ids, every = np.take_along_axis(all_ids, cols, 1), np.take_along_axis(every, cols, 1)
+            found_ids.append(all_ids)
+            found.append(every)
+        self.ids, self.scores = np.concatenate(found_ids), np.concatenate(found)
+
+    def rows(self) -> pa.RecordBatch:
+        some = np.isfinite(self.scores)
+        query = np.broadcast_to(self.q_ids[:, None], some.shape)[some]
+        return pa.record_batch([pa.array(query), pa.array(self.ids[some]), pa.array(self.scores[some])], names=["query_id", "vec_id", "near"])
 
 
 @C.tidy
-def _search(books: np.ndarray, k: int, short: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    m, words, dim = books.shape
+def _shortlists(books: np.ndarray, short: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One list after the other; rows of one block that come apart make lists of their own, which the ranking merges."""
+    m, _, dim = books.shape
+    held, key = None, None
     for batch in batches:
         for i in range(batch.num_rows):
             row = batch.slice(i, 1)
+            if key != (new := (row.column("block")[0].as_py(), row.column("part")[0].as_py())):
+                if held:
+                    yield held.rows()
+                q = np.asarray(row.column("q_embedding")[0].values.flatten()).reshape(-1, dim)
+                held, key = _Lists(np.asarray(row.column("q_vec_id")[0].values), q, books, short), new
             ids, norms = (np.frombuffer(row.column(c)[0].as_buffer(), t) for c, t in (("ids", np.int64), ("norms", np.float64)))
-            codes = np.frombuffer(row.column("codes")[0].as_buffer(), np.uint8).reshape(-1, m)
-            x = np.frombuffer(row.column("vectors")[0].as_buffer(), np.float64).reshape(-1, dim)
-            q_ids = np.asarray(row.column("q_vec_id")[0].values)
-            q = np.asarray(row.column("q_embedding")[0].values.flatten()).reshape(-1, dim)
-            found = []
-            for lo in range(0, len(q), 64):
-                part, part_ids = q[lo : lo + 64], q_ids[lo : lo + 64]
-                table = np.einsum("qd,mwd->mqw", part, books)
-                score = np.broadcast_to(norms, (len(part), len(ids))).copy()
-                for j in range(m):
-                    score -= 2 * table[j][:, codes[:, j]]
-                exact = np.full(score.shape, np.inf)
-                near = np.argpartition(score, short, axis=1)[:, : short + 1] if len(ids) > short + 1 else np.broadcast_to(np.arange(len(ids)), score.shape)
-                gap = x[near] - part[:, None, :]
-                np.put_along_axis(exact, near, np.sqrt((gap * gap).sum(2)), 1)
-                found += list(V.best(exact, ids, part_ids, k))
-            if found:
-                yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["query_id", "vec_id", "score"])
+            held.add(ids, np.frombuffer(row.column("codes")[0].as_buffer(), np.uint8).reshape(-1, m), norms)
+    if held:
+        yield held.rows()
+
+
+def distance(a: Column, b: Column) -> Column:
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
 
 def nearest(vectors: DataFrame, queries, k: int = 10, short: int = SHORT) -> DataFrame:
     """The k nearest rows found of each query (a condition on vec_id): query_id, rank, vec_id, score (Euclidean distance)."""
+    spark = vectors.sparkSession
     v, dim = V.valid_vectors(vectors, zeros=False)
     if not dim:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    v = C.stage(v, "vectors")
     books = fit(V.sample(v, TRAINING, dim))
-    chunks = v.mapInArrow(functools.partial(_pack, books), "chunk long, ids binary, codes binary, norms binary, vectors binary")
-    parts = int(v.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n_blocks = max(1, -(-v.where(queries).count() // V.BLOCK))
-    blocks = V.blocks_of(v.where(queries), n_blocks).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    coded = C.stage(v.mapInArrow(functools.partial(_encode, books), "vec_id long, codes binary, norm double"), "codes")
+    n, asked = coded.agg(F.count("*"), F.count_if(queries)).first()
+    n_chunks, n_blocks = -(-n // V.CHUNK), max(1, -(-asked // V.BLOCK))
+    # as few lists a query as the table allows, but enough tasks for the cluster
+    parts = max(-(-n_chunks // COVERED), min(n_chunks, -(-2 * spark.sparkContext.defaultParallelism // n_blocks)))
+    part = F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")
+    chunks = coded.withColumn("part", part).repartition("part").sortWithinPartitions("part").drop("part").mapInArrow(_pack, "chunk long, ids binary, codes binary, norms binary")
     dealt = chunks.withColumn("part", F.pmod(F.xxhash64("chunk"), F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    blocks = V.blocks_of(v.where(queries), n_blocks).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     met = dealt.join(blocks, ["block", "part"])
-    found = met.mapInArrow(functools.partial(_search, books, k, short), "query_id long, vec_id long, score double")
-    return V.top(found, k, ascending=True)
+    listed = met.mapInArrow(functools.partial(_shortlists, books, short), "query_id long, vec_id long, near double")
+    ranked = listed.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("near", "vec_id"))).where(F.col("place") <= short)
+    pairs = ranked.select("query_id", "vec_id")
+    q = v.where(queries).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    exact = pairs.join(v, "vec_id").join(q, "query_id").select("query_id", "vec_id", distance(F.col("q"), F.col("embedding")).alias("score"))
+    return V.top(exact, k, ascending=True)

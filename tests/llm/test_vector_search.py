@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -44,6 +46,40 @@ def test_nearest_recall_and_exact_scores(spark, data):
     assert hits / total >= 0.95
 
 
+@pytest.mark.parametrize("chunk", [4096, 50])
+def test_shortlists_do_not_depend_on_chunks_or_partitions(spark, data, monkeypatch, chunk):
+    x, ids = data
+    want = sorted(map(tuple, ann.nearest(table(spark, x, ids).coalesce(1), F.col("vec_id") % 100 == 0, short=20).collect()))
+    monkeypatch.setattr(ann.V, "CHUNK", chunk)
+    monkeypatch.setattr(ann.V, "BLOCK", 4)
+    monkeypatch.setattr(ann, "COVERED", 3)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        assert sorted(map(tuple, ann.nearest(table(spark, x, ids), F.col("vec_id") % 100 == 0, short=20).collect())) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1/embeddings.parquet"), reason="no test tables")
+def test_recall_of_the_query(spark):
+    """All queries of the whole table, with production parameters."""
+    from seriesforge.llm.queries import QUERIES
+
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas().dropna().drop_duplicates("vec_id")
+    rows = rows[[bool(np.isfinite(e).all() and np.any(e)) for e in rows.embedding]]
+    ids, x = rows.vec_id.to_numpy(), np.stack(rows.embedding).astype(float)
+    got = {(r.query_id, r.vec_id) for r in QUERIES["op3_ann"](spark, "/root/testdata/sf0.1").collect()}
+    hits = total = 0
+    for i in np.flatnonzero(ids % 100 == 0):
+        d = ((x - x[i]) ** 2).sum(1)
+        d[i] = np.inf
+        want = ids[np.lexsort((ids, d))[:10]]
+        hits += sum((ids[i], w) in got for w in want)
+        total += len(want)
+    assert hits / total >= 0.95
+
+
 def test_few_and_no_vectors(spark, data):
     x, _ = data
     assert {(r.query_id, r.vec_id) for r in ann.nearest(table(spark, x[:3]), F.col("vec_id") % 100 == 0).collect()} == {(0, 1), (0, 2)}
