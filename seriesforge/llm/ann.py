@@ -112,40 +112,24 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array([int(ids[0])]), *(pa.array([c], pa.binary()) for c in cells)], names=["chunk", "ids", "codes", "norms"])
 
 
-class _Lists:
-    """The `short` least scores of each query of a block, ties to the smaller id, over the chunks seen so far."""
+class _Block:
+    """A block of queries, its tables and its lists."""
 
     def __init__(self, q_ids: np.ndarray, q: np.ndarray, books: np.ndarray, short: int):
-        self.q_ids, self.short = q_ids, short
         self.table = -2 * np.einsum("qd,mwd->mqw", q, books)
-        self.ids, self.scores = np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0))
+        self.lists = V.Lists(q_ids, short, np.inf)
 
     def add(self, ids: np.ndarray, codes: np.ndarray, norms: np.ndarray) -> None:
-        found_ids, found = [], []
-        for lo in range(0, len(self.q_ids), 64):  # a few queries at a time bound the memory
-            score = np.broadcast_to(norms, (len(self.q_ids[lo : lo + 64]), len(ids))).copy()
+        n = self.table.shape[1]
+        for lo in range(0, n, 64):  # a few queries at a time bound the memory
+            rows = np.arange(lo, min(n, lo + 64))
+            score = np.broadcast_to(norms, (len(rows), len(ids))).copy()
             for j, part in enumerate(self.table):
-                score += part[lo : lo + 64][:, codes[:, j]]
-            score[self.q_ids[lo : lo + 64, None] == ids[None, :]] = np.inf
-            all_ids = np.concatenate([self.ids[lo : lo + 64], np.broadcast_to(ids, score.shape)], 1)
-            every = np.concatenate([self.scores[lo : lo + 64], score], 1)
-            if every.shape[1] > self.short:
-                edge = np.partition(every, self.short - 1, axis=1)[:, self.short - 1 : self.short]
-                rows, cols = np.nonzero(every <= edge)
-                order = np.lexsort((all_ids[rows, cols], every[rows, cols], rows))
-                rows, cols = rows[order], cols[order]
-                first = np.searchsorted(rows, np.arange(len(every)))
-                pick = np.arange(len(rows)) - first[rows] < self.short
-                cols = cols[pick].reshape(len(every), self.short)
-                all_ids, every = np.take_along_axis(all_ids, cols, 1), np.take_along_axis(every, cols, 1)
-            found_ids.append(all_ids)
-            found.append(every)
-        self.ids, self.scores = np.concatenate(found_ids), np.concatenate(found)
+                score += part[rows][:, codes[:, j]]
+            self.lists.add(rows, ids, score)
 
     def rows(self) -> pa.RecordBatch:
-        some = np.isfinite(self.scores)
-        query = np.broadcast_to(self.q_ids[:, None], some.shape)[some]
-        return pa.record_batch([pa.array(query), pa.array(self.ids[some]), pa.array(self.scores[some])], names=["query_id", "vec_id", "near"])
+        return pa.record_batch([pa.array(c) for c in self.lists.rows()], names=["query_id", "vec_id", "near"])
 
 
 @C.tidy
@@ -160,7 +144,7 @@ def _shortlists(books: np.ndarray, short: int, batches: Iterator[pa.RecordBatch]
                 if held:
                     yield held.rows()
                 q = np.asarray(row.column("q_embedding")[0].values.flatten()).reshape(-1, dim)
-                held, key = _Lists(np.asarray(row.column("q_vec_id")[0].values), q, books, short), new
+                held, key = _Block(np.asarray(row.column("q_vec_id")[0].values), q, books, short), new
             ids, norms = (np.frombuffer(row.column(c)[0].as_buffer(), t) for c, t in (("ids", np.int64), ("norms", np.float64)))
             held.add(ids, np.frombuffer(row.column("codes")[0].as_buffer(), np.uint8).reshape(-1, m), norms)
     if held:

@@ -35,7 +35,10 @@ from pyspark.sql import functions as F
 from . import common as C
 from . import vectors as V
 
-PIVOTS = 256
+#: At most so many cells; the driver holds a few numbers for each pair of them.
+PIVOTS = 1024
+#: Chunks that one list of a block of queries covers, on average at most.
+COVERED = 64
 
 
 def _inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -76,24 +79,38 @@ def _pack(dim: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 @C.tidy
 def _solve(k: int, pivots: np.ndarray, radius: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One block of queries after the other: its k best over the chunks seen, which raise what further chunks must reach."""
     dim = pivots.shape[1]
+    held, key, q, need, floor = None, None, None, None, None
+
+    def done() -> pa.RecordBatch:
+        cols = held.rows(-held.scores >= floor[:, None])  # less than the pivots alone reach is never needed
+        return pa.record_batch([pa.array(cols[0]), pa.array(cols[1]), pa.array(-cols[2])], names=["query_id", "vec_id", "score"])
+
     for batch in batches:
         for i in range(batch.num_rows):
             row = batch.slice(i, 1)
+            if key != (new := tuple(row.column(c)[0].as_py() for c in ("grp", "block", "part"))):
+                if held:
+                    yield done()
+                held, key = V.Lists(np.asarray(row.column("q_vec_id")[0].values), k, np.iinfo(np.int64).max), new
+                q = np.asarray(row.column("q_embedding")[0].values.flatten()).reshape(-1, dim)
+                floor = np.asarray(row.column("q_kth")[0].values)
+                need = floor.copy()
             cell = row.column("cell")[0].as_py()
-            ids = np.frombuffer(row.column("ids")[0].as_buffer(), np.int64)
-            x = np.frombuffer(row.column("vectors")[0].as_buffer(), np.float64).reshape(-1, dim)
-            q_ids = np.asarray(row.column("q_vec_id")[0].values)
-            q = np.asarray(row.column("q_embedding")[0].values.flatten()).reshape(-1, dim)
-            need = np.asarray(row.column("q_kth")[0].values)
             reach = q @ pivots[cell] + np.sqrt((q**2).sum(1)) * radius[cell]
-            open_ = reach * (1 + 1e-9) + 1 >= need
-            if not open_.any():
+            open_ = np.flatnonzero(reach * (1 + 1e-9) + 1 >= need)
+            if not len(open_):
                 continue
-            scores = _inner(q[open_], x)
-            found = list(V.best(-scores, ids, q_ids[open_], k))
-            cols = [np.concatenate(c) for c in zip(*found, strict=True)]
-            yield pa.record_batch([pa.array(cols[0]), pa.array(cols[1]), pa.array((-cols[2]).astype(np.int64))], names=["query_id", "vec_id", "score"])
+            ids = np.frombuffer(row.column("ids")[0].as_buffer(), np.int64)
+            x = np.frombuffer(row.column("vectors")[0].as_buffer(), np.float64).reshape(-1, dim)
+            for lo in range(0, len(open_), 128):
+                rows = open_[lo : lo + 128]
+                held.add(rows, ids, -_inner(q[rows], x).astype(np.int64))
+            full = held.scores[:, -1] != held.worst
+            need = np.where(full, np.maximum(need, -held.scores[:, -1].astype(float)), need)
+    if held:
+        yield done()
 
 
 def top_inner_products(vectors: DataFrame, queries, k: int = 5, scale: int = 256) -> DataFrame:
@@ -102,7 +119,8 @@ def top_inner_products(vectors: DataFrame, queries, k: int = 5, scale: int = 256
     v, dim = V.valid_vectors(vectors, zeros=True)
     if not dim:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    n = max(k + 1, min(PIVOTS, int(v.count() ** 0.5) // 4))
+    total = v.count()
+    n = max(k + 1, min(PIVOTS, int(total**0.5) // 4))
     rows = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n).toArrow().combine_chunks()
     pivot_ids, pivots = rows.column("vec_id").to_numpy(), np.floor(scale * V.matrix(rows.column("embedding").combine_chunks(), dim))
     placed = v.mapInArrow(functools.partial(_cells, scale, k, pivots, pivot_ids), "vec_id long, embedding array<double>, cell int, radius double, kth double")
@@ -115,8 +133,11 @@ def top_inner_products(vectors: DataFrame, queries, k: int = 5, scale: int = 256
         if r["q"]:
             spread[r["cell"]], bound[r["cell"]] = r["radius"], r["kth"]
     size = np.sqrt((pivots**2).sum(1))
-    need = [(int(c), int(g)) for g in np.flatnonzero(spread >= 0) for c in np.flatnonzero(count > 0) if pivots[g] @ pivots[c] + size[g] * radius[c] + spread[g] * (size[c] + radius[c]) + 1 >= bound[g]]
-    needed = spark.createDataFrame(need, "cell int, grp int")  # at most PIVOTS squared rows
+    reach = pivots @ pivots.T + np.outer(size, radius) + spread[:, None] * (size + radius)[None, :]
+    open_ = (spread >= 0)[:, None] & (count > 0)[None, :] & (reach + 1 >= bound[:, None])
+    # of each group (at most PIVOTS) a row with its cells
+    pairs = [(g, np.flatnonzero(open_[g]).tolist()) for g in np.flatnonzero(spread >= 0).tolist()]
+    needed = spark.createDataFrame(pairs, "grp int, cells array<int>").select("grp", F.explode("cells").alias("cell"))
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")
@@ -124,7 +145,7 @@ def top_inner_products(vectors: DataFrame, queries, k: int = 5, scale: int = 256
     asked = placed.where(queries).withColumnRenamed("cell", "grp")
     sizes = asked.groupBy("grp").count().select("grp", F.ceil(F.col("count") / V.BLOCK).cast("int").alias("blocks"))
     blocks = V.blocks_of(asked.join(sizes, "grp"), "blocks", ("grp",), ("kth",))
-    salts = 8
+    salts = max(2, -(-total // (COVERED * V.CHUNK)))
     blocks = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     spread_chunks = chunks.withColumn("part", F.pmod(F.xxhash64("chunk"), F.lit(salts)).cast("int")).join(needed, "cell")
     met = spread_chunks.join(blocks, ["grp", "part"])

@@ -95,6 +95,13 @@ QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_html_extract, op3_ann,
 _VECTORS = "SELECT vec_id, min(embedding::DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id"
 
 ORACLE_SQL = {
+    # all distances, exactly: the search must find the true neighbours here (its recall on larger tables is tested apart)
+    "op3_ann": f"""
+WITH v AS (SELECT vec_id, e FROM ({_VECTORS}) WHERE len(list_filter(e, lambda x: x <> 0)) > 0),
+     s AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_sum(list_transform(list_zip(q.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS score
+           FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+     r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
     "op9_knn_join": f"""
 WITH v AS (SELECT vec_id, list_transform(e, lambda x: CAST(floor(256 * x) AS BIGINT)) AS e FROM ({_VECTORS})),
      s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score

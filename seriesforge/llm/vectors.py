@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -55,12 +53,30 @@ def top(rows: DataFrame, k: int, ascending: bool) -> DataFrame:
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def best(scores: np.ndarray, ids: np.ndarray, q_ids: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Of each query (row) its k least scores, ties to the smaller id, without its own id."""
-    for q, row in zip(q_ids, scores, strict=True):
-        ok = np.flatnonzero((ids != q) & np.isfinite(row))
-        if len(ok) > k:
-            edge = np.partition(row[ok], k - 1)[k - 1]
-            ok = ok[row[ok] <= edge]
-        ok = ok[np.lexsort((ids[ok], row[ok]))][:k]
-        yield np.full(len(ok), q), ids[ok], row[ok]
+class Lists:
+    """The k least scores of each query of a block, ties to the smaller id, over the rows seen so far; a query's own row doesn't count."""
+
+    def __init__(self, q_ids: np.ndarray, k: int, worst):
+        self.q_ids, self.k, self.worst = q_ids, k, worst
+        self.ids = np.full((len(q_ids), k), np.iinfo(np.int64).max)
+        self.scores = np.full((len(q_ids), k), worst)
+
+    def add(self, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        """scores: of these queries (places in the block) with these ids."""
+        scores[self.q_ids[rows, None] == ids[None, :]] = self.worst
+        every = np.concatenate([self.scores[rows], scores], 1)
+        edge = np.partition(every, self.k - 1, axis=1)[:, self.k - 1 : self.k]
+        q, col = np.nonzero(every <= edge)
+        value = every[q, col]
+        own = col < self.k
+        found = np.where(own, self.ids[rows[q], np.minimum(col, self.k - 1)], ids[np.maximum(col - self.k, 0)])
+        order = np.lexsort((found, value, q))
+        q, found, value = q[order], found[order], value[order]
+        keep = np.arange(len(q)) - np.searchsorted(q, np.arange(len(rows)))[q] < self.k
+        self.ids[rows], self.scores[rows] = found[keep].reshape(-1, self.k), value[keep].reshape(-1, self.k)
+
+    def rows(self, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """query, id and score of what was found, and of that only where keep is true."""
+        some = self.scores != self.worst
+        some = some if keep is None else some & keep
+        return np.broadcast_to(self.q_ids[:, None], some.shape)[some], self.ids[some], self.scores[some]
