@@ -3,22 +3,30 @@
 1. A host's page of least page_id (the shortest, then least, html among equal
    ids) is its reference; one row for each host, by aggregation.
 2. Each page's DOM tree is aligned with its host's reference tree by simple
-   tree matching: nodes match if tag and class agree, children are matched in
-   order, and the number of matched nodes is greatest. A page's block of text
-   thus falls into a slot, the reference node that its own node matches.
-3. Of each slot the texts and the number of different pages with each are
-   counted over all pages. A text that at least CONSTANT of a slot's pages have
-   (of LEAST_PAGES or more different ones, so that copies of one page do not
-   count) is template; what varies is content.
-4. A page's text is that of its article (else of its main part, else of the
-   part with the most varying text), without template, and without what the
-   markup itself names as menu, header, footer, sidebar, notice, advert, form,
-   comments, script or style.
-
-References and template texts are sent to all tasks if they are at most
-BROADCAST bytes, which is checked; beyond that they are joined to the pages by
-host. Child lists whose product passes CELLS are matched in order, label by
-label, instead of by dynamic programming.
+   tree matching: nodes match if their labels agree, children are matched in
+   order, and the number of matched nodes is greatest. Every block of text of
+   the page thus falls into a slot, the innermost reference node that a node
+   around it matches.
+3. Of each slot the texts are counted over all pages. A text that stays the
+   same is template: at least CONSTANT of the host's pages in that branch of the
+   body have it, and so many of them that the lower bound of that share
+   (Wilson's, at two deviations) is over SURE. Pages whose main text is the same
+   by their own tree count once. What varies is content.
+4. The wrapper of a host is the reference node that holds most of the varying
+   text: from the body downwards, the child with most of it as long as that is
+   MOST of the whole. Names break ties: varying text in what the markup calls an
+   article or main part weighs NAMED times as much, in what it calls menu,
+   footer, advert and the like NAMED times less. An article is not divided.
+5. A page's text is what stands in the wrapper's node, without template, and
+   without scripts, styles, forms and parts that the markup names as no article.
+   A page that has nothing there, or whose own article element lies elsewhere,
+   is read by its own tree: its article, else its main part, else where its
+   text is. A template that would leave less than half of that isn't applied.
+
+References are sent to all tasks if they are at most BROADCAST bytes, which is
+checked; beyond that they are joined to the pages by host and one of SALTS
+parts, as are the wrappers. Trees of any depth and lists of any length are
+matched in full.
 
 Null html is empty and has an empty text; a null url is a host of its own;
 null and repeated page_id values pass through. Other columns are ignored.
@@ -29,8 +37,11 @@ from __future__ import annotations
 import functools
 import html as entities
 import re
+import sys
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -38,10 +49,11 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-CONSTANT, LEAST_PAGES = 0.95, 10
+CONSTANT, SURE, MOST, NAMED = 0.95, 0.7, 0.7, 4
 BROADCAST = 16 << 20
-CELLS = 40_000
-DEPTH = 200
+SALTS = 64
+#: Cells of a table of two child lists that is held at once; longer lists are halved, with the same result.
+CELLS = 1 << 20
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|"
@@ -57,41 +69,64 @@ _DROPPED = frozenset("head nav footer aside form button select option input dial
 _P_ENDS = _BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot"}
 _CLOSES = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = {"li": {"ul", "ol"}, "dd": {"dl"}, "dt": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
-#: Words of class, id and role that name what isn't the article.
+#: Elements that are known by their tag alone; of others the first class, without digits, is part of their label.
+_PLAIN = frozenset("html body article main".split())
+#: Words of class, id and role that name what isn't the article. Fixed values.
 _NAMES = frozenset("nav navbar navigation menu topbar header masthead banner footer contentinfo sidebar complementary ad ads advert adverts advertisement advertising sponsored sponsor promo promotion cookie cookies notice notices consent gdpr comment comments disqus respond share sharing social related recommended breadcrumb breadcrumbs newsletter subscribe subscription login signup search popup modal widget pagination pager toolbar alert dialog".split())
 _MAIN = frozenset("main content article post entry story".split())
+#: Words that may stand beside them in such a name. Fixed values.
+_BESIDE = frozenset("site page global top bottom left right upper lower primary secondary box block area section wrapper wrap container list links bar text inner outer item items the".split())
+
+
+def _no_article(names: list[str]) -> bool:
+    """Whether one of these names, as a whole, says that something isn't the article: has-sidebar and entry-header don't."""
+    for name in names:
+        words = set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()))
+        said = words & _NAMES
+        if said and words <= _NAMES | _BESIDE | _MAIN and not (words & _MAIN and said <= {"header", "banner", "masthead"}):
+            return True
+    return False
 
 
 class Node:
-    __slots__ = ("tag", "label", "words", "kids", "drop", "shape")
+    __slots__ = ("tag", "label", "main", "named", "kids", "drop", "shape")
 
     def __init__(self, tag: str, attrs: str = ""):
         self.tag, self.kids, self.shape = tag, [], -1
-        self.words: list[str] = []
-        hidden, name = False, ""
+        names: list[str] = []
+        hidden, first = False, ""
         if attrs:
             for key, *values in _ATTR.findall(attrs):
                 value = "".join(values)
                 key = key.lower()
-                if key == "class":
-                    name = value
+                if key == "class" and value.split():
+                    first = re.sub("[0-9]+", "", value.split()[0])
                 if key == "hidden" or key == "aria-hidden" and value == "true":
                     hidden = True
-                self.words += re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
-        self.label = f"{tag}.{name}"
-        self.drop = tag in _DROPPED or hidden or tag != "body" and not _NAMES.isdisjoint(self.words)
+                elif key != "aria-hidden":
+                    names += value.split()
+        self.label = tag if tag in _PLAIN else f"{tag}.{first}"
+        self.main = tag in ("article", "main") or not _MAIN.isdisjoint(n.lower() for n in names)
+        self.named = tag not in ("html", "body", "article", "main") and _no_article(names)
+        self.drop = tag in _DROPPED or hidden
 
 
 def parse(text: str) -> Node:
-    """The DOM tree; unclosed elements end where HTML lets them, and nesting beyond DEPTH is flat."""
+    """The DOM tree; unclosed elements end where HTML lets them. What is named as no article but holds the article isn't dropped."""
     root = Node("html")
-    stack, at = [root], 0
+    stack, at, opened = [root], 0, Counter()
+
+    def close(i: int) -> None:
+        for n in stack[i:]:
+            opened[n.tag] -= 1
+        del stack[i:]
+
     while True:
         m = _TAG.search(text, at)
         if m is None:
             if at < len(text):
                 stack[-1].kids.append(text[at:])
-            return root
+            break
         if m.start() > at:
             stack[-1].kids.append(text[at : m.start()])
         at = m.end()
@@ -100,35 +135,54 @@ def parse(text: str) -> Node:
             continue
         tag = tag.lower()
         if m["close"] or m["close2"]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if stack[i].tag in ("article", "body", "table") and tag not in _BLOCK:
-                    break
+            if opened[tag] > 0:
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i].tag == tag:
+                        close(i)
+                        break
+                    if stack[i].tag in ("article", "body", "table") and tag not in _BLOCK:
+                        break
             continue
-        if tag in _P_ENDS:
+        if tag in _P_ENDS and opened["p"] > 0:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == "p":
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag in _BLOCK:
                     break
-        if tag in _CLOSES:
+        if tag in _CLOSES and any(opened[t] > 0 for t in _CLOSES[tag]):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in _CLOSES[tag]:
-                    del stack[i:]
+                    close(i)
                 elif stack[i].tag in _SCOPE[tag]:
                     break
-        if tag in ("html", "body") and any(n.tag == tag for n in stack[1:]) or tag == "html":
+        if tag == "html" or tag == "body" and opened["body"] > 0:
             continue
         node = Node(tag, m["attrs"] or "")
         stack[-1].kids.append(node)
         if tag in _END:
             end = _END[tag].search(text, at)
             at = end.end() if end else len(text)
-        elif tag not in _VOID and not (m["attrs"] or "").rstrip().endswith("/") and len(stack) < DEPTH:
+        elif tag not in _VOID and not (m["attrs"] or "").rstrip().endswith("/"):
             stack.append(node)
+            opened[tag] += 1
+    _settle(root)
+    return root
+
+
+def _settle(root: Node) -> None:
+    """Drops what is named as no article, unless an article or main element stands below it."""
+    todo, holds = [(root, False)], {}
+    while todo:
+        n, done = todo.pop()
+        kids = [k for k in n.kids if type(k) is Node]
+        if not done:
+            todo.append((n, True))
+            todo += [(k, False) for k in kids]
+        else:
+            holds[id(n)] = not n.drop and (n.tag in ("article", "main") or any(holds[id(k)] for k in kids))
+            n.named = n.named and not holds[id(n)]
+            n.drop = n.drop or n.named
 
 
 def _shape(node: Node) -> int:
@@ -147,14 +201,46 @@ def _shape(node: Node) -> int:
 _weights: dict[tuple[int, int], int] = {}
 
 
-def _table(a: list[Node], b: list[Node]) -> list[list[int]]:
-    rows = [[0] * (len(b) + 1)]
-    for x in a:
-        last, row = rows[-1], [0]
-        for j, y in enumerate(b):
-            row.append(max(last[j + 1], row[j], last[j] + weight(x, y) if x.label == y.label else 0))
-        rows.append(row)
-    return rows
+def _row(x: Node, ys: list[Node], last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One more row of the table of best sums, and what x is worth with each of ys."""
+    worth: dict[int, int] = {}
+    for y in ys:
+        if y.shape not in worth:
+            worth[y.shape] = weight(x, y)
+    w = np.array([worth[y.shape] for y in ys])
+    row = np.zeros(len(ys) + 1, np.int64)
+    np.maximum.accumulate(np.maximum(last[1:], np.where(w > 0, last[:-1] + w, 0)), out=row[1:])
+    return row, w
+
+
+def _matched(xs: list[Node], ys: list[Node]) -> list[tuple[Node, Node]]:
+    """The pairs of greatest weight that keep the order; long lists are halved where the sums of both halves are greatest."""
+    if not xs or not ys:
+        return []
+    if len(xs) == 1 or len(xs) * len(ys) <= CELLS:
+        rows, worths = [np.zeros(len(ys) + 1, np.int64)], []
+        for x in xs:
+            row, w = _row(x, ys, rows[-1])
+            rows.append(row)
+            worths.append(w)
+        i, j, out = len(xs), len(ys), []
+        while i and j:
+            if worths[i - 1][j - 1] and rows[i][j] == rows[i - 1][j - 1] + worths[i - 1][j - 1]:
+                i, j = i - 1, j - 1
+                out.append((xs[i], ys[j]))
+            elif rows[i][j] == rows[i - 1][j]:
+                i -= 1
+            else:
+                j -= 1
+        return out[::-1]
+    mid = len(xs) // 2
+    before = after = np.zeros(len(ys) + 1, np.int64)
+    for x in xs[:mid]:
+        before, _ = _row(x, ys, before)
+    for x in reversed(xs[mid:]):
+        after, _ = _row(x, ys[::-1], after)
+    cut = int((before + after[::-1]).argmax())
+    return _matched(xs[:mid], ys[:cut]) + _matched(xs[mid:], ys[cut:])
 
 
 def weight(a: Node, b: Node) -> int:
@@ -162,45 +248,28 @@ def weight(a: Node, b: Node) -> int:
     if a.label != b.label:
         return 0
     key = (a.shape, b.shape)
-    if key not in _weights:
-        pairs = _pairs(a, b)
-        _weights[key] = 1 + sum(weight(x, y) for x, y in pairs)
+    known = _weights.get(key)
+    if known is None:
+        known = 1
+        for x, y in _pairs(a, b):
+            known += weight(x, y)
         if len(_weights) > 200_000:
             _weights.clear()
-            return 1 + sum(weight(x, y) for x, y in pairs)
-    return _weights[key]
+        _weights[key] = known
+    return known
 
 
 def _pairs(a: Node, b: Node) -> list[tuple[Node, Node]]:
     """The matched children of two matching nodes."""
     x, y = [k for k in a.kids if type(k) is Node], [k for k in b.kids if type(k) is Node]
-    head, tail = [], []
-    while x and y and x[0].shape == y[0].shape:
-        head.append((x.pop(0), y.pop(0)))
-    while x and y and x[-1].shape == y[-1].shape:
-        tail.append((x.pop(), y.pop()))
-    if x and y and len(x) * len(y) <= CELLS:
-        rows = _table(x, y)
-        i, j, mid = len(x), len(y), []
-        while i and j:
-            if x[i - 1].label == y[j - 1].label and rows[i][j] == rows[i - 1][j - 1] + weight(x[i - 1], y[j - 1]):
-                i, j = i - 1, j - 1
-                mid.append((x[i], y[j]))
-            elif rows[i][j] == rows[i - 1][j]:
-                i -= 1
-            else:
-                j -= 1
-        head += mid[::-1]
-    elif x and y:
-        by_label: dict[str, list[Node]] = {}
-        for k in y:
-            by_label.setdefault(k.label, []).append(k)
-        at = dict.fromkeys(by_label, 0)
-        for k in x:
-            if at.get(k.label, 0) < len(by_label.get(k.label, ())):
-                head.append((k, by_label[k.label][at[k.label]]))
-                at[k.label] += 1
-    return head + tail[::-1]
+    lo, hi, least = 0, 0, min(len(x), len(y))
+    while lo < least and x[lo].shape == y[lo].shape:
+        lo += 1
+    while hi < least - lo and x[-1 - hi].shape == y[-1 - hi].shape:
+        hi += 1
+    ends = lambda k: (k[:lo], k[lo : len(k) - hi], k[len(k) - hi :])
+    (head, xs, tail), (head2, ys, tail2) = ends(x), ends(y)
+    return [*zip(head, head2, strict=True), *_matched(xs, ys), *zip(tail, tail2, strict=True)]
 
 
 def align(page: Node, reference: Node, number: dict[int, int]) -> dict[int, int]:
@@ -214,11 +283,12 @@ def align(page: Node, reference: Node, number: dict[int, int]) -> dict[int, int]
 
 
 def numbered(tree: Node) -> dict[int, int]:
+    """The nodes' places in the order of the page, so that what is below a node follows it."""
     out, todo = {}, [tree]
     while todo:
         n = todo.pop()
         out[id(n)] = len(out)
-        todo += [k for k in n.kids if type(k) is Node]
+        todo += [k for k in reversed(n.kids) if type(k) is Node]
     return out
 
 
@@ -269,35 +339,84 @@ def _find(tree: Node, test) -> list[Node]:
     return out
 
 
-def _links(node: Node) -> int:
-    total, todo = 0, [(node, False)]
-    while todo:
-        n, linked = todo.pop()
-        for k in n.kids:
-            if type(k) is str:
-                total += len(k.strip()) * linked
-            else:
-                todo.append((k, linked or k.tag == "a"))
-    return total
-
-
-def content(tree: Node, is_template=lambda node, text: False) -> list[tuple[Node, str]]:
-    """The blocks of a page's main part that aren't template."""
-    size = lambda n: sum(len(t) for o, t in _walk(n) if not is_template(o, t))
-    for test in (lambda n: n.tag == "article", lambda n: n.tag == "main" or "main" in n.words, lambda n: n.tag in ("div", "section", "td") and not _MAIN.isdisjoint(n.words)):
-        found = [[x for x in _walk(n, True) if not is_template(*x)] for n in _find(tree, test)]
+def content(tree: Node) -> tuple[list[tuple[Node, str]], int]:
+    """The blocks of a page's main part by its own tree alone, and what says so: 2 an article element, 1 a name, 0 where the text is."""
+    for kind, test in ((2, lambda n: n.tag == "article"), (1, lambda n: n.main and n.tag not in ("html", "body"))):
+        found = [list(_walk(n, True)) for n in _find(tree, test)]
         sizes = [sum(len(t) for _, t in blocks) for blocks in found]
         if any(sizes):
-            return [x for blocks, n in zip(found, sizes, strict=True) if n >= max(sizes) / 4 for x in blocks]
+            return [x for blocks, n in zip(found, sizes, strict=True) if n >= max(sizes) / 4 for x in blocks], kind
     node = next(iter(_find(tree, lambda n: n.tag == "body")), tree)
-    while True:  # down to where the varying text is
+    size, todo = Counter(), [(node, False)]
+    for owner, text in _walk(node):
+        size[id(owner)] += len(text)
+    while todo:
+        n, done = todo.pop()
+        kids = [k for k in n.kids if type(k) is Node]
+        if done:
+            size[id(n)] += sum(size[id(k)] for k in kids)
+        else:
+            todo += [(n, True), *((k, False) for k in kids)]
+    while True:  # down to where the text is
         kids = [k for k in node.kids if type(k) is Node and k.tag in _BLOCK and k.tag != "p" and not k.drop]
-        best = max(kids, key=size, default=None)
-        if best is None or size(best) < 0.7 * size(node):
+        best = max(kids, key=lambda k: size[id(k)], default=None)
+        if best is None or size[id(best)] < MOST * size[id(node)] or not size[id(best)]:
             break
         node = best
-    blocks = [x for x in _walk(node) if not is_template(*x)]
-    return [(o, t) for o, t in blocks if _links(o) <= 0.6 * len(t)]
+    return list(_walk(node)), 0
+
+
+def _everything(tree: Node) -> Iterator[tuple[Node, str, list[Node], bool, bool]]:
+    """All blocks of text of the body, in page order, with their elements from the outside in, whether markup says that they are no article, and whether most of it is links."""
+    buffer: list[str] = []
+    path: list[Node] = [tree]
+    dropped = links = linked = 0
+    todo: list = [(k, 0) for k in reversed(tree.kids)]
+
+    def block() -> Iterator[tuple]:
+        nonlocal linked
+        text = " ".join(entities.unescape("".join(buffer)).split())
+        if text:
+            yield path[-1], text, path, dropped > 0, linked > 0.6 * len(text)
+        buffer.clear()
+        linked = 0
+
+    while todo:
+        x, phase = todo.pop()
+        if type(x) is str:
+            buffer.append(x)
+            linked += len(x.strip()) * (links > 0)
+            continue
+        if x.tag in _UNREAD:
+            continue
+        if x.tag in _BLOCK or x.drop:
+            yield from block()
+            if phase:
+                path.pop()
+                dropped -= _dropped(x, path)
+                continue
+            dropped += _dropped(x, path)
+            path.append(x)
+            todo.append((x, 1))
+        elif x.tag == "a":
+            links += -1 if phase else 1
+            if phase:
+                continue
+            todo.append((x, 1))
+        elif x.tag in ("br", "hr"):
+            buffer.append(" ")
+        todo += [(k, 0) for k in reversed(x.kids)]
+    yield from block()
+
+
+#: Elements whose text isn't read at all.
+_UNREAD = frozenset("head script style title textarea noscript template svg iframe".split())
+
+
+def _dropped(x: Node, path: list[Node]) -> bool:
+    """Named as no article, or a header that isn't an article's own with a heading."""
+    inside = any(n.main for n in path) if x.tag == "header" else False
+    return x.drop or x.tag == "header" and not (inside and any(type(k) is Node and k.tag in ("h1", "h2") for k in x.kids))
 
 
 @functools.lru_cache(maxsize=256)
@@ -311,62 +430,130 @@ def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text) - (1 << 63)
 
 
-def _rows(batch: pa.RecordBatch, sent: dict, column: str) -> Iterator[tuple]:
-    own = batch.column(column).to_pylist() if column in batch.schema.names else None
-    for i, (host, text) in enumerate(zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True)):
-        yield i, host, text, own[i] if own else sent.get(host)
+BLOCK = pa.struct([("slot", pa.int32()), ("branch", pa.int32()), ("words", pa.int64()), ("text", pa.string()), ("drop", pa.bool_()), ("own", pa.bool_()), ("linked", pa.bool_())])
+READ = "host string, page_id long, url string, page long, kind int, blocks array<struct<slot:int,branch:int,words:bigint,text:string,drop:boolean,own:boolean,linked:boolean>>"
+
+
+def _blocks(tree: Node, slots: dict[int, int]) -> tuple[list[dict], int]:
+    """The page's blocks with slot and branch (the slot of the body's child around them; -1: none), and what its own main part is (as in content)."""
+    kept, kind = content(tree)
+    own = Counter((id(o), t) for o, t in kept)
+    out = []
+    for owner, text, path, drop, linked in _everything(tree):
+        known = next((slots[id(n)] for n in reversed(path) if id(n) in slots), -1)
+        body = next((i for i, n in enumerate(path[:3]) if n.tag == "body"), 0)
+        branch = slots.get(id(path[body + 1]), -1) if len(path) > body + 1 else -1
+        mine = own[id(owner), text] > 0
+        own[id(owner), text] -= mine
+        out.append({"slot": known, "branch": branch, "words": _hash(text), "text": text, "drop": drop, "own": mine, "linked": linked})
+    return out, kind
 
 
 @C.tidy
-def _slots(references: dict[str, str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _read(references: dict[str, str] | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sys.setrecursionlimit(1 << 30)  # trees are as deep as pages make them
     for batch in batches:
-        out = set()
-        for _, host, text, ref in _rows(batch, references, "reference"):
-            tree = parse(text)
+        own = None if references is not None else batch.column("reference").to_pylist()
+        rows: list[tuple] = []
+        for i, (host, html) in enumerate(zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True)):
+            tree = parse(html)
             _shape(tree)
-            slots = align(tree, *_reference(ref or ""))
-            page = _hash(text)
-            out.update((host, slots[id(o)], _hash(t), page) for o, t in content(tree) if id(o) in slots)
-        if out:
-            cols = list(zip(*out, strict=True))
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["host", "slot", "words", "page"])
+            blocks, kind = _blocks(tree, align(tree, *_reference((own[i] if own else references.get(host)) or "")))
+            rows.append((_hash("\n".join(b["text"] for b in blocks if b["own"])), kind, blocks))
+        if rows:
+            cols = list(zip(*rows, strict=True))
+            yield pa.record_batch([*(batch.column(c) for c in ("host", "page_id", "url")), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.list_(BLOCK))], names=["host", "page_id", "url", "page", "kind", "blocks"])
+
+
+def wrapper(tree: Node, mass: dict[int, float]) -> tuple[int, int, bool]:
+    """The slots [lo, hi) of the node that holds most of the varying text, and whether it is an article or main part."""
+    number = numbered(tree)
+    nodes: list[tuple[Node, bool, bool]] = []
+    todo = [(tree, False, False)]
+    while todo:  # in the order of their numbers
+        n, named, main = todo.pop()
+        here = named or n.drop, main or n.main
+        nodes.append((n, *here))
+        todo += [(k, *here) for k in reversed(n.kids) if type(k) is Node]
+    own = [mass.get(i, 0.0) * (1 / NAMED if named else NAMED if main else 1) for i, (_, named, main) in enumerate(nodes)]
+    total = np.concatenate([[0.0], np.cumsum(own)])
+    end = {}
+    for n, _, _ in reversed(nodes):
+        end[id(n)] = max([number[id(n)] + 1, *(end[id(k)] for k in n.kids if type(k) is Node)])
+    held = lambda n: total[end[id(n)]] - total[number[id(n)]]
+    node = tree
+    while node.tag not in ("article", "main"):
+        kids = [k for k in node.kids if type(k) is Node and k.tag in _BLOCK and k.tag not in ("p", "ul", "ol")]
+        best = max(kids, key=held, default=None)
+        heading = any(type(k) is Node and k.tag in ("h1", "h2") and held(k) > 0 for k in node.kids)
+        if best is None or held(best) <= 0 or held(best) < MOST * held(node) or heading:
+            break
+        node = best
+    return number[id(node)], end[id(node)], node.main
+
+
+@C.tidy
+def _wrap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sys.setrecursionlimit(1 << 30)
+    for batch in batches:
+        made = []
+        for html, slots in zip(batch.column("reference").to_pylist(), batch.column("slots").to_pylist(), strict=True):
+            made.append(wrapper(parse(html), {s["slot"]: s["mass"] for s in slots or ()}))
+        if made:
+            cols = list(zip(*made, strict=True))
+            yield pa.record_batch([batch.column("host"), batch.column("template"), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.bool_())], names=["host", "template", "lo", "hi", "main"])
+
+
+def _chosen(blocks: list[dict], kind: int, lo: int, hi: int, main: bool, template: set) -> list[dict]:
+    inside = [b for b in blocks if lo <= b["slot"] < hi and not b["drop"] and (main or not b["linked"])]
+    if not inside or kind == 2 and not any(b["own"] for b in inside):
+        inside = [b for b in blocks if b["own"] and (kind or not b["linked"])]
+    varying = [b for b in inside if (b["slot"], b["words"]) not in template]
+    size = lambda some: sum(len(b["text"]) for b in some)
+    return varying if 2 * size(varying) >= size(inside) else inside
 
 
 @C.tidy
-def _extract(references: dict[str, str], templates: dict[str, list], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
-        own = batch.column("template").to_pylist() if "template" in batch.schema.names else None
-        for i, host, text, ref in _rows(batch, references, "reference"):
-            tree = parse(text)
-            known = {(t["slot"], t["words"]) for t in (own[i] if own else templates.get(host)) or ()}
-            is_template = lambda node, text: False
-            if known:
-                _shape(tree)
-                slots = align(tree, *_reference(ref or ""))
-                is_template = lambda node, text, known=known, slots=slots: (slots.get(id(node)), _hash(text)) in known
-            texts.append("\n\n".join(t for _, t in content(tree, is_template)))
+        columns = (batch.column(c).to_pylist() for c in ("blocks", "kind", "lo", "hi", "main", "template"))
+        for blocks, kind, lo, hi, main, template in zip(*columns, strict=True):
+            known = {(t["slot"], t["words"]) for t in template or ()}
+            texts.append("\n\n".join(b["text"] for b in _chosen(blocks, kind, lo or 0, hi or 0, bool(main), known)))
         yield pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
-def _sent(df: DataFrame, key: str, value: str, size) -> dict | None:
-    """The table as a dict if it is small enough to send to all tasks, which is checked first."""
-    total = df.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
-    return {r[key]: r[value] for r in df.collect()} if total <= BROADCAST else None
+def _by_host(pages: DataFrame, hosts: DataFrame, salt: list[str]) -> DataFrame:
+    """A row of hosts beside each page; a large host's pages are dealt to SALTS parts."""
+    dealt = pages.withColumn("salt", F.pmod(F.xxhash64(*salt), F.lit(SALTS)).cast("int"))
+    copies = hosts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(copies, ["host", "salt"], "left").drop("salt")
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url and text: the blocks of the page's main text, white space made single, joined by two line breaks."""
     url = F.col("url").cast("string")
-    df = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), F.coalesce(F.lower(F.regexp_extract(url, "^[a-zA-Z]+://([^/?#]*)", 1)), F.lit("")).alias("host"))
+    host = F.coalesce(F.lower(F.regexp_extract(url, "^[a-zA-Z]+://([^/?#]*)", 1)), F.lit(""))
+    df = pages.select(host.alias("host"), F.col("page_id").cast("long").alias("page_id"), url.alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     first = df.groupBy("host").agg(F.min(F.struct("page_id", F.length("html").alias("n"), "html"))["html"].alias("reference"))
-    references = _sent(first, "host", "reference", F.octet_length("reference") + 64)
-    aligned = df if references is not None else df.join(first, "host", "left")
-    slots = aligned.drop("page_id", "url").mapInArrow(functools.partial(_slots, references or {}), "host string, slot int, words long, page long")
-    counts = slots.distinct().groupBy("host", "slot", "words").agg(F.count("*").alias("n")).groupBy("host", "slot").agg(F.sum("n").alias("pages"), F.max(F.struct("n", "words")).alias("most"))
-    constant = counts.where((F.col("pages") >= LEAST_PAGES) & (F.col("most.n") >= CONSTANT * F.col("pages")))
-    template = constant.groupBy("host").agg(F.collect_list(F.struct("slot", F.col("most.words").alias("words"))).alias("template"))
-    templates = _sent(template, "host", "template", F.size("template") * 64 + 64)
-    if templates is None:
-        aligned = aligned.join(template, "host", "left")
-    return aligned.mapInArrow(functools.partial(_extract, references or {}, templates or {}), "page_id long, url string, text string")
+    size = first.agg(F.coalesce(F.sum(F.octet_length("reference") + 64), F.lit(0))).first()[0]
+    references = {r["host"]: r["reference"] for r in first.collect()} if size <= BROADCAST else None
+    aligned = df if references is not None else _by_host(df, first, ["page_id", "html"])
+    read = C.stage(aligned.mapInArrow(functools.partial(_read, references), READ), "blocks")
+
+    block = read.select("host", "page", F.explode("blocks").alias("b")).where("b.slot >= 0")
+    block = block.select("host", "page", "b.slot", "b.branch", "b.words", F.length("b.text").alias("n"))
+    texts = block.distinct().groupBy("host", "slot", "branch", "words").agg(F.count("*").alias("pages"), F.max("n").alias("n"))
+    reach = block.select("host", "branch", "page").distinct().groupBy("host", "branch").agg(F.count("*").alias("all"))
+    share, n = F.col("pages") / F.col("all"), F.col("all")
+    sure = (share + 2 / n - 2 * F.sqrt(share * (1 - share) / n + 1 / (n * n))) / (1 + 4 / n)
+    judged = texts.join(reach, ["host", "branch"]).withColumn("constant", (share >= CONSTANT) & (sure >= SURE))
+    slots = judged.groupBy("host", "slot").agg(F.sum(F.when(~F.col("constant"), F.col("n") * F.col("pages")).otherwise(0)).cast("double").alias("mass"))
+    slots = slots.groupBy("host").agg(F.collect_list(F.struct("slot", "mass")).alias("slots"))
+    template = judged.where("constant").groupBy("host").agg(F.collect_list(F.struct("slot", "words")).alias("template"))
+    kind = "array<struct<slot:int,words:bigint>>"
+    wrappers = C.stage(first.join(slots, "host", "left").join(template, "host", "left").mapInArrow(_wrap, f"host string, template {kind}, lo int, hi int, main boolean"), "wrappers")
+    small = wrappers.agg(F.coalesce(F.sum(F.coalesce(F.size("template"), F.lit(0)) * 16 + F.octet_length("host") + 64), F.lit(0))).first()[0] <= BROADCAST
+    met = read.join(F.broadcast(wrappers), "host", "left") if small else _by_host(read, wrappers, ["page_id", "page"])
+    return met.select("page_id", "url", "blocks", "kind", "lo", "hi", "main", "template").mapInArrow(_write, "page_id long, url string, text string")

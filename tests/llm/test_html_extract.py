@@ -1,4 +1,9 @@
+import html
 import itertools
+import os
+import re
+
+import pytest
 
 from seriesforge.llm import html_extract as H
 from seriesforge.llm.queries import QUERIES
@@ -42,6 +47,72 @@ def test_template_is_what_stays_the_same(spark, monkeypatch):
     assert {r.page_id: r.text for r in H.extract_text(df).collect()} == plain
 
 
+def soup(i, classes="a b c d"):
+    """A page without a telling name: menu, teaser and imprint in plain divs, and a text that varies with i."""
+    a, b, c, d = classes.split()
+    paras = "".join(f"<p>paragraph {i} {j} says something of its own, at some length</p>" for j in range(2 + i % 3))
+    return f"<html><body><div class={a}><div>Start</div><div>Contact us</div></div><div class={b}><h1>Story {i}</h1><div class={d}>Share this story with all your friends and family now</div>{paras}</div><div class={c}>All rights reserved by the publishing house</div></body></html>"
+
+
+def test_alignment_finds_what_no_name_tells(spark, monkeypatch):
+    rows = [(i, f"https://soup.example/{i}", soup(i)) for i in range(30)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    want = {i: "\n\n".join([f"Story {i}", *(f"paragraph {i} {j} says something of its own, at some length" for j in range(2 + i % 3))]) for i in range(30)}
+    assert {r.page_id: r.text for r in H.extract_text(df).collect()} == want
+    alone = df.where("page_id = 3")  # nothing to align with
+    assert "Share this story" in H.extract_text(alone).first().text
+
+
+def test_names_that_only_look_like_chrome(spark):
+    rows = [
+        ("<article class='post has-sidebar'><h1>T</h1><p>one</p></article><div>other</div>", "T\n\none"),
+        ("<div class='site comments-open'><article><h1>T</h1><p>one</p><div class='post-comments'><p>I agree</p></div></article></div>", "T\n\none"),
+        ("<main class='ad-free'><h1>T</h1><p>one</p></main><div class='sidebar'>x</div>", "T\n\none"),
+        ("<article><div class='entry-header'><h1>T</h1></div><p>one</p><div class='social-links'>x</div></article>", "T\n\none"),
+        ("<article><header><h1>T</h1></header><p>one</p><footer>x</footer></article><header><h1>Site</h1></header>", "T\n\none"),
+        ("<div class='sidebar-box'><article><p>one</p></article></div>", "one"),
+        ("<article>" + "<div>" * 210 + "<nav>menu</nav><p>one</p>" + "</div>" * 210 + "</article>", "one"),
+    ]
+    df = spark.createDataFrame([(i, f"http://h{i}.example/", f"<html><body>{h}</body></html>") for i, (h, _) in enumerate(rows)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in H.extract_text(df).collect()}
+    assert [got[i] for i in range(len(rows))] == [t for _, t in rows]
+
+
+def test_near_copies_are_not_template(spark):
+    """Copies with other menus and titles: their paragraphs stay, on hosts of little else and on others."""
+    body = "".join(f"<p>the same long paragraph number {j} of the copied article</p>" for j in range(8))
+    copies = [(i, "http://copy.example/", f"<body><nav>{i}</nav><article><h1>Title {i}</h1>{body}</article></body>") for i in range(25)]
+    mixed = [(100 + i, "http://mixed.example/", f"<body><nav>{i}</nav><article><h1>Title {i}</h1>{body if i % 2 else f'<p>own text {i}</p>'}</article></body>") for i in range(40)]
+    got = {r.page_id: r.text for r in H.extract_text(spark.createDataFrame(copies + mixed, "page_id long, url string, html string")).collect()}
+    assert all(t.count("copied article") == 8 for i, t in got.items() if i < 100 or i % 2)
+    assert got[100] == "Title 0\n\nown text 0"
+
+
+def test_very_long_and_very_deep_pages(spark):
+    many = "".join(f"<p>para {i}</p>" for i in range(20_000))
+    deep = "<div>" * 20_000 + "deep" + "</div>" * 20_000
+    rows = [(1, "http://l.example/", f"<body><article>{many}</article></body>"), (2, "http://l.example/", f"<body><article>{many}<p>end</p></article></body>"), (3, "http://d.example/", deep), (4, "http://d.example/", deep + "x")]
+    got = {r.page_id: r.text for r in H.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1].count("para") == 20_000 and got[2].endswith("\n\nend") and got[3] == "deep" and got[4].startswith("deep")
+
+
+def test_halved_tables_match_like_whole_ones(monkeypatch):
+    import random
+
+    r = random.Random(2)
+    tree = lambda: H.parse("<div>" + "".join(f"<{t}><i></i></{t}>" if r.random() < 0.5 else f"<{t}></{t}>" for t in r.choices(["p", "h2", "ul"], k=12)) + "</div>")
+    for _ in range(40):
+        a, b = tree(), tree()
+        found = []
+        for cells in (1 << 20, 20):
+            monkeypatch.setattr(H, "CELLS", cells)
+            H._weights.clear()
+            for t in (a, b):
+                H._shape(t)
+            found.append(H.weight(a, b))
+        assert found[0] == found[1]
+
+
 def brute(a, b):
     if a.label != b.label:
         return 0
@@ -63,3 +134,14 @@ def test_tree_matching_like_brute_force():
         for b in trees:
             assert H.weight(a, b) == brute(a, b)
             assert len(H.align(a, b, H.numbered(b))) == brute(a, b)
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01/pages.parquet"), reason="no test tables")
+def test_query_like_a_plain_reading_of_the_article(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    got = {r.page_id: r.text for r in QUERIES["op2_html_extract"](spark, "/root/testdata/sf0.01").collect()}
+    for r in rows:
+        core = re.search(r"<article>(.*?)(</article>|<footer>|\Z)", r.html, re.S)[1]
+        core = re.sub(r"</?(h1|p|li|ul|div|blockquote)[^>]*>", "\0", core).replace("<br>", " ")
+        blocks = (" ".join(html.unescape(re.sub(r"<!--.*?-->|<[^>]+>", "", b)).split()) for b in core.split("\0"))
+        assert got[r.page_id] == "\n\n".join(filter(None, blocks))
