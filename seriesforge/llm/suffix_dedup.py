@@ -11,19 +11,26 @@ in the corpus, where places are ordered by (doc_id, byte offset).
 2. Dictionary. Phrases are shuffled by their trigger's hash and sorted by
    (trigger, phrase, place). Of equal phrases only the first place goes into
    the dictionary; every window of the others is a repeat.
-3. Suffix order. A trigger that several distinct phrases share marks the edge
-   of a repeated passage. Only these phrases' bytes are fetched. Their suffixes
-   are sorted in byte order, cut at `length` since what follows cannot matter,
-   with ties in corpus order; in each run of equal suffixes all but the first
-   are repeats.
+3. Suffix array of the dictionary. A trigger that several distinct phrases share
+   marks the edge of a repeated passage. Only these phrases' bytes are fetched.
+   The suffixes of a trigger's phrases are ranked by prefix doubling (1, 2, 4,
+   ... bytes), up to `length` bytes since what follows cannot matter. Equal
+   suffixes are put in corpus order by the parse, that is by the places of
+   their phrases; all but the first are repeats. As phrases overlap by
+   `length` - 1 bytes, each string of `length` bytes lies in one phrase, so two
+   suffixes never tie beyond a phrase's end and the parse needs no suffix array
+   of its own to break such ties.
 4. The runs of repeated windows of a document are merged and cut from it.
 
 Phrases are compared by two 64-bit hashes (of trigger and content), windows in
-step 3 byte by byte. Repeats within one task's slice of text are found before
-the shuffle, so a passage that many documents share sends one row from each
-slice. A trigger with more than `GROUP` distinct phrases is split by window.
-
-Nulls and ties: a null text is empty. Rows with a null doc_id take no part:
+step 3 by their ranks, that is byte by byte. A task reports a phrase that it
+has seen before at an earlier place (in a table of SEEN phrases) as a repeat
+before the shuffle, so a passage that many documents share sends a few rows
+from each task. A trigger with more than GROUP distinct phrases is dealt out by
+window; its windows are sorted by Spark and compared as a stream, so no group
+is held in memory.
+
+Nulls and ties: a null text is empty, and texts may be of any length. Rows with a null doc_id take no part:
 nothing is cut from them, and they make no other passage a repeat. Rows that
 repeat a doc_id are one document: equal rows give equal results, and different
 texts under one id share their cuts. Other columns are ignored, or kept in the
@@ -46,7 +53,9 @@ from . import common as C
 K = 36
 BASE = 0x9E3779B97F4A7C15
 #: Distinct phrases of one trigger that are sorted together; beyond it they are dealt out by window.
-GROUP = 20_000
+GROUP = 2_000
+#: Phrases that a task remembers, with their first places.
+SEEN = 1 << 19
 #: So many large triggers are sent to all tasks, at 12 bytes each; more are joined.
 SENT = 200_000
 #: Windows that are sorted at once in a task.
@@ -125,8 +134,34 @@ def _runs(row: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndar
 PARSED = pa.schema([("trigger", pa.int64()), ("content", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("repeat", pa.bool_())])
 
 
+class _Seen:
+    """First places of phrases that a task met, by a hash of trigger and content; the oldest go when there are more than SEEN."""
+
+    def __init__(self):
+        self.key, self.doc, self.lo, self.age = (np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64))
+        self.now = 0
+
+    def earlier(self, key: np.ndarray, doc: np.ndarray, lo: np.ndarray) -> np.ndarray:
+        """Of distinct phrases (and their places in this slice) those known from an earlier place; the places are remembered."""
+        at = np.minimum(np.searchsorted(self.key, key), max(0, len(self.key) - 1))
+        known = self.key[at] == key if len(self.key) else np.zeros(len(key), bool)
+        d, x = (self.doc[at], self.lo[at]) if len(self.key) else (doc, lo)
+        before = known & ((d < doc) | (d == doc) & (x < lo))
+        first = known & ((doc < d) | (doc == d) & (lo < x))
+        self.doc[at[first]], self.lo[at[first]], self.age[at[known]] = doc[first], lo[first], self.now
+        parts = [np.concatenate(c) for c in zip((self.key, self.doc, self.lo, self.age), (key[~known], doc[~known], lo[~known], np.full(int((~known).sum()), self.now)), strict=True)]
+        self.now += 1
+        if len(parts[0]) > SEEN:
+            young = np.argsort(-parts[3], kind="stable")[: SEEN // 2]
+            parts = [p[young] for p in parts]
+        order = np.argsort(parts[0], kind="stable")
+        self.key, self.doc, self.lo, self.age = (p[order] for p in parts)
+        return before
+
+
 @C.tidy
 def _parse(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen = _Seen()
     for batch in C.slices(batches):
         if batch.column("doc_id").null_count:
             batch = batch.filter(batch.column("doc_id").is_valid())
@@ -143,6 +178,8 @@ def _parse(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         same[1:] = again[1:] & (ids[r[1:]] == ids[r[:-1]]) & (f[1:] - starts[r[1:]] == f[:-1] - starts[r[:-1]])
         repeat, copy = np.zeros(len(order), bool), np.zeros(len(order), bool)
         repeat[order], copy[order] = again, same
+        fresh = np.flatnonzero(~repeat & ~copy)
+        repeat[fresh] = seen.earlier(C.mix(trigger[fresh] * np.uint64(0x2545F4914F6CDD1D) + content[fresh]), ids[row[fresh]], first[fresh] - starts[row[fresh]])
         keep = ~repeat & ~copy
         gone = np.flatnonzero(repeat & ~copy)
         r, f, e = _runs(row[gone], first[gone], last[gone])
@@ -204,15 +241,23 @@ def _dictionary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.record_batch([pa.array(d), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32)), pa.nulls(len(d), pa.int64()) if t is None else pa.array(t)], schema=FOUND)
 
 
-FETCHED = pa.schema([("trigger", pa.int64()), ("salt", pa.int32()), ("doc_id", pa.int64()), ("lo", pa.int32()), ("phrase", pa.binary())])
+FETCHED = pa.schema([("alone", pa.bool_()), ("trigger", pa.int64()), ("salt", pa.int32()), ("doc_id", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("phrase", pa.binary())])
 
 
 @C.tidy
 def _fetch(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the phrases that a document has in the dictionary; of split triggers, those of each window."""
+    """The bytes of the phrases that a document has in the dictionary; of triggers that are dealt out, those of each window alone.
+
+    Such windows that the task has sent from an earlier place are repeats; they go as runs without their bytes.
+    """
+    rows: list[tuple] = []
+    sent: dict[bytes, tuple[int, int]] = {}
+    size = 0
+
+    def made() -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), FETCHED.types, strict=True)], schema=FETCHED)
+
     for batch in batches:
-        triggers, salts, ids, places, found = [], [], [], [], []
-        size = 0
         wanted = batch.column("wanted").to_pylist()
         for doc, text, spans in zip(batch.column("doc_id").to_pylist(), batch.column("text"), wanted, strict=True):
             raw = text.as_buffer().to_pybytes()
@@ -220,44 +265,67 @@ def _fetch(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
                 whole = raw[s["lo"] : s["lo"] + s["n"] + length - 1]
                 if len(whole) < length:
                     continue
-                parts = [(0, s["lo"], whole)]
-                if s["split"] > 1:
-                    cut = [whole[i : i + length] for i in range(len(whole) - length + 1)]
-                    parts = [(int.from_bytes(hashlib.blake2b(w, digest_size=4).digest(), "little") % s["split"], s["lo"] + i, w) for i, w in enumerate(cut)]
-                for salt, lo, w in parts:
-                    triggers.append(s["trigger"])
-                    salts.append(salt)
-                    ids.append(doc)
-                    places.append(lo)
-                    found.append(w)
-                    size += len(w)
+                if s["split"] == 1:
+                    rows.append((False, s["trigger"], 0, doc, s["lo"], s["n"], whole))
+                    size += len(whole)
+                    continue
+                run = 0
+                for i in range(len(whole) - length + 1):
+                    w, place = whole[i : i + length], (doc, s["lo"] + i)
+                    if sent.get(w, place) < place:
+                        run += 1
+                        continue
+                    if len(sent) >= SEEN // 8:
+                        sent.clear()
+                    sent[w] = place
+                    if run:
+                        rows.append((True, s["trigger"], (s["lo"] + i) % s["split"], doc, s["lo"] + i - run, run, b""))
+                        run = 0
+                    salt = int.from_bytes(hashlib.blake2b(w, digest_size=4).digest(), "little") % s["split"]
+                    rows.append((True, s["trigger"], salt, *place, 1, w))
+                    size += length
+                    if size > 4 << 20:
+                        yield made()
+                        rows, size = [], 0
+                if run:
+                    at = s["lo"] + len(whole) - length + 1 - run
+                    rows.append((True, s["trigger"], at % s["split"], doc, at, run, b""))
+                    size += 40
             if size > 4 << 20:
-                yield pa.record_batch([pa.array(triggers, pa.int64()), pa.array(salts, pa.int32()), pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(found, pa.binary())], schema=FETCHED)
-                triggers, salts, ids, places, found, size = [], [], [], [], [], 0
-        if triggers:
-            yield pa.record_batch([pa.array(triggers, pa.int64()), pa.array(salts, pa.int32()), pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(found, pa.binary())], schema=FETCHED)
+                yield made()
+                rows, size = [], 0
+    if rows:
+        yield made()
 
 
 SPANS = pa.schema([("doc_id", pa.int64()), ("lo", pa.int32()), ("n", pa.int32())])
 
 
+def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
+    """Of each place the rank of the `length` bytes from there on, equal for equal ones: a suffix array by prefix doubling, cut at `length`."""
+    rank, n = data.astype(np.int64), 1
+    joined = lambda a, b: np.unique(a * (np.int64(b.max()) + 1) + b, return_inverse=True)[1]
+    while 2 * n <= length and len(rank) > n:
+        rank, n = joined(rank[: len(rank) - n], rank[n:]), 2 * n
+    rest = length - n
+    return joined(rank[: len(rank) - rest], rank[rest:]) if rest and len(rank) > rest else rank
+
+
 def _suffix_order(length: int, held: pa.Table) -> pa.RecordBatch:
-    """The windows of these phrases in byte order, then corpus order; all but the first of equal ones are repeats."""
+    """The windows of these phrases by rank, then corpus order; all but the first of equal ones are repeats."""
     held = held.combine_chunks()
     data, starts = C.text_bytes(held.column("phrase").combine_chunks() if isinstance(held.column("phrase"), pa.ChunkedArray) else held.column("phrase"))
     ids, lo = held.column("doc_id").to_numpy(), held.column("lo").to_numpy()
     n = np.diff(starts) - length + 1
     row = np.repeat(np.arange(len(n)), n)
     within = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    at = starts[row] + within
-    suffixes = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, length)[at]).view(f"S{length}").ravel()
-    place = lo[row] + within
-    _, rank = np.unique(suffixes, return_inverse=True)
-    order = np.lexsort((place, ids[row], rank))
+    rank = suffix_ranks(data, length)[starts[row] + within]
+    doc, place = ids[row], lo[row] + within
+    order = np.lexsort((place, doc, rank))
     again = np.zeros(len(order), bool)
     again[1:] = rank[order][1:] == rank[order][:-1]
     same = np.zeros(len(order), bool)
-    same[1:] = again[1:] & (ids[row][order][1:] == ids[row][order][:-1]) & (place[order][1:] == place[order][:-1])
+    same[1:] = again[1:] & (doc[order][1:] == doc[order][:-1]) & (place[order][1:] == place[order][:-1])
     repeat = np.zeros(len(order), bool)
     repeat[order] = again & ~same
     hit = np.flatnonzero(repeat)
@@ -265,22 +333,49 @@ def _suffix_order(length: int, held: pa.Table) -> pa.RecordBatch:
     return pa.record_batch([pa.array(ids[r]), pa.array(f.astype(np.int32)), pa.array((e - f + 1).astype(np.int32))], schema=SPANS)
 
 
+def _stream(length: int, batch: pa.RecordBatch, last: tuple | None) -> tuple[pa.RecordBatch, tuple | None]:
+    """Windows alone, sorted by (trigger, salt, bytes, place): those equal to the one before are repeats, as are runs without bytes; the last window is handed on."""
+    t, salt, doc, lo, n = (batch.column(c).to_numpy() for c in ("trigger", "salt", "doc_id", "lo", "n"))
+    data, starts = C.text_bytes(batch.column("phrase"))
+    window = np.diff(starts) > 0
+    out = pa.record_batch([pa.array(doc[~window]), pa.array(lo[~window]), pa.array(n[~window])], schema=SPANS)
+    if not window.any():
+        return out, last
+    t, salt, doc, lo, data = t[window], salt[window], doc[window], lo[window], data.reshape(-1, length)
+    again, same = np.zeros(len(t), bool), np.zeros(len(t), bool)
+    again[1:] = (t[1:] == t[:-1]) & (salt[1:] == salt[:-1]) & (data[1:] == data[:-1]).all(1)
+    same[1:] = again[1:] & (doc[1:] == doc[:-1]) & (lo[1:] == lo[:-1])
+    if last:
+        again[0] = last[:3] == (int(t[0]), int(salt[0]), data[0].tobytes())
+        same[0] = again[0] and last[3:] == (int(doc[0]), int(lo[0]))
+    hit = again & ~same
+    out = pa.Table.from_batches([out, pa.record_batch([pa.array(doc[hit]), pa.array(lo[hit]), pa.array(np.ones(int(hit.sum()), np.int32))], schema=SPANS)]).combine_chunks().to_batches()
+    return out[0] if out else pa.RecordBatch.from_pylist([], schema=SPANS), (int(t[-1]), int(salt[-1]), data[-1].tobytes(), int(doc[-1]), int(lo[-1]))
+
+
 @C.tidy
 def _sorted_groups(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (trigger, salt); whole groups are sorted together, many small ones at once."""
+    """Rows sorted by (alone, trigger, salt, phrase, place): whole groups are ranked together, many small ones at once; windows alone are a stream."""
     held: list[pa.RecordBatch] = []
-    size = 0
-    for batch in batches:
-        lo = 0
-        if batch.num_rows == 0:
+    size, last = 0, None
+    for whole in batches:
+        if whole.num_rows == 0:
+            continue
+        n_groups = whole.num_rows - int(whole.column("alone").to_numpy(zero_copy_only=False).sum())
+        if n_groups < whole.num_rows:
+            if held and not n_groups:
+                yield _suffix_order(length, pa.Table.from_batches(held))
+                held, size = [], 0
+            found, last = _stream(length, whole.slice(n_groups), last)
+            yield found
+        batch, lo = whole.slice(0, n_groups), 0
+        if not n_groups:
             continue
-        key = [batch.column(i).to_numpy() for i in (0, 1)]
+        key = batch.column("trigger").to_numpy()
         _, starts = C.text_bytes(batch.column("phrase"))
-        new = np.flatnonzero((key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1])) + 1
-        if held:
-            tail = held[-1]
-            if (tail.column(0)[tail.num_rows - 1].as_py(), tail.column(1)[tail.num_rows - 1].as_py()) != (int(key[0][0]), int(key[1][0])):
-                new = np.concatenate([[0], new])
+        new = np.flatnonzero(key[1:] != key[:-1]) + 1
+        if held and held[-1].column("trigger")[held[-1].num_rows - 1].as_py() != int(key[0]):
+            new = np.concatenate([[0], new])
         for cut in new:
             size_now = size + int(starts[cut] - starts[lo]) - (cut - lo) * (length - 1)
             if size_now >= SORTED:
@@ -353,8 +448,8 @@ def suffix_dedup(docs: DataFrame, length: int = 100, carry: list[str] | None = N
     edges = edges.join(large, "trigger", "left").select("doc_id", F.struct("lo", "n", "trigger", F.coalesce("split", F.lit(1)).alias("split")).alias("s"))
     wanted = edges.groupBy("doc_id").agg(F.collect_list("s").alias("wanted"))
     known = C.with_text(docs, carry).where("doc_id is not null").repartition("doc_id")
-    fetched = known.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(functools.partial(_fetch, length), "trigger long, salt int, doc_id long, lo int, phrase binary")
-    ordered = fetched.repartition("trigger", "salt").sortWithinPartitions("trigger", "salt").mapInArrow(functools.partial(_sorted_groups, length), "doc_id long, lo int, n int")
+    fetched = known.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(functools.partial(_fetch, length), "alone boolean, trigger long, salt int, doc_id long, lo int, n int, phrase binary")
+    ordered = fetched.repartition("trigger", "salt").sortWithinPartitions("alone", "trigger", "salt", "phrase", "doc_id", "lo").mapInArrow(functools.partial(_sorted_groups, length), "doc_id long, lo int, n int")
 
     spans = found.where("trigger is null").select("doc_id", "lo", "n").unionByName(ordered).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
     joined = known.join(spans, "doc_id", "left")

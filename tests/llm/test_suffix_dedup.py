@@ -22,6 +22,41 @@ def brute(docs, length):
     return gone
 
 
+def test_ranks_are_those_of_sorted_suffixes():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    for length in (1, 2, 3, 7, 8, 13):
+        data = r.integers(97, 99, 300).astype(np.uint8)
+        raw = data.tobytes()
+        cut = [raw[i : i + length] for i in range(len(raw) - length + 1)]
+        order = {w: i for i, w in enumerate(sorted(set(cut)))}
+        got = S.suffix_ranks(data, length)[: len(cut)]
+        assert [order[w] for w in cut] == np.unique(got, return_inverse=True)[1].tolist()
+
+
+def test_what_a_task_has_seen(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(S, "SEEN", 40)
+    seen, first, r = S._Seen(), {}, np.random.default_rng(1)
+    for _ in range(60):
+        keys = np.unique(r.integers(0, 30, 12).astype(np.uint64))
+        doc, lo = r.integers(0, 50, len(keys)), r.integers(0, 9, len(keys))
+        got = seen.earlier(keys, doc, lo)
+        for k, d, x, g in zip(keys.tolist(), doc.tolist(), lo.tolist(), got.tolist(), strict=True):
+            assert not g or first[k] < (d, x)
+            assert g == (first.get(k, (d, x)) < (d, x))  # fewer keys than it remembers
+            first[k] = min(first.get(k, (d, x)), (d, x))
+
+
+def test_one_long_text(spark):
+    """Ten megabytes in one document, of which the last half repeats the first."""
+    half = " ".join(str(i * 7919) for i in range(600_000))
+    got = S.suffix_dedup(spark.createDataFrame([(1, half + "|" + half)], "doc_id long, text string")).first()
+    assert bytes(got.kept) == (half + "|").encode() and len(got.removed) == 1
+
+
 def texts(seed, n=60):
     r = random.Random(seed)
     words = ["the", "of", "wá", "x", "stone", "river", "ö", "quick", "amber", "zz"]
@@ -40,9 +75,10 @@ def texts(seed, n=60):
     return out
 
 
-@pytest.mark.parametrize("seed,group", [(1, 20_000), (2, 3), (3, 20_000)])
-def test_against_brute_force(spark, monkeypatch, seed, group):
+@pytest.mark.parametrize("seed,group,seen", [(1, 20_000, 1 << 19), (2, 3, 64), (3, 20_000, 64), (4, 1, 1 << 19)])
+def test_against_brute_force(spark, monkeypatch, seed, group, seen):
     monkeypatch.setattr(S, "GROUP", group)
+    monkeypatch.setattr(S, "SEEN", seen)
     docs = texts(seed)
     rows = list(docs.items())
     random.Random(seed).shuffle(rows)
