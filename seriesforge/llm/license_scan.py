@@ -5,7 +5,7 @@ up to n words of one's own may stand. It compiles into a nondeterministic
 automaton over words: a state for each place in the template, steps by a word,
 by any word, or by none. A text has the license where a run from the template's
 first word reaches its end, which is only possible if all mandatory wording
-stands there exactly.
+stands there exactly, from its first word to its last.
 
 An automaton is started only where its first words stand (a template begins
 with mandatory ones), so that the cost of a text is that of finding these.
@@ -13,7 +13,7 @@ Beside the templates, places of the base phrases are counted.
 
 The words of a text are runs of digits, letters and characters beyond ASCII,
 with A-Z lower-cased. Null and empty texts have no words, no labels and score
-0. Null and repeated doc_id values pass through; other columns are ignored.
+0. Texts may be of any length. Null and repeated doc_id values pass through; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,22 +31,31 @@ from . import common as C
 #: Phrases whose words stand consecutively, and their labels. Fixed values.
 BASE = {("mit", "license"): "mit", ("apache", "license"): "apache", ("general", "public", "license"): "gpl"}
 
-#: Public license wordings, as templates. A label may have several.
+_AS_IS = "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall {12} be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+_BSD = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [ 1 ] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [ 2 ] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+_BSD_END = "this software is provided by {12} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall {12} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+_GNU = "is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version"
+_NO_WARRANTY = "but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu {2} general public license for more details"
+
+#: Public license wordings, whole, as templates. Fixed values. The copyright line, title and numbers of clauses may be there or not, and holders and names may be any.
 TEMPLATES = {
-    "mit-full": "permission is hereby granted free of charge to any person obtaining a copy of {8} and associated documentation files [ the software ] to deal in the software without restriction",
+    "mit-full": "permission is hereby granted free of charge to any person obtaining a copy of this {2} and associated documentation files [ the software ] to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice [ including the next paragraph ] shall be included in all copies or substantial portions of the software " + _AS_IS,
     "mit-notice": "released under the mit license",
+    "isc-full": "permission to use copy modify and [ or ] distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and {6} disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall {6} be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    "bsd-2-clause": f"{_BSD} {_BSD_END}",
+    "bsd-3-clause": f"{_BSD} [ 3 ] neither the name of {{12}} nor the names of {{3}} contributors may be used to endorse or promote products derived from this software without specific prior written permission {_BSD_END}",
     "apache-2.0-notice": "licensed under the apache license version 2 0",
-    "apache-2.0-full": "licensed under the apache license version 2 0 the license you may not use this {3} except in compliance with the license",
+    "apache-2.0-header": "licensed under the apache license version 2 0 [ the license ] you may not use this {3} except in compliance with the license you may obtain a copy of the license at {8} unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+    "gpl-2.0-notice": "licensed under the [ terms of the ] [ gnu ] general public license version 2 [ or later ]",
     "gpl-3.0-notice": "licensed under the [ terms of the ] [ gnu ] general public license version 3 [ or later ]",
-    "gpl-3.0-full": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or [ at your option ] any later version",
-    "gpl-2.0-full": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or [ at your option ] any later version",
-    "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "gpl-2.0-header": f"this program {_GNU} 2 of the license or [ at your option ] any later version this program is distributed in the hope that it will be useful {_NO_WARRANTY} you should have received a copy of the gnu general public license along with this program",
+    "gpl-3.0-header": f"this program {_GNU} 3 of the license or [ at your option ] any later version this program is distributed in the hope that it will be useful {_NO_WARRANTY} you should have received a copy of the gnu general public license along with this program",
+    "lgpl-header": f"this library is free software you can redistribute it and or modify it under the terms of the gnu [ lesser ] [ library ] general public license as published by the free software foundation either version {{2}} of the license or [ at your option ] any later version this library is distributed in the hope that it will be useful {_NO_WARRANTY} you should have received a copy of the gnu [ lesser ] [ library ] general public license along with this library",
+    "mpl-2.0-header": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at {8}",
+    "unlicense-full": "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law " + _AS_IS.replace("in no event shall {12} be liable", "in no event shall the authors be liable"),
     "cc-by-nc-4.0": "licensed under [ a ] [ the ] cc by nc 4 0",
     "cc-by-sa-4.0": "licensed under [ a ] [ the ] cc by sa 4 0",
     "cc-by-4.0": "licensed under [ a ] [ the ] creative commons attribution 4 0 international [ public ] license",
-    "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2 0",
-    "unlicense": "this is free and unencumbered software released into the public domain",
 }
 
 Step = tuple[str | None, int]  # a word (None: any), and the state it leads to

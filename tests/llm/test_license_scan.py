@@ -52,11 +52,38 @@ def test_automaton_like_the_language(seq):
         assert L.Automaton(template).match(seq.__getitem__, 0, len(seq)) == (max(ends) if ends else None)
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this toolkit and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
+
 def test_templates_need_all_mandatory_wording(spark):
-    good = "Permission is hereby granted, free of charge, to any person obtaining a copy of this toolkit and associated documentation files (the \"Software\"), to deal in the Software without restriction"
-    df = spark.createDataFrame([(1, good), (2, good.replace("without", "with")), (3, good.replace("hereby ", "")), (None, good), (None, good)], "doc_id long, text string")
-    got = sorted(((x.doc_id or 9), [s.label for s in x.spans]) for x in L.scan_licenses(df).collect())
-    assert got == [(1, ["mit-full"]), (2, []), (3, []), (9, ["mit-full"]), (9, ["mit-full"])]
-    assert L.scan_licenses(df.limit(0)).count() == 0
+    good, n = MIT, len(words(MIT))
+    bad = [good.replace("without restriction", "with restriction"), good.replace("hereby ", ""), good[:-10], good.replace("TORT", "TORTS"), good.replace("substantial portions", "portions")]
+    fine = [good, good.replace("portions of", "portions of"), good.replace("THE AUTHORS OR COPYRIGHT HOLDERS", "ACME GMBH"), good.replace("permission notice shall", "permission notice (including the next paragraph) shall")]
+    rows = [(i, t) for i, t in enumerate(fine)] + [(10 + i, t) for i, t in enumerate(bad)] + [(None, good), (None, good)]
+    got = sorted((-1 if x.doc_id is None else x.doc_id, [(s.label, s.start) for s in x.spans]) for x in L.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(-1, [("mit-full", 0)])] * 2 + [(i, [("mit-full", 0)]) for i in range(4)] + [(10 + i, []) for i in range(5)]
+    row = L.scan_licenses(spark.createDataFrame([(1, "x " + good + " y")], "doc_id long, text string")).first()
+    assert (row.spans[0].start, row.spans[0].end) == (1, n + 1)
+    assert L.scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     with pytest.raises(ValueError):
         L.Automaton("[ a ] b")
+
+
+def test_every_template_matches_itself():
+    for label, template in L.TEMPLATES.items():
+        plain = re.sub(r"\{\d+\}", "zz", template.replace("[ ", "").replace(" ]", "")).split()
+        assert L.Automaton(template).match(plain.__getitem__, 0, len(plain)) == len(plain), label
+        least = re.sub(r"\{\d+\}", "", re.sub(r"\[[^\]]*\]", "", template)).split()
+        assert L.Automaton(template).match(least.__getitem__, 0, len(least)) == len(least), label
+        for k in (1, len(least) // 2):
+            assert L.Automaton(template).match([*least[:k], "zz", "qq", *least[k + 1 :]].__getitem__, 0, len(least) + 1) is None or len(least) < 12
+
+
+def test_very_long_texts(spark):
+    text = "word " * 2_000_000 + MIT + " the mit license" * 100_000
+    row = L.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row.n_words == 2_000_000 + len(words(MIT)) + 300_000 and len(row.spans) == 100_001 and row.spans[0].start == 2_000_000
