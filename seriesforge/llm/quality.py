@@ -8,13 +8,17 @@ lengths. A linear model is fitted with the non-negative unbiased risk
 
 over trusted positives (label 1) and unlabelled text, with the logistic loss;
 where the second term falls below zero its gradient is turned, so that the
-model doesn't fit the sample beyond what the risk can be. The class prior is
-the share of label 1 among training labels, held between 0.05 and 0.95.
+model doesn't fit the sample beyond what the risk can be. Labels of 0 are used
+nowhere. The class prior is estimated from positives and unlabelled text alone:
+a model that tells the two apart is fitted to one half of each, and on the other
+half the prior can't exceed, for any score, the share of unlabelled texts above
+it over that of positives; the least such bound is taken, with a confidence
+margin for both shares.
 
 Only the fit uses samples: at most SAMPLE positives and SAMPLE unlabelled
 texts, drawn evenly by a hash of doc_id. Features and scores cover all rows.
 
-Null texts are empty and are scored. Rows without positives to learn from score
+Null texts are empty and are scored, and texts of any length are read whole. Rows without positives to learn from score
 0.5. Rows that repeat a doc_id are scored each; of several labels for one id
 the least counts, null labels don't. A null doc_id has no label and isn't held
 out. Other columns are ignored, or kept in the struct `row` if in `carry`.
@@ -148,6 +152,23 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     return Model(mean, scale, w, float(b))
 
 
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, sure: float = 0.05) -> float:
+    """The share of positives in unlabelled rows, from rows of both kinds alone; 0.5 from too few of them."""
+    halves = [(x[::2], x[1::2]) for x in (positive, unlabelled)]
+    if any(len(h) < 5 for pair in halves for h in pair):
+        return 0.5
+    (p, p_rest), (u, u_rest) = halves
+    model = fit(p, u, 0.5, steps=300)
+    scores, above = model.score(p_rest), model.score(u_rest)
+    margin = lambda n: np.sqrt(np.log(2 / sure) / (2 * n))
+    edges = np.quantile(scores, np.linspace(0, 0.9, 91))  # a tenth of the positives at least
+    hit = np.array([(scores >= e).mean() for e in edges])
+    share = np.array([(above >= e).mean() for e in edges])
+    bound = (share + margin(len(above))) / np.maximum(hit - margin(len(scores)), 1e-9)
+    best = int(np.where(hit > 2 * margin(len(scores)), bound, np.inf).argmin())
+    return float(np.clip(share[best] / hit[best], 0.01, 0.99))
+
+
 @C.tidy
 def _score(model: Model | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From stored features, or for rows that carry others, from the text itself."""
@@ -171,7 +192,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, ca
     made = C.stage(df.select("doc_id", "text").mapInArrow(_featurise, "doc_id long, features binary"), "features")
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     marks = marks.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    n, ones = marks.agg(F.count("*"), F.coalesce(F.sum("quality"), F.lit(0))).first()
+    ones = marks.where("quality = 1").count()
     model = None
     if ones:
         draw = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000))
@@ -180,7 +201,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, ca
         positive = pick(known.join(marks.where("quality = 1").select("doc_id"), "doc_id", "left_semi"), ones)
         unlabelled = pick(known.where(~held_out(F.col("doc_id"))), known.count())
         if positive.num_rows and unlabelled.num_rows:
-            model = fit(*(_matrix(t.column(0).combine_chunks()) for t in (positive, unlabelled)), min(0.95, max(0.05, ones / n)))
+            p, u = (_matrix(t.column(0).combine_chunks()) for t in (positive, unlabelled))
+            model = fit(p, u, class_prior(p, u))
     out = (df if carry else made).mapInArrow(functools.partial(_score, model), f"doc_id long{kind}, score double")
     cols = ["row"] if carry else []
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *cols)

@@ -43,6 +43,38 @@ def test_odd_rows(spark):
     assert Q.score_quality(docs.limit(0), labels).count() == 0
 
 
+def test_prior_from_positives_and_unlabelled_rows():
+    r = np.random.default_rng(5)
+    for share in (0.2, 0.5, 0.85):
+        n = int(6000 * share)
+        mixed = np.concatenate([r.normal(1, 1, (n, 4)), r.normal(-2, 1, (6000 - n, 4))])
+        r.shuffle(mixed)
+        assert abs(Q.class_prior(r.normal(1, 1, (3000, 4)), mixed) - share) < 0.06
+    assert Q.class_prior(np.zeros((3, 4)), np.ones((50, 4))) == 0.5
+
+
+def test_risk_like_plain_descent():
+    """The fitted risk is as small as that of plain gradient steps on the same risk, over many more steps."""
+    r = np.random.default_rng(2)
+    p, u, prior = r.normal(1, 1, (400, 3)), np.concatenate([r.normal(1, 1, (300, 3)), r.normal(-1, 1, (300, 3))]), 0.5
+    mean, scale = u.mean(0), u.std(0) + 1e-3
+    x, y = (np.clip((z - mean) / scale, -8, 8) for z in (p, u))
+    risk = lambda w, b: prior * np.logaddexp(0, -(x @ w + b)).mean() + max(0, np.logaddexp(0, y @ w + b).mean() - prior * np.logaddexp(0, x @ w + b).mean())
+    w, b, sig = np.zeros(3), 0.0, lambda z: 1 / (1 + np.exp(-z))
+    for _ in range(20_000):
+        zx, zy = x @ w + b, y @ w + b
+        g = [prior * (v.T @ (sig(zx) - 1)) / len(x) + q.T @ sig(zy) / len(y) - prior * (v.T @ sig(zx)) / len(x) for v, q in ((x, y), (np.ones(len(x)), np.ones(len(y))))]
+        w, b = w - 0.05 * g[0], b - 0.05 * g[1]
+    m = Q.fit(p, u, prior)
+    assert risk(m.w, m.b) <= risk(w, b) + 1e-3
+
+
+def test_very_long_text(spark):
+    docs = spark.createDataFrame([(1, "plain words, 1 and 2. " * 450_000), (2, "plain words")], "doc_id long, text string")
+    rows = Q.score_quality(docs, spark.createDataFrame([(2, 1)], "doc_id long, quality int")).collect()
+    assert len(rows) == 2 and all(0 <= r.score <= 1 for r in rows)
+
+
 def test_risk_finds_negatives_in_unlabelled_text():
     r = np.random.default_rng(1)
     pos, neg = r.normal(1, 1, (3000, 4)), r.normal(-1.5, 1, (3000, 4))
