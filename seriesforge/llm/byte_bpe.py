@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import base64
 import functools
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -125,10 +126,10 @@ class Vocabulary:
         """The ids of one piece of any length."""
         n = len(piece)
         width = 1 << max(1, (n - 1).bit_length())
-        token = [int(self.byte[b]) for b in piece]
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        token = array("i", (int(self.byte[b]) for b in piece))  # flat arrays: 36 bytes for each of the piece's, or a power of two above
+        after, before = array("i", range(1, n + 1)), array("i", range(-1, n - 1))
         never, pairs, shift = 1 << 62, self.pairs, 40
-        tree = [never] * (2 * width)
+        tree = array("q", [never]) * (2 * width)
 
         def leaf(i: int) -> int:
             k = after[i]
@@ -163,7 +164,8 @@ class Vocabulary:
             put(i, leaf(i))
             if before[i] >= 0:
                 put(before[i], leaf(before[i]))
-        return np.array([t for t in token if t >= 0], np.int32)
+        out = np.frombuffer(token, np.int32)
+        return out[out >= 0].copy()
 
     def learn(self, words: set[str]) -> None:
         """Encodes the words that are not in the cache."""

@@ -27,12 +27,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for tables between stages: spark.checkpoint.dir, or a local one where that is unset, as in tests."""
+    """The application's folder for tables between stages, below spark.checkpoint.dir, so that one folder can go when the application is done.
+
+    Only a local master may do without that setting (as in tests): elsewhere a folder of one machine is none that executors share.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         base = os.path.join(tempfile.gettempdir(), "seriesforge-stages")
         spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
