@@ -427,11 +427,13 @@ def _reference(html: str) -> tuple[Node, dict[int, int]]:
 
 
 def _hash(text: str) -> int:
-    return xxhash.xxh64_intdigest(text) - (1 << 63)
+    """The same number as Spark's xxhash64."""
+    h = xxhash.xxh64_intdigest(text, seed=42)
+    return h - (1 << 64) if h >> 63 else h
 
 
-BLOCK = pa.struct([("slot", pa.int32()), ("branch", pa.int32()), ("words", pa.int64()), ("text", pa.string()), ("drop", pa.bool_()), ("own", pa.bool_()), ("linked", pa.bool_())])
-READ = "host string, page_id long, url string, page long, kind int, blocks array<struct<slot:int,branch:int,words:bigint,text:string,drop:boolean,own:boolean,linked:boolean>>"
+BLOCK = pa.struct([("slot", pa.int32()), ("branch", pa.int32()), ("text", pa.string()), ("drop", pa.bool_()), ("own", pa.bool_()), ("linked", pa.bool_())])
+READ = "host string, page_id long, url string, page long, kind int, blocks array<struct<slot:int,branch:int,text:string,drop:boolean,own:boolean,linked:boolean>>"
 
 
 def _blocks(tree: Node, slots: dict[int, int]) -> tuple[list[dict], int]:
@@ -445,7 +447,7 @@ def _blocks(tree: Node, slots: dict[int, int]) -> tuple[list[dict], int]:
         branch = slots.get(id(path[body + 1]), -1) if len(path) > body + 1 else -1
         mine = own[id(owner), text] > 0
         own[id(owner), text] -= mine
-        out.append({"slot": known, "branch": branch, "words": _hash(text), "text": text, "drop": drop, "own": mine, "linked": linked})
+        out.append({"slot": known, "branch": branch, "text": text, "drop": drop, "own": mine, "linked": linked})
     return out, kind
 
 
@@ -508,7 +510,7 @@ def _chosen(blocks: list[dict], kind: int, lo: int, hi: int, main: bool, templat
     inside = [b for b in blocks if lo <= b["slot"] < hi and not b["drop"] and (main or not b["linked"])]
     if not inside or kind == 2 and not any(b["own"] for b in inside):
         inside = [b for b in blocks if b["own"] and (kind or not b["linked"])]
-    varying = [b for b in inside if (b["slot"], b["words"]) not in template]
+    varying = [b for b in inside if not template or (b["slot"], _hash(b["text"])) not in template]
     size = lambda some: sum(len(b["text"]) for b in some)
     return varying if 2 * size(varying) >= size(inside) else inside
 
@@ -543,9 +545,11 @@ def extract_text(pages: DataFrame) -> DataFrame:
     read = C.stage(aligned.mapInArrow(functools.partial(_read, references), READ), "blocks")
 
     block = read.select("host", "page", F.explode("blocks").alias("b")).where("b.slot >= 0")
-    block = block.select("host", "page", "b.slot", "b.branch", "b.words", F.length("b.text").alias("n"))
+    block = block.select("host", "page", "b.slot", "b.branch", F.xxhash64("b.text").alias("words"), F.length("b.text").alias("n"))
     texts = block.distinct().groupBy("host", "slot", "branch", "words").agg(F.count("*").alias("pages"), F.max("n").alias("n"))
-    reach = block.select("host", "branch", "page").distinct().groupBy("host", "branch").agg(F.count("*").alias("all"))
+    reach = C.stage(block.select("host", "branch", "page").distinct().groupBy("host", "branch").agg(F.count("*").alias("all")), "reach")
+    if reach.agg(F.coalesce(F.sum(F.octet_length("host") + 32), F.lit(0))).first()[0] <= BROADCAST:  # a join would gather a large host's texts
+        reach = F.broadcast(reach)
     share, n = F.col("pages") / F.col("all"), F.col("all")
     sure = (share + 2 / n - 2 * F.sqrt(share * (1 - share) / n + 1 / (n * n))) / (1 + 4 / n)
     judged = texts.join(reach, ["host", "branch"]).withColumn("constant", (share >= CONSTANT) & (sure >= SURE))
