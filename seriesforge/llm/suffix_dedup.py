@@ -13,8 +13,8 @@ in the corpus, where places are ordered by (doc_id, byte offset).
    the dictionary; every window of the others is a repeat.
 3. Suffix array of the dictionary. A trigger that several distinct phrases share
    marks the edge of a repeated passage. Only these phrases' bytes are fetched.
-   The suffixes of a trigger's phrases are ranked by prefix doubling (1, 2, 4,
-   ... bytes), up to `length` bytes since what follows cannot matter. Equal
+   The suffixes of a trigger's phrases are ranked by prefix doubling (8, 16,
+   32 ... bytes), up to `length` bytes since what follows cannot matter. Equal
    suffixes are put in corpus order by the parse, that is by the places of
    their phrases; all but the first are repeats. As phrases overlap by
    `length` - 1 bytes, each string of `length` bytes lies in one phrase, so two
@@ -53,9 +53,9 @@ from . import common as C
 K = 36
 BASE = 0x9E3779B97F4A7C15
 #: Distinct phrases of one trigger that are sorted together; beyond it they are dealt out by window.
-GROUP = 2_000
+GROUP = 8_000
 #: Phrases that a task remembers, with their first places.
-SEEN = 1 << 19
+SEEN = 1 << 17
 #: So many large triggers are sent to all tasks, at 12 bytes each; more are joined.
 SENT = 200_000
 #: Windows that are sorted at once in a task.
@@ -265,7 +265,7 @@ def _fetch(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
                 whole = raw[s["lo"] : s["lo"] + s["n"] + length - 1]
                 if len(whole) < length:
                     continue
-                if s["split"] == 1:
+                if not s["split"]:
                     rows.append((False, s["trigger"], 0, doc, s["lo"], s["n"], whole))
                     size += len(whole)
                     continue
@@ -275,13 +275,13 @@ def _fetch(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
                     if sent.get(w, place) < place:
                         run += 1
                         continue
-                    if len(sent) >= SEEN // 8:
+                    if len(sent) >= SEEN // 2:
                         sent.clear()
                     sent[w] = place
                     if run:
-                        rows.append((True, s["trigger"], (s["lo"] + i) % s["split"], doc, s["lo"] + i - run, run, b""))
+                        rows.append((True, s["trigger"], (31 * doc + s["lo"] + i) & 0x7FFFFFFF, doc, s["lo"] + i - run, run, b""))
                         run = 0
-                    salt = int.from_bytes(hashlib.blake2b(w, digest_size=4).digest(), "little") % s["split"]
+                    salt = int.from_bytes(hashlib.blake2b(w, digest_size=4).digest(), "little") & 0x7FFFFFFF
                     rows.append((True, s["trigger"], salt, *place, 1, w))
                     size += length
                     if size > 4 << 20:
@@ -289,7 +289,7 @@ def _fetch(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
                         rows, size = [], 0
                 if run:
                     at = s["lo"] + len(whole) - length + 1 - run
-                    rows.append((True, s["trigger"], at % s["split"], doc, at, run, b""))
+                    rows.append((True, s["trigger"], (31 * doc + at) & 0x7FFFFFFF, doc, at, run, b""))
                     size += 40
             if size > 4 << 20:
                 yield made()
@@ -304,6 +304,11 @@ SPANS = pa.schema([("doc_id", pa.int64()), ("lo", pa.int32()), ("n", pa.int32())
 def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
     """Of each place the rank of the `length` bytes from there on, equal for equal ones: a suffix array by prefix doubling, cut at `length`."""
     rank, n = data.astype(np.int64), 1
+    if length >= 8 and len(data) >= 8:  # eight bytes are one number
+        words = np.zeros(len(data) - 7, np.uint64)
+        for i in range(8):
+            words = (words << np.uint64(8)) | data[i : i + len(words)]
+        rank, n = np.unique(words, return_inverse=True)[1], 8
     joined = lambda a, b: np.unique(a * (np.int64(b.max()) + 1) + b, return_inverse=True)[1]
     while 2 * n <= length and len(rank) > n:
         rank, n = joined(rank[: len(rank) - n], rank[n:]), 2 * n
@@ -442,10 +447,10 @@ def suffix_dedup(docs: DataFrame, length: int = 100, carry: list[str] | None = N
 
     # edges of repeated passages: phrases whose trigger others share
     edges = found.where("trigger is not null")
-    large = C.stage(edges.groupBy("trigger").count().where(F.col("count") > GROUP).select("trigger", F.ceil(F.col("count") / GROUP).cast("int").alias("split")), "large")
+    large = C.stage(edges.groupBy("trigger").count().where(F.col("count") > GROUP).select("trigger", F.lit(True).alias("split")), "large")
     if large.count() <= SENT:  # few triggers are so common; a join would gather each in one task
         large = F.broadcast(large)
-    edges = edges.join(large, "trigger", "left").select("doc_id", F.struct("lo", "n", "trigger", F.coalesce("split", F.lit(1)).alias("split")).alias("s"))
+    edges = edges.join(large, "trigger", "left").select("doc_id", F.struct("lo", "n", "trigger", F.coalesce("split", F.lit(False)).alias("split")).alias("s"))
     wanted = edges.groupBy("doc_id").agg(F.collect_list("s").alias("wanted"))
     known = C.with_text(docs, carry).where("doc_id is not null").repartition("doc_id")
     fetched = known.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(functools.partial(_fetch, length), "alone boolean, trigger long, salt int, doc_id long, lo int, n int, phrase binary")

@@ -26,7 +26,7 @@ def test_ranks_are_those_of_sorted_suffixes():
     import numpy as np
 
     r = np.random.default_rng(3)
-    for length in (1, 2, 3, 7, 8, 13):
+    for length in (1, 2, 3, 7, 8, 13, 16, 37):
         data = r.integers(97, 99, 300).astype(np.uint8)
         raw = data.tobytes()
         cut = [raw[i : i + length] for i in range(len(raw) - length + 1)]
