@@ -23,6 +23,7 @@ from ..operators import validate as V
 from ..operators import wavelet as W
 from ..sources.store import Runs, Store, flattened
 from ..sources.tables import MARKET, PANEL, market, panel, segments, table
+from . import sequences as Q
 from .registry import query, rounded
 
 SEGMENTS = """d AS (SELECT c_mktsegment AS entity, CAST(o_orderdate AS DATE) AS ts, sum(o_totalprice) AS v FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
@@ -37,6 +38,8 @@ _PEAKS = """nb AS (SELECT *, lag(power) OVER w AS a, lead(power) OVER w AS b FRO
  cyc AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY strength DESC, frequency) AS rank FROM cy WHERE confidence >= 0.55)"""
 _CAT = "CASE WHEN period_days BETWEEN 3 AND 7 THEN 'weekly' WHEN period_days BETWEEN 20 AND 31 THEN 'monthly' WHEN period_days BETWEEN 60 AND 95 THEN 'quarterly' WHEN period_days BETWEEN 240 AND 270 THEN 'annual' WHEN period_days BETWEEN 480 AND 1500 THEN 'election_cycle' ELSE 'other' END"
 
+_QUICK = "CASE WHEN period BETWEEN 5 AND 9 THEN 'Weekly' WHEN period BETWEEN 18 AND 31 THEN 'Monthly' WHEN period BETWEEN 55 AND 70 THEN 'Quarterly' ELSE 'Other' END"
+
 
 def _segments(spark, d):
     return segments(spark, d).withColumn("value", F.col("value") / 1e5)
@@ -89,9 +92,9 @@ def seasonal_decompose(spark, d):
     return rounded(SP.decompose(panel(spark, d)).drop("value"), 3)
 
 
-@query()
+@query(f"WITH {SEGMENTS}, {_DETREND}, {_SPEC}, nb AS (SELECT *, lag(power) OVER w AS a, lead(power) OVER w AS b FROM spec WINDOW w AS (PARTITION BY entity ORDER BY k)), pk AS (SELECT entity, n * 1.0 / k AS period, power, row_number() OVER (PARTITION BY entity ORDER BY k) AS i FROM nb WHERE power > a AND power > b AND power >= 0.05 AND k > 0) SELECT entity, round(period, 1) AS period, round(power, 3) AS strength, {_QUICK} AS category FROM pk WHERE i <= 5 AND period > 5 AND period < 200")
 def quick_fft(spark, d):
-    return SP.quick_cycles(_segments(spark, d))
+    return rounded(SP.quick_cycles(_segments(spark, d)))
 
 
 @query()
@@ -152,15 +155,15 @@ def _matches(spark, d):
     return M.find(panel(spark, d), threshold=0.2)
 
 
-@query()
+@query(Q.DTW_MATCH)
 def dtw_match(spark, d):
-    return _matches(spark, d)
+    return rounded(_matches(spark, d))
 
 
-@query()
+@query(Q.DTW_PREDICT)
 def dtw_predict(spark, d):
     s, m = panel(spark, d), _matches(spark, d)
-    return M.predict(m, M.outcomes(s, m))
+    return rounded(M.predict(m, M.outcomes(s, m)))
 
 
 @query(
@@ -180,19 +183,19 @@ def filter_matches(spark, d):
     return rounded(x, 9)
 
 
-@query()
+@query(Q.PELT)
 def pelt(spark, d):
-    return CP.detect(panel(spark, d), "pelt", "l2", penalty=6.0, least=10, scaled=True)
+    return rounded(CP.detect(panel(spark, d), "pelt", "l2", penalty=6.0, least=10, scaled=True))
 
 
-@query()
+@query(Q.BINSEG)
 def binseg(spark, d):
-    return CP.detect(panel(spark, d), "binseg", penalty=0.001, least=10, scaled=True)
+    return rounded(CP.detect(panel(spark, d), "binseg", penalty=0.001, least=10, scaled=True))
 
 
-@query()
+@query(Q.CUSUM)
 def cusum(spark, d):
-    return CP.detect(panel(spark, d), "cusum")
+    return rounded(CP.detect(panel(spark, d), "cusum"))
 
 
 @query()
@@ -240,9 +243,9 @@ def lag_corr(spark, d):
     return rounded(CO.lagged(panel(spark, d), 10).select("a", "b", "lag", "n", "r"))
 
 
-@query()
+@query(Q.tested(_LAG.replace("range(-10, 11)", "range(-30, 31)")))
 def corr_tested(spark, d):
-    return CO.tested(CO.lagged(panel(spark, d), 30))
+    return rounded(CO.tested(CO.lagged(panel(spark, d), 30)).select("a", "b", "lag", "n", "r", "p", "text"))
 
 
 _EDGE = "ed AS (SELECT a.entity AS a, b.entity AS b, corr(a.value, b.value) AS r FROM panel a JOIN panel b ON a.ts = b.ts AND a.entity < b.entity GROUP BY 1, 2)"
@@ -277,13 +280,13 @@ def clusters(spark, d):
     return CO.clusters(CO.edges(panel(spark, d)), 0.02)
 
 
-@query()
+@query(Q.CENTRALITY)
 def eigen_centrality(spark, d):
     _shared(spark)
-    return CO.eigenvector_centrality(CO.network(CO.edges(panel(spark, d)), 0.0), 15)
+    return rounded(CO.eigenvector_centrality(CO.network(CO.edges(panel(spark, d)), 0.0), 15))
 
 
-@query()
+@query(Q.PATHS)
 def path_lengths(spark, d):
     _shared(spark)
     return CO.path_lengths(CO.network(CO.edges(panel(spark, d)), 0.0)).groupBy("hops").count()
@@ -375,15 +378,15 @@ def _ma(train, test):
     return np.full(len(test), 1.0 if p[-20:].mean() > p[-50:].mean() else -1.0)
 
 
-@query()
+@query(Q.BACKTEST)
 def backtest(spark, d):
-    return B.metrics(B.run(_prices(spark, d)))
+    return rounded(B.metrics(B.run(_prices(spark, d))))
 
 
-@query()
+@query(Q.COMPARE)
 def compare_strategies(spark, d):
     p = _prices(spark, d)
-    return B.metrics(B.run(p)).withColumn("strategy", F.lit("ma")).unionByName(B.metrics(B.run(p, strategy=_ma)).withColumn("strategy", F.lit("callable"))).unionByName(B.metrics(B.run(p, B.Config(stop=0.05, take=0.1))).withColumn("strategy", F.lit("stopped")))
+    return rounded(B.metrics(B.run(p)).withColumn("strategy", F.lit("ma")).unionByName(B.metrics(B.run(p, strategy=_ma)).withColumn("strategy", F.lit("callable"))).unionByName(B.metrics(B.run(p, B.Config(stop=0.05, take=0.1))).withColumn("strategy", F.lit("stopped"))))
 
 
 @query()
@@ -401,11 +404,19 @@ def validate_prices(spark, d):
     return rounded(V.prices(panel(spark, d)).select("entity", "n", "negative", "stale", "jumps"))
 
 
-@query()
+@query(Q.RETURNS)
 def validate_returns(spark, d):
     from ..operators.indicators import returns
 
-    return V.returns(market(spark, d).withColumn("value", returns(F.col("close"))))
+    return rounded(V.returns(market(spark, d).withColumn("value", returns(F.col("close")))).select("entity", "is_valid", "n", "extremes", "skew", "kurtosis"))
+
+
+@query()
+def unit_root(spark, d):
+    """The statistic of the augmented Dickey-Fuller test, and all that is said of the returns."""
+    from ..operators.indicators import returns
+
+    return V.returns(market(spark, d).withColumn("value", returns(F.col("close")))).select("entity", "issues", "warnings", "adf")
 
 
 @query()
@@ -443,21 +454,27 @@ def cyclical_tracker(spark, d):
 
 
 def _shared(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="seriesforge-")
-    if not spark.conf.get("spark.checkpoint.dir", None):
+    """The folder that all executors share; only a local master may do without one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        base = tempfile.mkdtemp(prefix="seriesforge-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
-@query()
+@query(f"WITH {SEGMENTS}, {_DETREND}, {_SPEC}, {_PEAKS} SELECT entity, CAST(rank AS INTEGER) AS rank, round(period_days, 6) AS period_days, round(strength, 6) AS strength, round(confidence, 6) AS confidence, {_CAT} AS category FROM cyc WHERE rank <= 3")
 def sink_model(spark, d):
     s = Store(spark, f"{_shared(spark)}/store-{uuid.uuid4().hex}")
     s.save(SP.top(_cycles(spark, d)), "cycles", "v1.0.0", "fourier", {"min_strength": 0.1})
     s.save(SP.top(_cycles(spark, d), 3), "cycles", "v1.0.1", "fourier")
-    return s.load("cycles")
+    return rounded(s.load("cycles").select("entity", "rank", "period_days", "strength", "confidence", "category"))
 
 
-@query()
+@query("SELECT 'run20' AS run, 40.0::DOUBLE AS number")
 def tracker(spark, d):
     r = Runs(spark, f"{_shared(spark)}/runs-{uuid.uuid4().hex}")
     for k in (5, 10, 20):

@@ -17,6 +17,7 @@ from ..operators import series as S
 from ..operators import wavelet as W
 from ..sources.store import Store
 from ..sources.tables import MARKET, PANEL, TRADES, market, panel, table, trades
+from . import sequences as Q
 from .analytics import _shared
 from .registry import query, rounded
 
@@ -108,10 +109,10 @@ def fill_forward(spark, d):
     return rounded(S.filled(p).select("entity", "idx", "value"), 4)
 
 
-@query()
+@query(Q.STOP_TAKE)
 def stop_take(spark, d):
     p = market(spark, d).select("entity", "idx", F.col("close").alias("price"))
-    return B.run(p, B.Config(stop=0.05, take=0.1))
+    return rounded(B.run(p, B.Config(stop=0.05, take=0.1)))
 
 
 @query()
@@ -124,12 +125,12 @@ def scale_average(spark, d):
     return W.scale_average(W.power(panel(spark, d), W.SCALES))
 
 
-@query()
+@query(Q.PELT_NORMAL)
 def cp_confidence(spark, d):
-    return CP.detect(panel(spark, d), "pelt", "normal", penalty=10.0, least=20, scaled=True)
+    return rounded(CP.detect(panel(spark, d), "pelt", "normal", penalty=10.0, least=20, scaled=True))
 
 
-@query()
+@query(f"WITH {PANEL} SELECT 'counts' AS name, v AS version, (SELECT count(DISTINCT entity) FROM panel) AS rows FROM (VALUES ('v2'), ('v3')) t(v)")
 def list_models(spark, d):
     s = Store(spark, f"{_shared(spark)}/store-{uuid.uuid4().hex}")
     for v in ("v1", "v2", "v3"):
@@ -138,10 +139,24 @@ def list_models(spark, d):
     return s.list().select("name", "version", "rows")
 
 
-@query()
+@query(Q.FEATURES)
 def network_features(spark, d):
     """Each entity's degree and centrality, as features."""
     _shared(spark)
     net = CO.network(CO.edges(panel(spark, d)), 0.0).checkpoint()
     degree = net.select(F.explode(F.array("a", "b")).alias("entity")).groupBy("entity").agg(F.count("*").alias("degree"))
-    return degree.join(CO.eigenvector_centrality(net, 5), "entity")
+    return rounded(degree.join(CO.eigenvector_centrality(net, 5), "entity"))
+
+
+@query("SELECT * FROM (VALUES ('saved', 'v2'), ('activated', 'v1'), ('left', 'v1')) t(step, version)")
+def model_registry(spark, d):
+    """The latest of two versions, the one made active then, and what is left when the other one is deleted."""
+    s = Store(spark, f"{_shared(spark)}/store-{uuid.uuid4().hex}")
+    for v in ("v1", "v2"):
+        s.save(panel(spark, d).groupBy("entity").count(), "counts", v)
+    steps = [("saved", s.latest("counts"))]
+    s.activate("counts", "v1")
+    steps.append(("activated", s.latest("counts")))
+    s.delete("counts", "v2")
+    left = s.list().where("name = 'counts'").select(F.lit("left").alias("step"), "version")
+    return spark.createDataFrame(steps, "step string, version string").unionByName(left)
