@@ -12,6 +12,10 @@ from ..functions.special import correlation_p
 from .series import KEY
 
 
+#: Parts of the names on either side of a square matrix.
+BLOCKS = 16
+
+
 def p_value(r: Column, n: Column) -> Column:
     """Two-sided p-value of a Pearson correlation of n pairs."""
 
@@ -55,7 +59,10 @@ def matrix(series: DataFrame, edges_: DataFrame) -> DataFrame:
     """The square matrix in long form: 1 on the diagonal, 0 where there is no correlation."""
     names = series.select(KEY).distinct()
     known = edges_.select("a", "b", "r").unionByName(edges_.select(F.col("b").alias("a"), F.col("a").alias("b"), "r"))
-    every = names.select(F.col(KEY).alias("a"), F.lit(1).alias("_k")).join(names.select(F.col(KEY).alias("b"), F.lit(1).alias("_k")), "_k").drop("_k")
+    # the result has a row for each two names: BLOCKS by BLOCKS parts of it, so that no task makes more than one of them
+    part, each = F.pmod(F.xxhash64(KEY), F.lit(BLOCKS)), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BLOCKS - 1).cast("long")))
+    left, right = (names.select(F.col(KEY).alias(own), part.alias(f"_{own}"), each.alias(f"_{other}")) for own, other in (("a", "b"), ("b", "a")))
+    every = left.join(right, ["_a", "_b"]).drop("_a", "_b")
     return every.join(known, ["a", "b"], "left").withColumn("r", F.when(F.col("a") == F.col("b"), 1.0).otherwise(F.coalesce("r", F.lit(0.0))))
 
 
@@ -151,14 +158,14 @@ def eigenvector_centrality(net: DataFrame, rounds: int = 50, every: int = 5) ->
     return v.withColumnRenamed("x", "centrality")
 
 
-def path_lengths(net: DataFrame, most: int = 30) -> DataFrame:
+def path_lengths(net: DataFrame) -> DataFrame:
     """Hops between each two linked nodes, by a join a hop until nothing is new."""
-    both = net.select("a", "b").unionByName(net.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    seen = both.withColumn("hops", F.lit(1))
-    edge = seen
-    for h in range(2, most):
-        step = edge.select("a", F.col("b").alias("m")).join(both.toDF("m", "b"), "m").where("a != b").select("a", "b").distinct().join(seen, ["a", "b"], "left_anti").withColumn("hops", F.lit(h)).checkpoint()
-        if not step.limit(1).count():
-            break
+    both = net.select("a", "b").unionByName(net.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
+    seen = edge = both.withColumn("hops", F.lit(1))
+    hops = 1
+    while True:
+        hops += 1
+        step = edge.select("a", F.col("b").alias("m")).join(both.toDF("m", "b"), "m").where("a != b").select("a", "b").distinct().join(seen, ["a", "b"], "left_anti").withColumn("hops", F.lit(hops)).checkpoint()
+        if step.isEmpty():
+            return seen
         seen, edge = seen.unionByName(step).checkpoint(), step
-    return seen

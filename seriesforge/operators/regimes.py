@@ -29,11 +29,30 @@ def _log_density(x: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> np.ndarray
     return out
 
 
-class GaussianHMM:
-    """Baum-Welch with scaled forward and backward passes; states are ordered by the mean of the first feature."""
+COVARIANCES = ("full", "diag", "spherical", "tied")
+
 
-    def __init__(self, n_states: int = 4, rounds: int = 100, tolerance: float = 1e-3, seed: int = 42, floor: float = 1e-3):
-        self.k, self.rounds, self.tolerance, self.seed, self.floor = n_states, rounds, tolerance, seed, floor
+class GaussianHMM:
+    """Baum-Welch with scaled forward and backward passes; states are ordered by the mean of the first feature.
+
+    covariance: full or diagonal matrices, one variance a state (spherical), or one full matrix for all states (tied).
+    """
+
+    def __init__(self, n_states: int = 4, rounds: int = 100, tolerance: float = 1e-3, seed: int = 42, floor: float = 1e-3, covariance: str = "full"):
+        if covariance not in COVARIANCES:
+            raise ValueError(f"unknown covariance: {covariance}")
+        self.k, self.rounds, self.tolerance, self.seed, self.floor, self.covariance = n_states, rounds, tolerance, seed, floor, covariance
+
+    def _shaped(self, cov: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Full matrices as the chosen kind has them."""
+        one = np.eye(cov.shape[1])
+        if self.covariance == "diag":
+            return cov * one
+        if self.covariance == "spherical":
+            return np.trace(cov, axis1=1, axis2=2)[:, None, None] / cov.shape[1] * one
+        if self.covariance == "tied":
+            return np.repeat(((weight / weight.sum())[:, None, None] * cov).sum(0)[None], self.k, 0)
+        return cov
 
     def _start(self, x: np.ndarray) -> None:
         r = np.random.default_rng(self.seed)
@@ -78,6 +97,7 @@ class GaussianHMM:
             for k in range(self.k):
                 d = x - self.mean[k]
                 self.cov[k] = (post[:, k, None] * d).T @ d / weight[k] + self.floor * np.eye(x.shape[1])
+            self.cov = self._shaped(self.cov, weight)
             if now - before < self.tolerance:
                 break
             before = now
@@ -110,7 +130,7 @@ class GaussianHMM:
 COLUMNS = ["ret", "vol", "momentum", "volume_z"]
 
 
-def states(feats: DataFrame, n_states: int = 4, rounds: int = 100) -> DataFrame:
+def states(feats: DataFrame, n_states: int = 4, rounds: int = 100, covariance: str = "full") -> DataFrame:
     """Of each row its state by the likeliest path and that state's posterior; of each entity's last row also the transition matrix's row. Entities with under 10 rows a state are left out."""
 
     def one(g: pd.DataFrame) -> pd.DataFrame:
@@ -120,7 +140,7 @@ def states(feats: DataFrame, n_states: int = 4, rounds: int = 100) -> DataFrame:
             return pd.DataFrame(columns=["entity", "idx", "ret", "volume", "state", "probability", "transitions", "log_likelihood"])
         sd = x.std(0)
         x = (x - x.mean(0)) / np.where(sd < 1e-8, 1, sd)
-        m = GaussianHMM(n_states, rounds).fit(x)
+        m = GaussianHMM(n_states, rounds, covariance=covariance).fit(x)
         path = m.viterbi(x)
         return g[[KEY, "idx", "ret", "volume"]].assign(state=path, probability=m.posteriors(x)[np.arange(len(x)), path], transitions=[m.step[s].tolist() for s in path], log_likelihood=m.score(x))
 

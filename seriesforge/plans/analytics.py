@@ -166,15 +166,11 @@ def dtw_predict(spark, d):
     return rounded(M.predict(m, M.outcomes(s, m)))
 
 
-@query(
-    f"""WITH {PANEL}, r AS (SELECT entity, idx, coalesce(value / nullif(lag(value) OVER (PARTITION BY entity ORDER BY idx), 0) - 1, 0) AS r FROM panel), m AS (SELECT entity, idx AS start FROM panel WHERE idx % 200 = 0 AND idx < 1000),
- j AS (SELECT m.entity, m.start, r.idx, r.r FROM m JOIN r ON r.entity = m.entity AND r.idx >= m.start + 30 AND r.idx < m.start + 60), c AS (SELECT *, exp(sum(ln(greatest(1 + r, 1e-12))) OVER (PARTITION BY entity, start ORDER BY idx)) AS c FROM j),
- k AS (SELECT *, max(c) OVER (PARTITION BY entity, start ORDER BY idx) AS m FROM c) SELECT entity, start, round(sum(r), 4) AS total, round(avg(r), 6) AS mean, round(stddev_pop(r), 6) AS std, round(min((c - m) / m), 6) AS max_drawdown FROM k GROUP BY 1, 2"""
-)
+@query(Q.OUTCOME)
 def outcome(spark, d):
+    """What followed every match of whole series, over both horizons."""
     p = panel(spark, d)
-    o = M.outcomes(p, p.where("idx % 200 = 0 and idx < 1000").select("entity", F.col("idx").alias("start")), horizons=(30,))
-    return o.select("entity", "start", F.round("total", 4).alias("total"), F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), F.round("max_drawdown", 6).alias("max_drawdown"))
+    return rounded(M.outcomes(p, _matches(spark, d)).select("entity", "start", "horizon", "total", "mean", "std", "sharpe", "max_drawdown"))
 
 
 @query("SELECT l_orderkey, l_linenumber, round(1 / (1 + l_tax * 10 / 2), 9) AS similarity FROM lineitem WHERE 1 / (1 + l_tax * 10 / 2) >= 0.8")

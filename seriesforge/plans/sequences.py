@@ -72,6 +72,10 @@ DTW_PREDICT = f"""WITH RECURSIVE {PANEL}, {_MATCHES}, r AS (SELECT entity, idx,
  o AS (SELECT ma.entity, ma.start, any_value(similarity) AS s, sum(r) AS total FROM ma JOIN r ON r.entity = ma.entity AND r.idx >= ma.start + 30 AND r.idx < ma.start + 60 GROUP BY 1, 2),
  g AS (SELECT entity, count(*) AS n, sum(total * s) / sum(s) AS predicted, 0.3 * least(count(*) / 10.0, 1) + 0.4 / (1 + stddev_pop(total)) AS steady, avg(s) AS sim FROM o GROUP BY 1)
  SELECT entity, n, round(predicted, 6) AS predicted, round(steady + 0.3 / n, 6) AS confidence, round(steady + 0.3 * sim, 6) AS confidence_by_similarity FROM g"""
+OUTCOME = f"""WITH RECURSIVE {PANEL}, {_MATCHES}, r AS (SELECT entity, idx, coalesce(value / nullif(lag(value) OVER (PARTITION BY entity ORDER BY idx), 0) - 1, 0) AS r FROM panel),
+ j AS (SELECT ma.entity, ma.start, h.horizon, r.idx, r.r FROM ma CROSS JOIN (SELECT unnest([30, 90]) AS horizon) h JOIN r ON r.entity = ma.entity AND r.idx >= ma.start + 30 AND r.idx < ma.start + 30 + h.horizon),
+ c AS (SELECT *, exp(sum(ln(greatest(1 + r, 1e-12))) OVER (PARTITION BY entity, start, horizon ORDER BY idx)) AS c FROM j), k AS (SELECT *, max(c) OVER (PARTITION BY entity, start, horizon ORDER BY idx) AS m FROM c)
+ SELECT entity, start, CAST(horizon AS INTEGER) AS horizon, round(sum(r), 6) AS total, round(avg(r), 6) AS mean, round(stddev_pop(r), 6) AS std, round(coalesce(avg(r) / nullif(stddev_pop(r), 0), 0), 6) AS sharpe, round(min((c - m) / m), 6) AS max_drawdown FROM k GROUP BY 1, 2, 3"""
 
 _NETS = """nn AS (SELECT entity, idx, close, count(*) OVER (PARTITION BY entity) AS n FROM market), kk AS (SELECT nn.entity, nn.idx, max(w.k) AS k FROM nn, (SELECT unnest(range(0, 500)) AS k) w WHERE 252 + w.k * 21 <= nn.idx AND nn.idx < 252 + w.k * 21 + 63 AND 252 + w.k * 21 + 63 <= nn.n GROUP BY 1, 2),
  aa AS (SELECT entity, idx + 1 AS at, CASE WHEN avg(close) OVER (PARTITION BY entity ORDER BY idx ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) > avg(close) OVER (PARTITION BY entity ORDER BY idx ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) THEN 1.0 ELSE -1.0 END AS s FROM market),

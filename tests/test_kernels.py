@@ -96,6 +96,30 @@ def test_hmm_separates_regimes_and_climbs():
     assert np.allclose(many.posteriors(x).sum(1), 1)
 
 
+def test_kinds_of_covariance():
+    r = np.random.default_rng(3)
+    x = np.concatenate([r.normal((0, 0), (1, 0.3), (150, 2)), r.normal((4, 2), (0.5, 1), (150, 2))])
+    found = {}
+    for kind in H.COVARIANCES:
+        few, many = (H.GaussianHMM(2, n, covariance=kind).fit(x) for n in (1, 40))
+        assert many.score(x) >= few.score(x) - 1e-6
+        found[kind] = many.score(x)
+        c = many.cov
+        assert kind != "diag" or np.allclose(c * (1 - np.eye(2)), 0)
+        assert kind != "spherical" or np.allclose(c, c[:, :1, :1] * np.eye(2))
+        assert kind != "tied" or np.allclose(c[0], c[1])
+    assert found["full"] >= max(found["spherical"], found["tied"]) - 1e-6
+    with pytest.raises(ValueError):
+        H.GaussianHMM(covariance="other")
+
+
+def test_paths_of_any_length(spark):
+    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    net = spark.createDataFrame([(i, i + 1) for i in range(6)], "a int, b int")
+    got = {(r.a, r.b): r.hops for r in CO.path_lengths(net).collect()}
+    assert got == {(i, j): abs(i - j) for i in range(7) for j in range(7) if i != j}
+
+
 def test_likelihood_like_the_sum_over_paths():
     x = np.array([[0.1], [1.2], [-0.4], [0.8]])
     m = H.GaussianHMM(2, 3).fit(x)
