@@ -58,7 +58,7 @@ def find(series: DataFrame, window: int = 30, horizon: int = 90, threshold: floa
     m = series.select(KEY, "idx", "value").groupBy(KEY).applyInPandas(one, f"{KEY} {kind}, start long, distance double")
     m = m.withColumn("similarity", R.match_similarity(F.col("distance"))).where(F.col("similarity") >= threshold)
     m = m.withColumn("confidence", R.match_confidence(F.col("similarity"), F.col("distance"), window))
-    return m.withColumn("rank", F.row_number().over(Window.partitionBy(KEY).orderBy(F.desc("similarity"), "start"))).where(F.col("rank") <= top)
+    return m.withColumn("rank", F.row_number().over(Window.partitionBy(KEY).orderBy(F.round("similarity", 9).desc(), "start"))).where(F.col("rank") <= top)
 
 
 def outcomes(series: DataFrame, matches: DataFrame, window: int = 30, horizons: tuple[int, ...] = (30, 90), kind: str = "prices") -> DataFrame:

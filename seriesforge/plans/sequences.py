@@ -25,11 +25,11 @@ _TESTED = f"""sides AS (SELECT c.entity, c.idx, count(*) FILTER (WHERE p.idx < c
  SELECT entity, idx, round(CASE WHEN na < 2 OR nb < 2 THEN 0.5 WHEN pooled <= 0 THEN CASE WHEN ma = mb THEN 0 ELSE 1 END ELSE {t_confidence("((ma - mb) / sqrt(pooled * (1.0 / na + 1.0 / nb)))", "df")} END, 6) AS confidence FROM stat"""
 
 
-def _optimal(cost: str, penalty: float, least: int) -> str:
+def _optimal(cost: str, penalty: float, least: int, source: str = PANEL) -> str:
     """All best segmentations of every prefix; cost over d (squares), m (rows)."""
     sse = "greatest(q[t + 2] - q[i + 1] - pow(s[t + 2] - s[i + 1], 2) / (t + 1 - i), 0)"
     one = cost.replace("SSE", sse).replace("ROWS", "(t + 1 - i)")
-    return f"""WITH RECURSIVE {PANEL}, {_SCALED},
+    return f"""WITH RECURSIVE {source}, {_SCALED},
  st AS (SELECT entity, 0 AS t, [-{penalty}::DOUBLE] AS best, [0::BIGINT] AS back FROM li WHERE n >= {2 * least}
   UNION ALL SELECT entity, t + 1, list_append(best, list_min(cand) + {penalty}), list_append(back, list_position(cand, list_min(cand)) - 1) FROM
    (SELECT st.entity, t, best, back, CASE WHEN t + 1 < {least} THEN ['Infinity'::DOUBLE] ELSE list_transform(range(0, t + 2 - {least}), lambda i: best[i + 1] + {one}) END AS cand FROM st JOIN li ON li.entity = st.entity WHERE t < n)),
@@ -39,7 +39,7 @@ def _optimal(cost: str, penalty: float, least: int) -> str:
 
 
 PELT = _optimal("SSE", 6.0, 10)
-PELT_NORMAL = _optimal("ROWS * ln(SSE / ROWS + 1e-10)", 10.0, 20)
+PELT_NORMAL = _optimal("ROWS * ln(SSE / ROWS + 1e-10)", 10.0, 20, f"{MARKET}, panel AS (SELECT entity, idx, close AS value FROM market)")
 
 _PART = "greatest(q[{j} + 1] - q[{i} + 1] - pow(s[{j} + 1] - s[{i} + 1], 2) / ({j} - {i}), 0)"
 _GAIN = f"({_PART.format(i='lo', j='hi')} - {_PART.format(i='lo', j='(lo + a)')} - {_PART.format(i='(lo + a)', j='hi')}) / (hi - lo)"
@@ -66,7 +66,7 @@ _MATCHES = """se AS (SELECT entity, list(value ORDER BY idx) AS x, count(*) AS n
   UNION ALL SELECT entity, start, a, b, d + 1, list_transform(range(0, 30), lambda i: CASE WHEN d + 1 - i BETWEEN 0 AND 29 THEN pow(a[i + 1] - b[d + 2 - i], 2) + least(p1[i + 1], CASE WHEN i > 0 THEN least(p1[i], p2[i]) ELSE 'Infinity'::DOUBLE END) ELSE 'Infinity'::DOUBLE END), p1 FROM dg WHERE d < 58),
  di AS (SELECT entity, start, sqrt(p1[30]) AS distance FROM dg WHERE d = 58),
  si AS (SELECT *, 1 / (1 + distance / 2) AS similarity FROM di WHERE 1 / (1 + distance / 2) >= 0.2),
- ma AS (SELECT *, 0.5 * similarity + 0.3 / (1 + distance) + 0.2 * 0.5 AS confidence, row_number() OVER (PARTITION BY entity ORDER BY similarity DESC, start) AS rank FROM si QUALIFY rank <= 10)"""
+ ma AS (SELECT *, 0.5 * similarity + 0.3 / (1 + distance) + 0.2 * 0.5 AS confidence, row_number() OVER (PARTITION BY entity ORDER BY round(similarity, 9) DESC, start) AS rank FROM si QUALIFY rank <= 10)"""
 DTW_MATCH = f"WITH RECURSIVE {PANEL}, {_MATCHES} SELECT entity, start, round(distance, 6) AS distance, round(similarity, 6) AS similarity, round(confidence, 6) AS confidence, CAST(rank AS INTEGER) AS rank FROM ma"
 DTW_PREDICT = f"""WITH RECURSIVE {PANEL}, {_MATCHES}, r AS (SELECT entity, idx, coalesce(value / nullif(lag(value) OVER (PARTITION BY entity ORDER BY idx), 0) - 1, 0) AS r FROM panel),
  o AS (SELECT ma.entity, ma.start, any_value(similarity) AS s, sum(r) AS total FROM ma JOIN r ON r.entity = ma.entity AND r.idx >= ma.start + 30 AND r.idx < ma.start + 60 GROUP BY 1, 2),
