@@ -95,8 +95,11 @@ def _insight(df: DataFrame, when: Column, kind: str, severity: Column | str, tit
     return df.where(when).select(KEY, F.lit(kind).alias("type"), lit(severity).alias("severity"), lit(title).alias("title"), confidence.cast("double").alias("confidence"), F.create_map(*pairs).alias("evidence"), F.array(F.lit(advice)).alias("recommendations"))
 
 
-def insights(cycles: DataFrame, profiles: DataFrame, current: DataFrame, matches: DataFrame, ensemble: DataFrame, least: float = 0.7) -> DataFrame:
-    """One projection for each rule, joined, kept from this confidence on, with a priority by severity, then confidence."""
+def insights(cycles: DataFrame, profiles: DataFrame, current: DataFrame, matches: DataFrame, ensemble: DataFrame, least: float = 0.7, pairs: DataFrame | None = None, shares: DataFrame | None = None) -> DataFrame:
+    """One projection for each rule, joined, kept from this confidence on, with a priority by severity, then confidence.
+
+    pairs: a, b, r, p, lag; each entity hears of its three strongest. shares: entity, sector, share.
+    """
     c = F.col("confidence")
     best = cycles.withColumn("_r", F.row_number().over(Window.partitionBy(KEY).orderBy(F.desc("strength"), "frequency"))).where("_r = 1")
     many = cycles.groupBy(KEY).agg(F.count("*").alias("n"), F.max("confidence").alias("confidence"))
@@ -113,8 +116,17 @@ def insights(cycles: DataFrame, profiles: DataFrame, current: DataFrame, matches
         _insight(found, F.col("n") >= 5, "precedent", "medium", "Several precedents", c, {"matches": F.col("n")}, "Look at what followed"),
         _insight(ensemble, F.col("anomaly") > 0.7, "anomaly", "critical", "Unusual activity", F.col("anomaly"), {"anomaly": F.round("anomaly", 6)}, "Review the last weeks"),
         _insight(ensemble, F.col("agreement") < 0.5, "ensemble", "medium", "Models disagree", 1 - F.col("agreement"), {"agreement": F.round("agreement", 6)}, "Treat the forecast with care"),
+        _insight(ensemble, F.abs("value") > 10, "prediction", "high", F.when(F.col("value") > 0, "A large increase is predicted").otherwise("A large decrease is predicted"), c, {"predicted_change": F.round("value", 6)}, "Compare what happens with the forecast"),
         _insight(ensemble, c > 0.8, "ensemble", "high", "A confident forecast", c, {"value": F.round("value", 6)}, "Plan for it"),
     ]
+    if pairs is not None:
+        strong = pairs.where((F.abs("r") > 0.7) & (F.col("p") < 0.05))
+        sides = strong.select(F.col("a").alias(KEY), F.col("b").alias("other"), "r", "p", "lag").unionByName(strong.select(F.col("b").alias(KEY), F.col("a").alias("other"), "r", "p", (-F.col("lag")).alias("lag")))
+        near = sides.withColumn("_r", F.row_number().over(Window.partitionBy(KEY).orderBy(F.abs("r").desc(), "other"))).where("_r <= 3")
+        rules.append(_insight(near, F.lit(True), "correlation", F.when(F.abs("r") > 0.8, "high").otherwise("medium"), F.concat(F.lit("Moves with "), F.col("other").cast("string")), 1 - F.col("p"), {"correlation": F.round("r", 6), "p_value": F.round("p", 6), "lag": F.col("lag")}, "Look at what the two share"))
+    if shares is not None:
+        first = shares.withColumn("_r", F.row_number().over(Window.partitionBy(KEY).orderBy(F.desc("share"), "sector"))).where("_r = 1")
+        rules.append(_insight(first, F.col("share") > 0.7, "sector", "medium", F.concat(F.lit("Concentrated in "), F.col("sector")), F.lit(0.85), {"share": F.round("share", 6)}, "Weigh specialisation against spread"))
     out = rules[0]
     for r in rules[1:]:
         out = out.unionByName(r)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -36,10 +38,11 @@ def dtw(one: np.ndarray, many: np.ndarray, limit: float = np.inf) -> np.ndarray:
     return out
 
 
-def find(series: DataFrame, window: int = 30, horizon: int = 90, threshold: float = 0.7, max_distance: float | None = None, top: int = 10) -> DataFrame:
+def find(series: DataFrame, window: int = 30, horizon: int = 90, threshold: float = 0.7, max_distance: float | None = None, top: int = 10, distance: Callable[[np.ndarray, np.ndarray, float], np.ndarray] = dtw) -> DataFrame:
     """Of each entity the windows most like its last one, each with a full horizon after it: start, distance, similarity, confidence, rank.
 
-    Entities shorter than a window, a horizon and one more window have none.
+    Entities shorter than a window, a horizon and one more window have none. `distance` takes a window, rows of windows
+    and the limit beyond which a row doesn't count, and gives a number a row.
     """
     limit = min(2 * (1 / threshold - 1), max_distance if max_distance is not None else np.inf)
 
@@ -49,7 +52,7 @@ def find(series: DataFrame, window: int = 30, horizon: int = 90, threshold: floa
         found, lo = [], 0
         while lo < len(starts):
             part = starts[lo : lo + 4096]
-            d = dtw(normalise(x[-window:]), normalise(x[part[:, None] + np.arange(window)]), limit)
+            d = distance(normalise(x[-window:]), normalise(x[part[:, None] + np.arange(window)]), limit)
             found += [(g[KEY].iloc[0], int(s), float(v)) for s, v in zip(part, d, strict=True) if v <= limit]
             lo += 4096
         return pd.DataFrame(found, columns=[KEY, "start", "distance"])

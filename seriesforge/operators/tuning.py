@@ -11,16 +11,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .changepoint import pelt
+from .lstm import Config, validation_loss
 from .regimes import GaussianHMM
 from .series import KEY
+from .wavelet import transform
 
 #: Ranges of the search. Fixed values.
 SPACES = {
     "fourier": {"min_strength": (0.05, 0.5), "min_confidence": (0.5, 0.95)},
     "hmm": {"n_states": (2, 6)},
     "changepoint": {"penalty": (0.5, 20.0), "min_segment": (5, 50)},
-    "wavelet": {"n_scales": (32, 128)},
+    "wavelet": {"n_scales": (32, 128), "wavelet": (0, 1)},
+    "lstm": {"hidden": (16, 128), "layers": (1, 3), "dropout": (0.1, 0.5), "length": (10, 60), "log10_rate": (-4.0, -2.0), "attention": (0, 1)},
 }
+WAVELETS = ("morlet", "mexican_hat")
+
+#: What a search may minimise instead: a function of the detector's result and the series.
+Metric = Callable[[object, np.ndarray], float]
 
 
 def trials(space: dict[str, tuple[float, float]], n: int = 20, sampler: str = "random", seed: int = 42) -> list[dict[str, float]]:
@@ -37,39 +44,65 @@ def trials(space: dict[str, tuple[float, float]], n: int = 20, sampler: str = "r
     return [{k: draw(*space[k], float(u)) for k, u in zip(space, p, strict=True)} for p in points]
 
 
-def score_changepoint(x: np.ndarray, p: dict) -> float:
-    """How far the number of breaks is from one in 75 rows."""
+def score_changepoint(x: np.ndarray, p: dict, metric: Metric | None = None) -> float:
+    """How far the number of breaks is from one in 75 rows; the result is the list of breaks."""
     z = (x - x.mean()) / (x.std() + 1e-10)
-    return abs(len(pelt(z, "l2", p["penalty"], int(p["min_segment"]))) - len(x) / 75)
+    found = pelt(z, "l2", p["penalty"], int(p["min_segment"]))
+    return metric(found, x) if metric else abs(len(found) - len(x) / 75)
 
 
-def score_hmm(x: np.ndarray, p: dict) -> float:
-    """The Bayesian information criterion."""
+def score_hmm(x: np.ndarray, p: dict, metric: Metric | None = None) -> float:
+    """The Bayesian information criterion; the result is the model."""
     k = int(p["n_states"])
     z = ((x - x.mean()) / (x.std() + 1e-10))[:, None]
     free = k * k - 1 + 2 * k
-    return free * np.log(len(z)) - 2 * GaussianHMM(k, 30).fit(z).score(z)
+    model = GaussianHMM(k, 30).fit(z)
+    return metric(model, x) if metric else free * np.log(len(z)) - 2 * model.score(z)
 
 
-def score_fourier(x: np.ndarray, p: dict) -> float:
-    """Less the number of frequencies of enough strength times their mean share of it."""
+def score_fourier(x: np.ndarray, p: dict, metric: Metric | None = None) -> float:
+    """Less the number of frequencies of enough strength times their mean share of it; the result is their strengths."""
     power = np.abs(np.fft.rfft(x - x.mean()))[1 : len(x) // 2] * 2 / len(x) / (x.std() + 1e-10)
     kept = power[power >= p["min_strength"]]
     sure = 0.5 * np.minimum(kept, 1) + 0.5
+    if metric:
+        return metric(kept[sure >= p["min_confidence"]], x)
     return -float((sure >= p["min_confidence"]).sum() * (sure.mean() if len(sure) else 0))
 
 
-def search(series: DataFrame, space: dict, objective: Callable[[np.ndarray, dict], float], n: int = 20, sampler: str = "random", seed: int = 42) -> DataFrame:
-    """The objective (less is better) of each trial for each entity: trial, params, score, best."""
+def score_wavelet(x: np.ndarray, p: dict, metric: Metric | None = None) -> float:
+    """Less the number of ridges; the result is their (scale, start, end)."""
+    z = (x - x.mean()) / x.std() if x.std() > 1e-8 else np.zeros(len(x))
+    found = []
+    for s in range(1, int(p["n_scales"]) + 1):
+        power = transform(z, np.array([float(s)]), WAVELETS[int(p["wavelet"])])[0] ** 2
+        above = np.concatenate([[False], power > np.median(power) + power.std(ddof=0), [False]])
+        ends = np.flatnonzero(above[1:] != above[:-1]).reshape(-1, 2)
+        found += [(s, int(a), int(b)) for a, b in ends if b - a >= int(0.1 * len(x))]
+    return metric(found, x) if metric else -float(len(found))
+
+
+def score_lstm(x: np.ndarray, p: dict, metric: Metric | None = None) -> float:
+    """The loss on the held-out share, infinite for short series; the result is that loss. `epochs` may be among the parameters (else 30)."""
+    whole = {k: int(p[k]) for k in ("hidden", "layers", "length") if k in p}
+    c = Config(dropout=p.get("dropout", 0.2), rate=10 ** p.get("log10_rate", -3.0), attention=bool(p.get("attention", 1)), epochs=int(p.get("epochs", 30)), **whole)
+    loss = validation_loss(x, c)
+    return metric(loss, x) if metric else loss
+
+
+def search(series: DataFrame, space: dict, objective: Callable[..., float], n: int = 20, sampler: str = "random", seed: int = 42, metric: Metric | None = None) -> DataFrame:
+    """The objective (less is better) of each trial for each entity: trial, params, score, best. A metric takes the place of the objective's own measure."""
     rows = [(i, {k: float(v) for k, v in p.items()}) for i, p in enumerate(trials(space, n, sampler, seed))]
     grid = series.sparkSession.createDataFrame(rows, "trial int, params map<string,double>")
     values = series.groupBy(KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "value"))), lambda s: s["value"]).alias("values"))
     pairs = values.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(len(rows) - 1)))).join(F.broadcast(grid.withColumnRenamed("trial", "_k")), "_k")  # the grid is a list of n rows
     pairs = pairs.repartition(KEY, "_k")
 
+    more = () if metric is None else (metric,)
+
     @F.pandas_udf("double")
     def run(values: pd.Series, params: pd.Series) -> pd.Series:
-        return pd.Series([float(objective(np.asarray(v, float), dict(p))) for v, p in zip(values, params, strict=True)])
+        return pd.Series([float(objective(np.asarray(v, float), dict(p), *more)) for v, p in zip(values, params, strict=True)])
 
     scored = pairs.select(KEY, F.col("_k").alias("trial"), "params", run("values", "params").alias("score"))
     w = Window.partitionBy(KEY).orderBy("score", "trial")

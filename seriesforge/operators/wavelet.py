@@ -77,6 +77,11 @@ def dominant(ridges_: DataFrame, k: int = 5) -> DataFrame:
     return df.withColumn("text", F.format_string("%s cycle of %.1f days, rows %d to %d", "category", "period", "start", "end"))
 
 
+def quick(series: DataFrame, name: str = "morlet", k: int = 5) -> DataFrame:
+    """The strongest ridges over all scales of a full scan."""
+    return dominant(ridges(power(series, SCALES, name)), k)
+
+
 def cone(idx: Column, n: Column, name: str = "morlet", dt: float = 1.0) -> Column:
     return F.least(idx, n - 1 - idx) * dt * (math.sqrt(2) if name == "morlet" else 1.0)
 

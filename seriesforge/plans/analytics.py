@@ -230,16 +230,16 @@ def coi(spark, d):
 
 
 _LAG = """pr AS (SELECT a.entity AS a, b.entity AS b, a.value AS x, b.value AS y, row_number() OVER (PARTITION BY a.entity, b.entity ORDER BY a.ts) AS i FROM panel a JOIN panel b ON a.ts = b.ts AND a.entity < b.entity),
- lg AS (SELECT p.a, p.b, l.lag, count(*) AS n, corr(p.x, q.y) AS r FROM pr p, (SELECT unnest(range(-10, 11)) AS lag) l JOIN pr q ON q.a = p.a AND q.b = p.b AND q.i = p.i + l.lag GROUP BY 1, 2, 3 HAVING count(*) >= 20),
+ lg AS (SELECT p.a, p.b, l.lag, count(*) AS n, corr(p.x, q.y) AS r FROM pr p, (SELECT unnest(range(-30, 31)) AS lag) l JOIN pr q ON q.a = p.a AND q.b = p.b AND q.i = p.i + l.lag GROUP BY 1, 2, 3 HAVING count(*) >= 20),
  bs AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY round(abs(coalesce(r, 0)), 10) DESC, lag) AS k FROM lg)"""
 
 
 @query(f"WITH {PANEL}, {_LAG} SELECT a, b, CAST(lag AS INTEGER) AS lag, n, round(r, 6) AS r FROM bs WHERE k = 1")
 def lag_corr(spark, d):
-    return rounded(CO.lagged(panel(spark, d), 10).select("a", "b", "lag", "n", "r"))
+    return rounded(CO.lagged(panel(spark, d), 30).select("a", "b", "lag", "n", "r"))
 
 
-@query(Q.tested(_LAG.replace("range(-10, 11)", "range(-30, 31)")))
+@query(Q.tested(_LAG))
 def corr_tested(spark, d):
     return rounded(CO.tested(CO.lagged(panel(spark, d), 30)).select("a", "b", "lag", "n", "r", "p", "text"))
 
@@ -336,7 +336,10 @@ def _insights(spark, d):
     votes = E.fourier_vote(fc, best).unionByName(E.hmm_vote(cu, pr)).unionByName(E.dtw_vote(pd_))
     stay = cu.join(pr, ["entity", "state"]).select("entity", "expected_duration")
     ens = E.classify(E.vote(votes), s, stay, pd_.select("entity", F.col("confidence").alias("match_confidence")))
-    return ens, E.insights(cy, pr, cu, ma, ens)
+    pairs = CO.tested(CO.lagged(s)).select("a", "b", "r", "p", "lag")
+    o = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("entity"), F.col("o_orderstatus").alias("sector")).agg(F.count("*").alias("n"))
+    shares = o.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("entity")))
+    return ens, E.insights(cy, pr, cu, ma, ens, pairs=pairs, shares=shares)
 
 
 @query()
@@ -421,7 +424,22 @@ def tune(spark, d):
     return T.search(s, T.SPACES["changepoint"], T.score_changepoint, 6).unionByName(T.search(s, T.SPACES["fourier"], T.score_fourier, 4, "grid")).select("entity", "trial", "score", "best")
 
 
-_LSTM = L.Config(epochs=3, hidden=8)
+@query()
+def tune_models(spark, d):
+    """Searches over wavelets, regimes and small networks of few epochs."""
+    s = panel(spark, d)
+    small = {"hidden": (4, 8), "layers": (1, 2), "length": (10, 20), "log10_rate": (-3.0, -2.0), "epochs": (1, 2)}
+    runs = {"wavelet": (T.SPACES["wavelet"], T.score_wavelet, 3), "hmm": (T.SPACES["hmm"], T.score_hmm, 3), "lstm": (small, T.score_lstm, 2)}
+    found = [T.search(s, space, score, n).select("entity", F.lit(name).alias("model"), "trial", "params", "score", "best") for name, (space, score, n) in runs.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+_LSTM = L.Config(epochs=3, hidden=8, rate=1e-2, batch=64)
+
+
+@query()
+def lstm_train(spark, d):
+    return L.train(panel(spark, d), _LSTM)
 
 
 @query()

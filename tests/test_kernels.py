@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 from seriesforge.functions import special
 from seriesforge.operators import changepoint as CP
 from seriesforge.operators import correlation as CO
+from seriesforge.operators import ensemble as E
 from seriesforge.operators import lstm as L
 from seriesforge.operators import matching as M
 from seriesforge.operators import regimes as H
@@ -139,9 +140,10 @@ def test_wavelet_finds_the_period():
     assert W.transform(np.sin(2 * np.pi * t / 30), np.array([10.0]), "morlet")[0, 200] == pytest.approx(direct)
 
 
-def test_gradients_of_the_network():
+@pytest.mark.parametrize("layers, bidirectional, attention", [(1, False, True), (2, True, True), (3, False, False)])
+def test_gradients_of_the_network(layers, bidirectional, attention):
     r = np.random.default_rng(1)
-    net = L.Net(L.Config(hidden=3))
+    net = L.Net(L.Config(hidden=3, layers=layers, bidirectional=bidirectional, attention=attention))
     x, y = r.normal(size=(5, 6)), r.normal(size=5)
     _, g = net.gradients(x, y)
     for name, a in net.p.items():
@@ -156,6 +158,75 @@ def test_gradients_of_the_network():
             assert g[name].reshape(-1)[i] == pytest.approx((up - down) / 2e-5, abs=1e-6)
 
 
+def test_dropout_masks_reach_the_gradients():
+    net = L.Net(L.Config(hidden=4, layers=2, dropout=0.5))
+    r = np.random.default_rng(2)
+    x, y = r.normal(size=(6, 5)), r.normal(size=6)
+    again = lambda: net.gradients(x, y, np.random.default_rng(7))
+    g = again()[1]["w00"]
+    for i in range(0, g.size, 9):
+        flat = net.p["w00"].reshape(-1)
+        old = flat[i]
+        flat[i] = old + 1e-5
+        up = again()[0]
+        flat[i] = old - 1e-5
+        down = again()[0]
+        flat[i] = old
+        assert g.reshape(-1)[i] == pytest.approx((up - down) / 2e-5, abs=1e-6)
+
+
+def test_training_lowers_both_losses(spark):
+    df = frame(spark, a=np.sin(np.arange(240) / 5), short=np.arange(12.0))
+    h = L.train(df, L.Config(length=10, hidden=8, rate=1e-2, epochs=6)).orderBy("epoch").collect()
+    assert {r.entity for r in h} == {"a"} and [r.epoch for r in h] == [1, 2, 3, 4, 5, 6]
+    assert h[-1].train_loss < h[0].train_loss and h[-1].val_loss < h[0].val_loss
+    assert L.validation_loss(np.arange(12.0), L.Config(length=10)) == np.inf
+
+
+def test_objectives_take_another_metric(spark):
+    x = np.sin(np.arange(300) / 6) + np.random.default_rng(0).normal(0, 0.1, 300)
+    points = {"changepoint": (T.score_changepoint, {"penalty": 3.0, "min_segment": 5}), "hmm": (T.score_hmm, {"n_states": 2}), "fourier": (T.score_fourier, {"min_strength": 0.1, "min_confidence": 0.5}), "wavelet": (T.score_wavelet, {"n_scales": 32, "wavelet": 0}), "lstm": (T.score_lstm, {"hidden": 4, "layers": 1, "length": 10, "epochs": 1})}
+    assert set(points) == set(T.SPACES)
+    for score, p in points.values():
+        assert np.isfinite(score(x, p)) and score(x, p, lambda result, data: len(data)) == 300
+    found = T.search(frame(spark, a=x), T.SPACES["changepoint"], T.score_changepoint, 3, metric=lambda breaks, data: -len(breaks)).collect()
+    assert sum(r.best for r in found) == 1 and min(r.score for r in found) == next(r.score for r in found if r.best)
+
+
+def test_ridges_counted_like_the_query(spark):
+    x = np.sin(np.arange(200) / 16)
+    many = W.ridges(W.power(frame(spark, a=x), list(range(1, 129)), "morlet")).count()
+    assert T.score_wavelet(x, {"n_scales": 128, "wavelet": 0}) == -many < 0
+
+
+def test_matches_by_another_distance(spark):
+    x = np.sin(np.arange(200) / 4)
+    plain = lambda one, many, limit: np.sqrt(((many - one) ** 2).sum(1))
+    got = M.find(frame(spark, a=x), 20, 20, 0.3, distance=plain).collect()
+    warped = {r.start: r.distance for r in M.find(frame(spark, a=x), 20, 20, 0.3, top=999).collect()}
+    assert got and all(warped[r.start] <= r.distance + 1e-9 for r in got)
+
+
+def test_rules_on_pairs_shares_and_large_changes(spark):
+    many = lambda rows, kinds: spark.createDataFrame(rows, kinds)
+    none = lambda kinds: many([], kinds)
+    ens = many([("a", 12.0, 0.75, 0.9, 0.1), ("b", -2.0, 0.75, 0.9, 0.1)], "entity string, value double, confidence double, agreement double, anomaly double")
+    pairs = many([("a", "b", -0.9, 0.001, 3), ("a", "c", 0.75, 0.01, 0), ("b", "c", 0.95, 0.2, 0), ("c", "d", 0.6, 0.0, 0)], "a string, b string, r double, p double, lag int")
+    shares = many([("a", "x", 0.8), ("a", "y", 0.2), ("b", "x", 0.7)], "entity string, sector string, share double")
+    cycles, now = "entity string, period_days double, strength double, frequency double, confidence double, category string", "entity string, state int, probability double"
+    profiles, found = "entity string, state int, regime string, expected_duration double, volatility double", "entity string, similarity double, confidence double"
+    out = E.insights(none(cycles), none(profiles), none(now), none(found), ens, pairs=pairs, shares=shares).collect()
+    assert {(r.entity, r.type, r.severity, r.title) for r in out} == {
+        ("a", "prediction", "high", "A large increase is predicted"),
+        ("a", "correlation", "high", "Moves with b"),
+        ("b", "correlation", "high", "Moves with a"),
+        ("a", "correlation", "medium", "Moves with c"),
+        ("c", "correlation", "medium", "Moves with a"),
+        ("a", "sector", "medium", "Concentrated in x"),
+    }
+    assert {r.entity: r.evidence["lag"] for r in out if r.severity == "high" and r.type == "correlation"} == {"a": "3", "b": "-3"}
+
+
 def test_ward_by_hand():
     d = np.array([[0, 0.1, 0.9, 0.95], [0.1, 0, 0.9, 0.9], [0.9, 0.9, 0, 0.2], [0.95, 0.9, 0.2, 0]])
     a = CO._ward(d, 0.5)
