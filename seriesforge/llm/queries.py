@@ -14,9 +14,11 @@ from .knn_join import top_inner_products
 from .license_scan import scan_licenses
 from .near_dedup import near_duplicates
 from .packing import pack, token_pieces
+from .periodic_runs import longest, periodic_runs
 from .pii import BASE, describe, find_pii
 from .quality import score_quality
 from .suffix_dedup import suffix_dedup
+from .vector_packing import pack_best_fit, whole_pieces
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +93,43 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(describe(base), 256).alias("base_sha256"), describe(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_html_extract, op3_ann, op4_license_scan, op5_byte_bpe, op6_near_dedup, op7_quality, op8_packing, op9_knn_join, op10_pii)}
+def op12_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = whole_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, size=4096)
+    return pack_best_fit(pieces, size=4096).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def looped(docs: DataFrame) -> DataFrame:
+    """doc_id and text; a tenth of the documents repeat a part of their words: with h = crc32 of the decimal doc_id, those where 10 divides h.
+
+    Their word i becomes, from a = floor(h / 10) % n on, word a + (i - a) % p, where p = 1 + floor((n - a) / (3 + floor(h / 10) % 8)).
+    Null ids have no h; such documents stay as they are.
+    """
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split(F.col("text"), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    n, g = F.size("words"), F.floor(h / 10)
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    turned = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get("words", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    some = docs.withColumn("words", F.when(h % 10 == 0, words)).withColumn("a", F.when(n > 0, a)).withColumn("p", F.when(n > 0, p))
+    return some.select("doc_id", F.when(F.coalesce(n, F.lit(0)) > 0, F.array_join(turned, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = longest(F.col("runs"))
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    found = periodic_runs(looped(table(spark, sf_dir, "documents"))).withColumn("best", best)
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *(F.col("best")[c].alias(c) for c in ("start", "length", "period")),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_html_extract, op3_ann, op4_license_scan, op5_byte_bpe, op6_near_dedup, op7_quality, op8_packing, op9_knn_join, op10_pii, op12_vector_packing, op13_periodic_runs)}
 _VECTORS = "SELECT vec_id, min(embedding::DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id"
 
 ORACLE_SQL = {
