@@ -17,6 +17,7 @@ from .packing import pack, token_pieces
 from .periodic_runs import longest, periodic_runs
 from .pii import BASE, describe, find_pii
 from .quality import score_quality
+from .spelling_variants import spelling_variants
 from .suffix_dedup import suffix_dedup
 from .vector_packing import pack_best_fit, whole_pieces
 
@@ -93,6 +94,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(describe(base), 256).alias("base_sha256"), describe(F.col("spans")).alias("spans"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"), least_length=7, least_count=2, ratio=10, slips=31)
+
+
 def op12_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = whole_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, size=4096)
     return pack_best_fit(pieces, size=4096).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -129,7 +134,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_html_extract, op3_ann, op4_license_scan, op5_byte_bpe, op6_near_dedup, op7_quality, op8_packing, op9_knn_join, op10_pii, op12_vector_packing, op13_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_html_extract, op3_ann, op4_license_scan, op5_byte_bpe, op6_near_dedup, op7_quality, op8_packing, op9_knn_join, op10_pii, op11_spelling_variants, op12_vector_packing, op13_periodic_runs)}
 _VECTORS = "SELECT vec_id, min(embedding::DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id"
 
 ORACLE_SQL = {
