@@ -137,6 +137,14 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_html_extract, op3_ann, op4_license_scan, op5_byte_bpe, op6_near_dedup, op7_quality, op8_packing, op9_knn_join, op10_pii, op11_spelling_variants, op12_vector_packing, op13_periodic_runs)}
 _VECTORS = "SELECT vec_id, min(embedding::DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id"
 
+
+def _crc32(text: str) -> str:
+    """SQL for the unsigned crc32 of a string's UTF-8 bytes, bit by bit."""
+    octets = f"list_transform(range(octet_length(encode({text}))), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT)"
+    eight = "list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, k: xor(x >> 1, 3988292384 * (x & 1)), xor(c, b))"
+    return f"xor(list_reduce({octets}, lambda c, b: {eight}, 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
 ORACLE_SQL = {
     # all distances, exactly: the search must find the true neighbours here (its recall on larger tables is tested apart)
     "op3_ann": f"""
@@ -151,4 +159,40 @@ WITH v AS (SELECT vec_id, list_transform(e, lambda x: CAST(floor(256 * x) AS BIG
            FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
      r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    # every near pair through the strings that lose one code point; the automata and halves find the same ones
+    "op11_spelling_variants": f"""
+WITH RECURSIVE found AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]{{7,}}')) AS w FROM documents),
+     counted AS (SELECT coalesce(doc_id::VARCHAR, '') || ':' || w AS k, w, count(*) AS n FROM found GROUP BY ALL),
+     hashed AS (SELECT w, n, {_crc32("k")} AS h FROM counted),
+     slipped AS (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, (h % length(w))::BIGINT) || substr(w, (h % length(w))::BIGINT + 2) ELSE w END AS word, n FROM hashed),
+     words AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM slipped WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+     places AS (SELECT word, unnest(range(1, length(word) + 1)) AS p FROM words),
+     less AS MATERIALIZED (SELECT word, p, substr(word, 1, p - 1) || substr(word, p + 1) AS d FROM places),
+     near AS (SELECT a.word, b.word AS other FROM less a JOIN less b ON a.d = b.d AND a.p = b.p AND a.word <> b.word
+              UNION SELECT less.word, words.word FROM less JOIN words ON d = words.word
+              UNION SELECT words.word, less.word FROM less JOIN words ON d = words.word),
+     ranked AS (SELECT near.word, other, o.n, count(*) OVER (PARTITION BY near.word) AS n_near, row_number() OVER (PARTITION BY near.word ORDER BY o.n DESC, other) AS r FROM near JOIN words o ON other = o.word),
+     formed AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN r.n >= 10 * w.n THEN other END AS form, CASE WHEN r.n >= 10 * w.n THEN r.n END AS form_n
+                FROM words w LEFT JOIN (SELECT * FROM ranked WHERE r = 1) r ON w.word = r.word),
+     chain AS (SELECT word, form AS root FROM formed WHERE form IS NOT NULL
+               UNION ALL SELECT chain.word, form FROM chain JOIN formed ON root = formed.word WHERE form IS NOT NULL),
+     ends AS (SELECT chain.word, root FROM chain JOIN formed ON root = formed.word WHERE formed.form IS NULL)
+SELECT formed.word, form, coalesce(root, formed.word) AS root, n, n_near, form_n FROM formed LEFT JOIN ends ON formed.word = ends.word""",
+    # every pair of equal words of a document at a distance of up to a quarter of it, and their islands; the grid finds the same runs
+    "op13_periodic_runs": f"""
+WITH split AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w, {_crc32("doc_id::VARCHAR")} AS h FROM documents),
+     turning AS (SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS turned, h // 10 AS g, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM split),
+     turned AS (SELECT doc_id, n, CASE WHEN turned THEN list_transform(range(n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END + 1]) ELSE w END AS w FROM turning),
+     words AS MATERIALIZED (SELECT doc_id, n, unnest(w) AS word, unnest(range(n)) AS i FROM turned),
+     pairs AS (SELECT x.doc_id, y.i - x.i AS p, x.i FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+     islands AS (SELECT doc_id, p, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS island, i FROM pairs),
+     stretches AS (SELECT doc_id, p, min(i) AS start, count(*) + p AS length FROM islands GROUP BY doc_id, p, island HAVING count(*) + p >= greatest(6, 4 * p)),
+     runs AS MATERIALIZED (SELECT doc_id, start, length, min(p) AS period FROM stretches GROUP BY ALL),
+     digests AS (SELECT doc_id, count(*) AS n_runs, first(struct_pack(start, length, period) ORDER BY length DESC, start, period) AS best,
+                        string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM runs GROUP BY doc_id),
+     gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+     kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.start AS start, best.length AS length, best.period AS period, 1000 * best.length // best.period AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM turned LEFT JOIN digests USING (doc_id) LEFT JOIN kept USING (doc_id)""",
 }
