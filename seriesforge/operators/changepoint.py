@@ -130,17 +130,26 @@ def _p(x: np.ndarray, at: int, width: int = 10) -> float:
     return t_two_sided((a.mean() - b.mean()) / math.sqrt(pooled * (1 / len(a) + 1 / len(b))), df)
 
 
-def detect(series: DataFrame, method: str = "pelt", model: str = "l2", penalty: float = 10.0, least: int = 5, scaled: bool = False) -> DataFrame:
-    """Breaks of each entity: idx of the first row after it, and confidence (1 - p of a t-test of ten rows on either side)."""
+def _known(method: str, model: str) -> None:
     if method not in METHODS or model not in ("l2", "normal", "rbf"):
         raise ValueError(f"unknown method or model: {method}, {model}")
 
+
+def breaks_with_confidence(x: np.ndarray, method: str = "pelt", model: str = "l2", penalty: float = 10.0, least: int = 5, scaled: bool = False) -> list[tuple[int, float]]:
+    """The breaks of one series, each with 1 - p of a t-test of ten rows on either side."""
+    _known(method, model)
+    y = (x - x.mean()) / (x.std() + 1e-10) if scaled else x
+    return [(c, 1 - _p(x, c)) for c in _breaks(y, method, model, penalty, least)]
+
+
+def detect(series: DataFrame, method: str = "pelt", model: str = "l2", penalty: float = 10.0, least: int = 5, scaled: bool = False) -> DataFrame:
+    """Breaks of each entity: idx of the first row after it, and confidence (1 - p of a t-test of ten rows on either side)."""
+    _known(method, model)
+
     def one(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("idx", ignore_index=True)
-        x = g["value"].to_numpy(float)
-        y = (x - x.mean()) / (x.std() + 1e-10) if scaled else x
-        cuts = _breaks(y, method, model, penalty, least)
-        return g.iloc[cuts][[KEY, "idx"]].assign(confidence=np.array([1 - _p(x, c) for c in cuts], float))
+        found = breaks_with_confidence(g["value"].to_numpy(float), method, model, penalty, least, scaled)
+        return g.iloc[[c for c, _ in found]][[KEY, "idx"]].assign(confidence=np.array([p for _, p in found], float))
 
     kind = series.schema[KEY].dataType.simpleString()
     return series.select(KEY, "idx", "value").groupBy(KEY).applyInPandas(one, f"{KEY} {kind}, idx long, confidence double")

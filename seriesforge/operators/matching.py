@@ -38,6 +38,17 @@ def dtw(one: np.ndarray, many: np.ndarray, limit: float = np.inf) -> np.ndarray:
     return out
 
 
+def windows_like_last(x: np.ndarray, window: int, horizon: int, limit: float, distance: Callable[[np.ndarray, np.ndarray, float], np.ndarray] = dtw) -> list[tuple[int, float]]:
+    """Start and distance of the windows, each with a full horizon after it, that are at most `limit` from the last one."""
+    starts = np.arange(max(0, len(x) - window - horizon))
+    found: list[tuple[int, float]] = []
+    for lo in range(0, len(starts), 4096):
+        part = starts[lo : lo + 4096]
+        d = distance(normalise(x[-window:]), normalise(x[part[:, None] + np.arange(window)]), limit)
+        found += [(int(s), float(v)) for s, v in zip(part, d, strict=True) if v <= limit]
+    return found
+
+
 def find(series: DataFrame, window: int = 30, horizon: int = 90, threshold: float = 0.7, max_distance: float | None = None, top: int = 10, distance: Callable[[np.ndarray, np.ndarray, float], np.ndarray] = dtw) -> DataFrame:
     """Of each entity the windows most like its last one, each with a full horizon after it: start, distance, similarity, confidence, rank.
 
@@ -47,15 +58,8 @@ def find(series: DataFrame, window: int = 30, horizon: int = 90, threshold: floa
     limit = min(2 * (1 / threshold - 1), max_distance if max_distance is not None else np.inf)
 
     def one(g: pd.DataFrame) -> pd.DataFrame:
-        x = g.sort_values("idx")["value"].to_numpy(float)
-        starts = np.arange(max(0, len(x) - window - horizon))
-        found, lo = [], 0
-        while lo < len(starts):
-            part = starts[lo : lo + 4096]
-            d = distance(normalise(x[-window:]), normalise(x[part[:, None] + np.arange(window)]), limit)
-            found += [(g[KEY].iloc[0], int(s), float(v)) for s, v in zip(part, d, strict=True) if v <= limit]
-            lo += 4096
-        return pd.DataFrame(found, columns=[KEY, "start", "distance"])
+        found = windows_like_last(g.sort_values("idx")["value"].to_numpy(float), window, horizon, limit, distance)
+        return pd.DataFrame([(g[KEY].iloc[0], s, d) for s, d in found], columns=[KEY, "start", "distance"])
 
     kind = series.schema[KEY].dataType.simpleString()
     m = series.select(KEY, "idx", "value").groupBy(KEY).applyInPandas(one, f"{KEY} {kind}, start long, distance double")

@@ -13,14 +13,47 @@ from ..functions import rules as R
 from .series import KEY, by_time, detrended, interpolated
 
 
+def amplitudes(x: np.ndarray) -> np.ndarray:
+    """2 / N |X_k| of each frequency k / N below N // 2."""
+    return np.abs(np.fft.rfft(x))[: len(x) // 2] * 2 / len(x)
+
+
+def straightened(x: np.ndarray) -> np.ndarray:
+    """Without its least-squares line."""
+    t = np.arange(len(x)) - (len(x) - 1) / 2
+    return x - x.mean() - t * ((t @ x) / max(float(t @ t), 1e-300))
+
+
+def peak_places(p: np.ndarray, height: float, prominence: float) -> list[int]:
+    """Strict local maxima (middles of plateaus) of at least this height and prominence."""
+    edge = np.flatnonzero(np.diff(p)) + 1
+    lo = np.concatenate([[0], edge])
+    hi = np.concatenate([edge, [len(p)]]) - 1
+    up = np.zeros(len(lo), bool)
+    up[1:-1] = (p[lo[1:-1]] > p[hi[:-2]]) & (p[lo[1:-1]] > p[lo[2:]])
+    found = []
+    for i in ((lo + hi) // 2)[up]:
+        if p[i] >= height:
+            left, right = np.flatnonzero(p[:i] > p[i]), np.flatnonzero(p[i + 1 :] > p[i])
+            a = p[(left[-1] + 1 if len(left) else 0) : i + 1].min()
+            b = p[i : (i + 1 + right[0] if len(right) else len(p))].min()
+            if p[i] - max(a, b) >= prominence:
+                found.append(int(i))
+    return found
+
+
+def confidence(strength: float, period: float, n: int) -> float:
+    """As the rule of that name has it, for numbers. Fixed values."""
+    plausible = 0.3 if period < 3 else 0.5 if period > n / 2 else 1.0
+    return 0.5 * min(strength, 1) + 0.3 * min(n / period / 3, 1) + 0.2 * plausible
+
+
 def periodogram(series: DataFrame) -> DataFrame:
     """Amplitude 2 / N |X_k| of each frequency k / N below N // 2, by one FFT for each entity's detrended series."""
 
     def one(g: pd.DataFrame) -> pd.DataFrame:
         x = g.sort_values("idx")["value"].to_numpy(float)
-        n = len(x)
-        k = np.arange(n // 2)
-        return pd.DataFrame({KEY: g[KEY].iloc[0], "k": k, "n": n, "power": np.abs(np.fft.rfft(x))[: n // 2] * 2 / n})
+        return pd.DataFrame({KEY: g[KEY].iloc[0], "k": np.arange(len(x) // 2), "n": len(x), "power": amplitudes(x)})
 
     kind = series.schema[KEY].dataType.simpleString()
     return detrended(interpolated(series)).select(KEY, "idx", "value").groupBy(KEY).applyInPandas(one, f"{KEY} {kind}, k long, n long, power double")
@@ -31,21 +64,7 @@ def peaks(spectrum: DataFrame, height: float, prominence: float) -> DataFrame:
 
     def one(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("k", ignore_index=True)
-        p = g["power"].to_numpy()
-        edge = np.flatnonzero(np.diff(p)) + 1
-        lo = np.concatenate([[0], edge])
-        hi = np.concatenate([edge, [len(p)]]) - 1
-        up = np.zeros(len(lo), bool)
-        up[1:-1] = (p[lo[1:-1]] > p[hi[:-2]]) & (p[lo[1:-1]] > p[lo[2:]])
-        found = []
-        for i in ((lo + hi) // 2)[up]:
-            if p[i] >= height:
-                left, right = np.flatnonzero(p[:i] > p[i]), np.flatnonzero(p[i + 1 :] > p[i])
-                a = p[(left[-1] + 1 if len(left) else 0) : i + 1].min()
-                b = p[i : (i + 1 + right[0] if len(right) else len(p))].min()
-                if p[i] - max(a, b) >= prominence:
-                    found.append(i)
-        return g.iloc[found]
+        return g.iloc[peak_places(g["power"].to_numpy(), height, prominence)]
 
     return spectrum.groupBy(KEY).applyInPandas(one, spectrum.schema)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("relational", "windowed", "analytics", "more")
+MODULES = ("relational", "windowed", "analytics", "more", "sqltext")
 
 
 def all_queries():

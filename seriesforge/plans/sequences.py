@@ -68,6 +68,7 @@ _MATCHES = """se AS (SELECT entity, list(value ORDER BY idx) AS x, count(*) AS n
  si AS (SELECT *, 1 / (1 + distance / 2) AS similarity FROM di WHERE 1 / (1 + distance / 2) >= 0.2),
  ma AS (SELECT *, 0.5 * similarity + 0.3 / (1 + distance) + 0.2 * 0.5 AS confidence, row_number() OVER (PARTITION BY entity ORDER BY round(similarity, 9) DESC, start) AS rank FROM si QUALIFY rank <= 10)"""
 DTW_MATCH = f"WITH RECURSIVE {PANEL}, {_MATCHES} SELECT entity, start, round(distance, 6) AS distance, round(similarity, 6) AS similarity, round(confidence, 6) AS confidence, CAST(rank AS INTEGER) AS rank FROM ma"
+DTW_DISTANCE = f"WITH RECURSIVE {PANEL}, {_MATCHES} SELECT entity, start, round(similarity, 6) AS similarity, round(distance, 6) AS distance, round(distance, 6) AS again FROM si"
 DTW_PREDICT = f"""WITH RECURSIVE {PANEL}, {_MATCHES}, r AS (SELECT entity, idx, coalesce(value / nullif(lag(value) OVER (PARTITION BY entity ORDER BY idx), 0) - 1, 0) AS r FROM panel),
  o AS (SELECT ma.entity, ma.start, any_value(similarity) AS s, sum(r) AS total FROM ma JOIN r ON r.entity = ma.entity AND r.idx >= ma.start + 30 AND r.idx < ma.start + 60 GROUP BY 1, 2),
  g AS (SELECT entity, count(*) AS n, sum(total * s) / sum(s) AS predicted, 0.3 * least(count(*) / 10.0, 1) + 0.4 / (1 + stddev_pop(total)) AS steady, avg(s) AS sim FROM o GROUP BY 1)
