@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .series import KEY
+from .series import KEY, apart
 
 
 @dataclass(frozen=True)
@@ -176,39 +177,74 @@ def validation_loss(v: np.ndarray, c: Config) -> float:
     return Net(c).fit(x[:cut], y[:cut]).loss(x[cut:], y[cut:])
 
 
-def train(series: DataFrame, c: Config = Config()) -> DataFrame:
-    """Of each entity the losses of training and validation after each epoch: epoch (from 1), train_loss, val_loss; entities under twice `length` are left out."""
+MODEL = "config string, weights array<struct<name:string,shape:array<int>,values:array<double>>>, mean double, sd double, history array<struct<train_loss:double,val_loss:double>>, n long"
+NAMES = ["config", "weights", "mean", "sd", "history", "n"]
+
+
+def fit(series: DataFrame, c: Config = Config()) -> DataFrame:
+    """A model of each entity of at least twice `length` rows, as a row: settings, weights, the series' mean and deviation, losses after each epoch, and the rows seen. Store it like any other table."""
 
     def one(g: pd.DataFrame) -> pd.DataFrame:
         v = g.sort_values("idx")["value"].to_numpy(float)
         if len(v) < 2 * c.length:
-            return pd.DataFrame(columns=[KEY, "epoch", "train_loss", "val_loss"])
-        x, y, cut, _, _ = _windows(v, c)
-        h = np.array(Net(c).fit(x[:cut], y[:cut], (x[cut:], y[cut:])).history)
-        return pd.DataFrame({KEY: g[KEY].iloc[0], "epoch": np.arange(1, len(h) + 1), "train_loss": h[:, 0], "val_loss": h[:, 1]})
+            return pd.DataFrame(columns=[KEY, *NAMES])
+        x, y, cut, mean, sd = _windows(v, c)
+        net = Net(c).fit(x[:cut], y[:cut], (x[cut:], y[cut:]))
+        history = [{"train_loss": a, "val_loss": b} for a, b in net.history]
+        weights = [{"name": k, "shape": list(w.shape), "values": w.ravel().tolist()} for k, w in net.p.items()]
+        return pd.DataFrame([[g[KEY].iloc[0], json.dumps(asdict(c)), weights, mean, sd, history, len(v)]], columns=[KEY, *NAMES])
 
     kind = series.schema[KEY].dataType.simpleString()
-    return series.select(KEY, "idx", "value").groupBy(KEY).applyInPandas(one, f"{KEY} {kind}, epoch int, train_loss double, val_loss double")
+    return series.select(KEY, "idx", "value").groupBy(KEY).applyInPandas(one, f"{KEY} {kind}, {MODEL}")
+
+
+def restored(row: dict) -> Net:
+    """The network of a model's row."""
+    net = Net(Config(**json.loads(row["config"])))
+    net.p = {w["name"]: np.array(w["values"], float).reshape(w["shape"]) for w in row["weights"]}
+    return net
+
+
+def losses(models: DataFrame) -> DataFrame:
+    """epoch (from 1), train_loss and val_loss of each model."""
+    rows = models.select(KEY, F.posexplode("history").alias("epoch", "h"))
+    return rows.select(KEY, (F.col("epoch") + 1).alias("epoch"), "h.train_loss", "h.val_loss")
+
+
+def train(series: DataFrame, c: Config = Config()) -> DataFrame:
+    """Of each entity the losses of training and validation after each epoch: epoch (from 1), train_loss, val_loss; entities under twice `length` are left out."""
+    return losses(fit(series, c))
 
 
 PREDICTED = "idx long, actual double, predicted double, training boolean, attention array<double>"
 
 
-def predict(series: DataFrame, c: Config = Config()) -> DataFrame:
-    """Of each row after the first `length` its prediction by a model of its own entity's earlier share, and attention; entities under twice `length` are left out."""
+def apply(series: DataFrame, models: DataFrame) -> DataFrame:
+    """Of each row after the first `length` its prediction by its entity's model, and attention. The rows may be other ones than the model was fitted to; `training` is whether a row's position was in the training share. Entities without a model, or too short, are left out."""
 
-    def one(g: pd.DataFrame) -> pd.DataFrame:
+    def one(g: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+        names = [KEY, "idx", "actual", "predicted", "training", "attention"]
+        if not len(g) or not len(m):
+            return pd.DataFrame(columns=names)
+        row = m.iloc[0].to_dict()
+        net = restored(row)
+        c = net.c
         g = g.sort_values("idx")
         v = g["value"].to_numpy(float)
-        if len(v) < 2 * c.length:
-            return pd.DataFrame(columns=[KEY, "idx", "actual", "predicted", "training", "attention"])
-        x, y, cut, mean, sd = _windows(v, c)
-        net = Net(c).fit(x[:cut], y[:cut])
+        if len(v) <= c.length:
+            return pd.DataFrame(columns=names)
+        x = np.lib.stride_tricks.sliding_window_view((v - row["mean"]) / row["sd"], c.length)[:-1]
         out, (_, _, _, att, _) = net.forward(x)
-        return pd.DataFrame({KEY: g[KEY].iloc[0], "idx": g["idx"].to_numpy()[c.length :], "actual": v[c.length :], "predicted": out * sd + mean, "training": np.arange(len(x)) < cut, "attention": list(att)})
+        cut = max(1, int((row["n"] - c.length) * (1 - c.validation)))
+        return pd.DataFrame({KEY: g[KEY].iloc[0], "idx": g["idx"].to_numpy()[c.length :], "actual": v[c.length :], "predicted": out * row["sd"] + row["mean"], "training": np.arange(len(x)) < cut, "attention": list(att)})
 
     kind = series.schema[KEY].dataType.simpleString()
-    return series.select(KEY, "idx", "value").groupBy(KEY).applyInPandas(one, f"{KEY} {kind}, {PREDICTED}")
+    return series.select(KEY, "idx", "value").groupBy(KEY).cogroup(apart(models).groupBy(KEY)).applyInPandas(one, f"{KEY} {kind}, {PREDICTED}")
+
+
+def predict(series: DataFrame, c: Config = Config()) -> DataFrame:
+    """`apply` of models fitted to the same series."""
+    return apply(series, fit(series, c))
 
 
 def anomalies(predicted: DataFrame, threshold: float = 3.0) -> DataFrame:

@@ -9,15 +9,17 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from . import indicators as I
+from . import scans
 from .series import KEY
 
 
-def features(market: DataFrame) -> DataFrame:
-    """Returns, rolling volatility (0 on the first row) and momentum, and the z-score of volume, from close and volume."""
+def features(market: DataFrame, additional: tuple[str, ...] = ()) -> DataFrame:
+    """Returns, rolling volatility (0 on the first row) and momentum, and the z-scores of volume and of `additional` columns, from close and volume."""
     whole = Window.partitionBy(KEY)
-    z = (F.col("volume") - F.avg("volume").over(whole)) / (F.stddev_pop("volume").over(whole) + 1e-8)
+    score = lambda c: (F.col(c) - F.avg(c).over(whole)) / (F.stddev_pop(c).over(whole) + 1e-8)
+    z, more = score("volume"), [score(c).alias(c) for c in additional]
     df = market.withColumn("ret", F.coalesce(I.returns(F.col("close")), F.lit(0.0)))
-    return df.select(KEY, "idx", "ret", F.coalesce(I.volatility(F.col("ret")), F.lit(0.0)).alias("vol"), I.momentum(F.col("ret")).alias("momentum"), z.alias("volume_z"), "volume")
+    return df.select(KEY, "idx", "ret", F.coalesce(I.volatility(F.col("ret")), F.lit(0.0)).alias("vol"), I.momentum(F.col("ret")).alias("momentum"), z.alias("volume_z"), "volume", *more)
 
 
 def _log_density(x: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
@@ -33,7 +35,7 @@ COVARIANCES = ("full", "diag", "spherical", "tied")
 
 
 class GaussianHMM:
-    """Baum-Welch with scaled forward and backward passes; states are ordered by the mean of the first feature.
+    """Baum-Welch with scaled forward and backward passes, as parallel scans; states are ordered by the mean of the first feature.
 
     covariance: full or diagonal matrices, one variance a state (spherical), or one full matrix for all states (tied).
     """
@@ -42,6 +44,7 @@ class GaussianHMM:
         if covariance not in COVARIANCES:
             raise ValueError(f"unknown covariance: {covariance}")
         self.k, self.rounds, self.tolerance, self.seed, self.floor, self.covariance = n_states, rounds, tolerance, seed, floor, covariance
+        self.done = 0
 
     def _shaped(self, cov: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """Full matrices as the chosen kind has them."""
@@ -72,20 +75,13 @@ class GaussianHMM:
         logs = _log_density(x, self.mean, self.cov)
         top = logs.max(1, keepdims=True)
         b = np.exp(logs - top)
-        n = len(x)
-        alpha, beta, scale = np.empty((n, self.k)), np.ones((n, self.k)), np.empty(n)
-        for t in range(n):
-            a = (self.first if t == 0 else alpha[t - 1] @ self.step) * b[t]
-            scale[t] = max(a.sum(), 1e-300)
-            alpha[t] = a / scale[t]
-        for t in range(n - 2, -1, -1):
-            beta[t] = self.step @ (b[t + 1] * beta[t + 1]) / scale[t + 1]
+        alpha, beta, scale = scans.passes(b, self.step, start=self.first)
         return alpha, beta, b / scale[:, None], float(np.log(scale).sum() + top.sum())
 
     def fit(self, x: np.ndarray) -> GaussianHMM:
         self._start(x)
         before = -np.inf
-        for _ in range(self.rounds):
+        for self.done in range(1, self.rounds + 1):
             alpha, beta, b, now = self._passes(x)
             post = alpha * beta
             post /= post.sum(1, keepdims=True)
@@ -114,28 +110,19 @@ class GaussianHMM:
         return post / post.sum(1, keepdims=True)
 
     def viterbi(self, x: np.ndarray) -> np.ndarray:
-        logs, step = _log_density(x, self.mean, self.cov), np.log(self.step + 1e-300)
-        best, back = np.log(self.first + 1e-300) + logs[0], np.zeros((len(x), self.k), int)
-        for t in range(1, len(x)):
-            total = best[:, None] + step
-            back[t] = total.argmax(0)
-            best = total.max(0) + logs[t]
-        path = np.empty(len(x), int)
-        path[-1] = best.argmax()
-        for t in range(len(x) - 1, 0, -1):
-            path[t - 1] = back[t, path[t]]
-        return path
+        logs = _log_density(x, self.mean, self.cov)
+        return scans.best_path(logs, np.log(self.step + 1e-300), start=np.log(self.first + 1e-300))[0]
 
 
 COLUMNS = ["ret", "vol", "momentum", "volume_z"]
 
 
-def states(feats: DataFrame, n_states: int = 4, rounds: int = 100, covariance: str = "full") -> DataFrame:
+def states(feats: DataFrame, n_states: int = 4, rounds: int = 100, covariance: str = "full", additional: tuple[str, ...] = ()) -> DataFrame:
     """Of each row its state by the likeliest path and that state's posterior; of each entity's last row also the transition matrix's row. Entities with under 10 rows a state are left out."""
 
     def one(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("idx", ignore_index=True)
-        x = g[COLUMNS].to_numpy(float)
+        x = g[[*COLUMNS, *additional]].to_numpy(float)
         if len(x) < 10 * n_states:
             return pd.DataFrame(columns=["entity", "idx", "ret", "volume", "state", "probability", "transitions", "log_likelihood"])
         sd = x.std(0)

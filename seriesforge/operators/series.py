@@ -15,6 +15,12 @@ def by_time(*columns: str) -> Window:
     return Window.partitionBy(KEY).orderBy(*(columns or ("idx",)))
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """The same rows under a key of their own: for the second side of a cogroup, where both may come from one table."""
+    others = [c for c in df.columns if c != KEY]
+    return df.select(F.col(KEY).alias("_key"), *others).select(F.col("_key").alias(KEY), *others)
+
+
 def numbered(df: DataFrame, order: str = "ts") -> DataFrame:
     return df.withColumn("idx", (F.row_number().over(by_time(order)) - 1).cast("long"))
 

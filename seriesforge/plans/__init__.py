@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("relational", "windowed", "analytics", "more", "sqltext")
+MODULES = ("relational", "windowed", "analytics", "more", "sqltext", "models")
 
 
 def all_queries():
