@@ -16,9 +16,8 @@ def by_time(*columns: str) -> Window:
 
 
 def apart(df: DataFrame) -> DataFrame:
-    """The same rows under a key of their own: for the second side of a cogroup, where both may come from one table."""
-    others = [c for c in df.columns if c != KEY]
-    return df.select(F.col(KEY).alias("_key"), *others).select(F.col("_key").alias(KEY), *others)
+    """The same rows with columns of their own: for the second side of a cogroup, where both may come from one table."""
+    return df.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(df.columns))).toDF(*df.columns)
 
 
 def numbered(df: DataFrame, order: str = "ts") -> DataFrame:

@@ -21,8 +21,9 @@ from ..operators import spectral as SP
 from ..operators import tuning as T
 from ..operators import validate as V
 from ..operators import wavelet as W
+from ..sources.staging import Stages
 from ..sources.store import Runs, Store, flattened
-from ..sources.tables import MARKET, PANEL, market, panel, segments, table
+from ..sources.tables import MARKET, PANEL, market, nations, panel, segments, table
 from . import sequences as Q
 from .registry import query, rounded
 
@@ -271,15 +272,15 @@ def network_metrics(spark, d):
     return rounded(CO.density_and_clustering(CO.network(CO.edges(p), 0.03), p.select("entity").distinct()))
 
 
-@query()
+@query(Q.clusters(PANEL, 0.02))
 def clusters(spark, d):
-    return CO.clusters(CO.edges(panel(spark, d)), 0.02)
+    return rounded(CO.clusters(CO.edges(panel(spark, d)), Stages(spark), 0.02))
 
 
 @query(Q.CENTRALITY)
 def eigen_centrality(spark, d):
     _shared(spark)
-    return rounded(CO.eigenvector_centrality(CO.network(CO.edges(panel(spark, d)), 0.0), 15))
+    return rounded(CO.eigenvector_centrality(CO.network(CO.edges(panel(spark, d)), 0.0), tolerance=1e-10), 5)
 
 
 @query(Q.PATHS)
@@ -288,6 +289,31 @@ def path_lengths(spark, d):
     return CO.path_lengths(CO.network(CO.edges(panel(spark, d)), 0.0)).groupBy("hops").count()
 
 
+#: Daily order value of each nation.
+NATIONS = PANEL.replace("SELECT o_orderpriority AS entity", "SELECT n_name AS entity").replace("FROM orders GROUP", "FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP")
+
+
+@query(Q.clusters(NATIONS, 0.09))
+def nation_clusters(spark, d):
+    return rounded(CO.clusters(CO.edges(nations(spark, d)), Stages(spark), 0.09))
+
+
+@query(Q.part_paths(NATIONS, 0.04))
+def part_paths(spark, d):
+    """Connected parts of the network of nations, and the mean number of hops within each."""
+    return rounded(CO.part_paths(CO.network(CO.edges(nations(spark, d)), 0.04), Stages(spark)))
+
+
+@query(
+    f"""WITH {NATIONS}, lab AS (SELECT n_name AS entity, n_regionkey AS cluster FROM nation), {_EDGE} SELECT x.cluster, CAST(any_value(n) AS INTEGER) AS size, round(sum(coalesce(r, 0)) / (any_value(n) * (any_value(n) - 1) / 2.0), 6) AS avg_correlation
+ FROM ed JOIN lab x ON x.entity = a JOIN lab y ON y.entity = b AND y.cluster = x.cluster JOIN (SELECT cluster, count(*) AS n FROM lab GROUP BY 1) s ON s.cluster = x.cluster GROUP BY x.cluster"""
+)
+def cluster_avg_corr(spark, d):
+    """Mean correlation within clusters that are given: the nations of each region."""
+    labels = table(spark, d, "nation").select(F.col("n_name").alias("entity"), F.col("n_regionkey").alias("cluster"))
+    return rounded(CO.cluster_means(CO.edges(nations(spark, d)), labels))
+
+
 @query("SELECT a.c_custkey AS a, b.c_custkey AS b, CASE WHEN a.c_mktsegment = b.c_mktsegment THEN 'party' WHEN a.c_nationkey = b.c_nationkey THEN 'state' ELSE 'unexplained' END AS reason FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey + 1")
 def coordinated(spark, d):
     c = table(spark, d, "customer")

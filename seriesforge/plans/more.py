@@ -146,7 +146,7 @@ def network_features(spark, d):
     _shared(spark)
     net = CO.network(CO.edges(panel(spark, d)), 0.0).checkpoint()
     degree = net.select(F.explode(F.array("a", "b")).alias("entity")).groupBy("entity").agg(F.count("*").alias("degree"))
-    return rounded(degree.join(CO.eigenvector_centrality(net, 5), "entity"))
+    return rounded(degree.join(CO.eigenvector_centrality(net, tolerance=1e-10), "entity"), 5)
 
 
 @query("SELECT * FROM (VALUES ('saved', 'v2'), ('activated', 'v1'), ('left', 'v1')) t(step, version)")

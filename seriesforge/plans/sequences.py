@@ -110,19 +110,54 @@ _EDGES = "ed AS (SELECT a.entity AS a, b.entity AS b, corr(a.value, b.value) AS
 PATHS = f"WITH RECURSIVE {PANEL}, {_EDGES}, p AS (SELECT a, b, 1 AS h FROM bo UNION SELECT p.a, bo.b, h + 1 FROM p JOIN bo ON p.b = bo.a WHERE h < (SELECT count(DISTINCT a) FROM bo)), m AS (SELECT a, b, min(h) AS hops FROM p WHERE a <> b GROUP BY 1, 2) SELECT CAST(hops AS INTEGER) AS hops, count(*) AS count FROM m GROUP BY 1"
 
 
-def _central(rounds: int) -> str:
-    """CTEs that end in ce (entity, centrality): rounds of x + W x on lists, scaled at the end."""
-    return f"""nm AS (SELECT entity, row_number() OVER (ORDER BY entity) AS i FROM (SELECT DISTINCT a AS entity FROM bo)),
+def _central() -> str:
+    """CTEs that end in ce (entity, centrality): power iteration on lists, scaled each round, until no value changes by more than 1e-12."""
+    return """nm AS (SELECT entity, row_number() OVER (ORDER BY entity) AS i FROM (SELECT DISTINCT a AS entity FROM bo)),
  ro AS (SELECT x.i, list(coalesce(bo.w, 0) ORDER BY y.i) AS w FROM nm x CROSS JOIN nm y LEFT JOIN bo ON bo.a = x.entity AND bo.b = y.entity GROUP BY 1),
- mx AS (SELECT list(w ORDER BY i) AS w, count(*) AS n FROM ro),
- it AS (SELECT 0 AS k, list_transform(range(0, n), lambda i: 1.0::DOUBLE) AS x FROM mx UNION ALL SELECT k + 1, list_transform(range(1, n + 1), lambda i: x[i] + list_sum(list_transform(range(1, n + 1), lambda j: w[i][j] * x[j]))) FROM it, mx WHERE k < {rounds}),
- la AS (SELECT x, sqrt(list_sum(list_transform(x, lambda v: v * v))) AS norm FROM it WHERE k = {rounds}),
- ce AS (SELECT nm.entity, la.x[nm.i] / la.norm AS centrality FROM nm, la)"""
+ mx AS (SELECT list(w ORDER BY i) AS w, count(*) AS n, max(list_sum(w)) / 2 AS shift FROM ro),
+ it AS (SELECT 0 AS k, list_transform(range(0, n), lambda i: 1.0::DOUBLE) AS x, 1.0::DOUBLE AS change FROM mx
+  UNION ALL SELECT k + 1, z, list_max(list_transform(range(1, n + 1), lambda i: abs(z[i] - x[i]))) FROM
+   (SELECT k, n, x, list_transform(y, lambda v: v / sqrt(list_sum(list_transform(y, lambda u: u * u)))) AS z FROM
+    (SELECT k, n, x, list_transform(range(1, n + 1), lambda i: shift * x[i] + list_sum(list_transform(range(1, n + 1), lambda j: w[i][j] * x[j]))) AS y FROM it, mx WHERE change > 1e-12))),
+ la AS (SELECT x FROM it ORDER BY k DESC LIMIT 1),
+ ce AS (SELECT nm.entity, la.x[nm.i] AS centrality FROM nm, la)"""
+
+
+CENTRALITY = f"WITH RECURSIVE {PANEL}, {_EDGES}, {_central()} SELECT entity, round(centrality, 5) AS centrality FROM ce"
+FEATURES = f"WITH RECURSIVE {PANEL}, {_EDGES}, {_central()}, dg AS (SELECT a AS entity, count(*) AS degree FROM bo GROUP BY 1) SELECT ce.entity, degree, round(centrality, 5) AS centrality FROM ce JOIN dg ON dg.entity = ce.entity"
+
+
+def part_paths(source: str, least: float) -> str:
+    """Nodes and mean hops of each connected part, by widening walks."""
+    return f"""WITH RECURSIVE {source}, ed AS (SELECT a.entity AS a, b.entity AS b, corr(a.value, b.value) AS r FROM panel a JOIN panel b ON a.ts = b.ts AND a.entity < b.entity GROUP BY 1, 2 HAVING count(*) >= 30),
+ bo AS (SELECT a, b FROM ed WHERE abs(r) >= {least} UNION ALL SELECT b, a FROM ed WHERE abs(r) >= {least}),
+ p AS (SELECT a, b, 1 AS h FROM bo UNION SELECT p.a, bo.b, h + 1 FROM p JOIN bo ON p.b = bo.a WHERE h < (SELECT count(DISTINCT a) FROM bo)),
+ m AS (SELECT a, b, min(h) AS hops FROM p WHERE a <> b GROUP BY 1, 2), c AS (SELECT a, least(a, min(b)) AS part, avg(hops) AS mean, count(*) AS k FROM m GROUP BY a)
+ SELECT part, count(*) AS nodes, round(sum(mean * k) / sum(k), 6) AS mean_hops, true AS exact FROM c GROUP BY part"""
+
+
+def clusters(source: str, least: float) -> str:
+    """Ward linkage on lists of distances, the nearest pair of clusters first."""
+    key = "(CASE WHEN {0} < {1} THEN {0} || '|' || {1} ELSE {1} || '|' || {0} END)"
+    uk, vk = key.format("u", "c.id"), key.format("v", "c.id")
+    return f"""WITH RECURSIVE {source}, ed AS (SELECT a.entity AS a, b.entity AS b, coalesce(corr(a.value, b.value), 0) AS r FROM panel a JOIN panel b ON a.ts = b.ts AND a.entity < b.entity GROUP BY 1, 2 HAVING count(*) >= 30),
+ nm AS (SELECT DISTINCT entity FROM panel),
+ dd AS (SELECT x.entity AS u, y.entity AS v, pow(1 - abs(coalesce(r, 0)), 2) AS d2 FROM nm x JOIN nm y ON x.entity < y.entity LEFT JOIN ed ON ed.a = x.entity AND ed.b = y.entity),
+ st AS (SELECT 0 AS k, (SELECT list({{'id': entity, 'n': 1::BIGINT}}) FROM nm) AS cs, (SELECT map(list(u || '|' || v), list(d2)) FROM dd) AS d, (SELECT list({{'entity': entity, 'cluster': entity}}) FROM nm) AS lab
+  UNION ALL SELECT k + 1,
+   list_filter(list_transform(cs, lambda c: CASE WHEN c.id = u THEN {{'id': u, 'n': nu + nv}} ELSE c END), lambda c: c.id <> v),
+   map(list_transform(pairs, lambda p: p.key), list_transform(pairs, lambda p: p.d2)),
+   list_transform(lab, lambda l: CASE WHEN l.cluster = v THEN {{'entity': l.entity, 'cluster': u}} ELSE l END) FROM
+   (SELECT *, list_concat(list_transform(list_filter(map_entries(d), lambda e: NOT (split_part(e.key, '|', 1) IN (u, v) OR split_part(e.key, '|', 2) IN (u, v))), lambda e: {{'key': e.key, 'd2': e.value}}),
+     list_transform(list_filter(cs, lambda c: c.id <> u AND c.id <> v), lambda c: {{'key': {uk}, 'd2': ((nu + c.n) * d[{uk}] + (nv + c.n) * d[{vk}] - c.n * g) / (nu + nv + c.n)}})) AS pairs FROM
+    (SELECT k, cs, d, lab, g, (split_part(best, '|', 1)) AS u, (split_part(best, '|', 2)) AS v, list_filter(cs, lambda c: c.id = split_part(best, '|', 1))[1].n AS nu, list_filter(cs, lambda c: c.id = split_part(best, '|', 2))[1].n AS nv FROM
+     (SELECT *, list_min(map_values(d)) AS g, list_min(list_transform(list_filter(map_entries(d), lambda e: e.value = list_min(map_values(d))), lambda e: e.key)) AS best FROM st WHERE len(cs) > 1) WHERE g <= pow(1 - {least}, 2)))),
+ fin AS (SELECT unnest(lab) AS l FROM (SELECT lab FROM st ORDER BY k DESC LIMIT 1)), la AS (SELECT l.entity AS entity, l.cluster AS cluster FROM fin),
+ sz AS (SELECT cluster, count(*) AS n FROM la GROUP BY 1 HAVING count(*) > 1),
+ mr AS (SELECT x.cluster, sum(coalesce(r, 0)) AS r FROM la x JOIN la y ON x.cluster = y.cluster AND x.entity < y.entity LEFT JOIN ed ON ed.a = x.entity AND ed.b = y.entity GROUP BY 1)
+ SELECT la.entity, la.cluster, CAST(n AS INTEGER) AS size, round(r / (n * (n - 1) / 2.0), 6) AS avg_correlation FROM la JOIN sz ON sz.cluster = la.cluster JOIN mr ON mr.cluster = la.cluster"""
 
 
-CENTRALITY = f"WITH RECURSIVE {PANEL}, {_EDGES}, {_central(15)} SELECT entity, round(centrality, 6) AS centrality FROM ce"
-FEATURES = f"WITH RECURSIVE {PANEL}, {_EDGES}, {_central(5)}, dg AS (SELECT a AS entity, count(*) AS degree FROM bo GROUP BY 1) SELECT ce.entity, degree, round(centrality, 6) AS centrality FROM ce JOIN dg ON dg.entity = ce.entity"
-
 RETURNS = f"""WITH {MARKET}, r AS (SELECT entity, close / nullif(lag(close) OVER (PARTITION BY entity ORDER BY idx), 0) - 1 AS v FROM market), m AS (SELECT entity, avg(v) AS m FROM r GROUP BY 1),
  c AS (SELECT r.entity, v, v - m AS d FROM r JOIN m ON m.entity = r.entity WHERE v IS NOT NULL), a AS (SELECT entity, count(*) AS n, count(*) FILTER (WHERE abs(v) > 0.5) AS extremes, avg(d * d) AS v2, avg(d * d * d) AS v3, avg(d * d * d * d) AS v4 FROM c GROUP BY 1)
  SELECT entity, n >= 30 AS is_valid, n, extremes, round(v3 / pow(v2, 1.5), 6) AS skew, round(v4 / (v2 * v2) - 3, 6) AS kurtosis FROM a"""

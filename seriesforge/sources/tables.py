@@ -28,6 +28,13 @@ def segments(spark: SparkSession, d: str) -> DataFrame:
     return S.daily(o.join(c, o.o_custkey == c.c_custkey), F.col("c_mktsegment"), F.col("o_orderdate"), F.col("o_totalprice"))
 
 
+def nations(spark: SparkSession, d: str) -> DataFrame:
+    """Daily order value of each nation."""
+    o, c = table(spark, d, "orders"), table(spark, d, "customer").select("c_custkey", "c_nationkey")
+    named = o.join(c, o.o_custkey == c.c_custkey).join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return S.daily(named, F.col("n_name"), F.col("o_orderdate"), F.col("o_totalprice"))
+
+
 def market(spark: SparkSession, d: str) -> DataFrame:
     """Daily bars of each return flag: high, low, close (the mean price), volume."""
     p = F.col("l_extendedprice")
