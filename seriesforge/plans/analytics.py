@@ -209,7 +209,57 @@ def segment_stats(spark, d):
 
 @query()
 def wavelet_ridges(spark, d):
-    return W.dominant(W.ridges(W.power(panel(spark, d), W.SCALES), 0.02))
+    return W.dominant(W.series_ridges(panel(spark, d), least=0.02))
+
+
+_SMALL = [1, 2, 3, 4, 5, 8]
+_CWT = f"""ti AS (SELECT unnest(range(0, 4096)) AS i), tv AS (SELECT i, -8 + 16.0 * i / 4095 AS t FROM ti), tb AS (SELECT i, sum(exp(-t * t / 2) * cos(5 * t)) OVER (ORDER BY i) * 16.0 / 4095 AS g FROM tv),
+ ks AS (SELECT s, unnest(range(0, 16 * s + 1)) AS k FROM (SELECT unnest({_SMALL}) AS s)), gk AS (SELECT s, 16 * s - k AS u, g FROM ks JOIN tb ON tb.i = (k * 4095) // (16 * s)),
+ fl AS (SELECT s, u, -sqrt(s) * sum(h) AS h FROM (SELECT s, u, g AS h FROM gk UNION ALL SELECT s, u + 1, -g FROM gk) GROUP BY 1, 2),
+ zs AS (SELECT entity, idx, (value - avg(value) OVER (PARTITION BY entity)) / stddev_pop(value) OVER (PARTITION BY entity) AS z FROM panel), nn AS (SELECT entity, max(idx) AS last FROM panel GROUP BY 1),
+ cf AS (SELECT zs.entity, s, idx + u - (16 * s + 2 - 3) // 2 - 1 AS t, sum(z * h) AS c FROM zs JOIN fl ON true JOIN nn ON nn.entity = zs.entity WHERE idx + u - (16 * s + 2 - 3) // 2 - 1 BETWEEN 0 AND last GROUP BY 1, 2, 3)"""
+
+
+@query(f"WITH {PANEL}, {_CWT} SELECT entity, CAST(s AS DOUBLE) AS scale, round(s / 0.8125, 6) AS period, t AS idx, round(c, 6) AS coefficient FROM cf")
+def cwt(spark, d):
+    """Coefficients of small scales, where the integral matters most."""
+    return rounded(W.power(panel(spark, d), _SMALL).select("entity", "scale", "period", "idx", "coefficient"))
+
+
+@query(f"WITH {PANEL}, {_CWT} SELECT entity, CAST(s AS DOUBLE) AS scale, round(s / 0.8125, 6) AS period, round(avg(c * c), 6) AS power FROM cf GROUP BY entity, s")
+def cwt_spectrum(spark, d):
+    return rounded(W.global_spectrum(W.power(panel(spark, d), _SMALL)))
+
+
+@query(f"WITH {PANEL}, {_CWT} SELECT entity, t AS idx, round(avg(c * c), 6) AS power FROM cf GROUP BY entity, t")
+def cwt_scale_average(spark, d):
+    return rounded(W.scale_average(W.power(panel(spark, d), _SMALL)))
+
+
+@query(
+    f"""WITH {PANEL}, {_CWT}, ls AS (SELECT entity, coalesce(corr(value, b), 0) AS a FROM (SELECT *, lag(value) OVER (PARTITION BY entity ORDER BY idx) AS b FROM panel) GROUP BY 1)
+ SELECT cf.entity, CAST(s AS DOUBLE) AS scale, round(avg(CASE WHEN c * c > (1 - a * a) / (1 + a * a - 2 * a * cos(2 * pi() / s)) * (-2 * ln(0.05)) / 2 THEN 1.0 ELSE 0.0 END), 6) AS share FROM cf JOIN ls ON ls.entity = cf.entity GROUP BY cf.entity, s"""
+)
+def cwt_red_noise(spark, d):
+    s = panel(spark, d)
+    return rounded(W.significant(W.power(s, _SMALL), s).groupBy("entity", "scale").agg(F.avg(F.col("significant").cast("double")).alias("share")))
+
+
+@query(
+    f"""WITH {PANEL}, {_CWT}, ed AS (SELECT entity, s, quantile_cont(c * c, 0.5) + stddev_pop(c * c) AS edge, count(*) AS n FROM cf GROUP BY 1, 2), ab AS (SELECT cf.entity, cf.s, t, c * c AS p, n, t - row_number() OVER (PARTITION BY cf.entity, cf.s ORDER BY t) AS run FROM cf JOIN ed ON ed.entity = cf.entity AND ed.s = cf.s WHERE c * c > edge)
+ SELECT entity, CAST(s AS DOUBLE) AS scale, min(t) AS start, max(t) + 1 AS "end", count(*) AS duration, round(avg(p), 6) AS strength, round(max(p), 6) AS max_strength, round(count(*) * 1.0 / any_value(n), 6) AS persistence FROM ab GROUP BY entity, s, run HAVING count(*) >= floor(0.002 * any_value(n))"""
+)
+def cwt_ridges(spark, d):
+    """Ridges of small scales, found in the kernel."""
+    return rounded(W.series_ridges(panel(spark, d), _SMALL, least=0.002).drop("period"))
+
+
+@query()
+def quick_wavelet(spark, d):
+    """The lasting ridges of how far each priority's total runs ahead of its mean."""
+    every = Window.partitionBy("entity")
+    ahead = F.sum(F.col("value") - F.col("mean")).over(every.orderBy("idx"))
+    return W.quick(panel(spark, d).withColumn("mean", F.avg("value").over(every)).withColumn("value", ahead), "mexican_hat")
 
 
 @query()
@@ -221,7 +271,7 @@ def red_noise_sig(spark, d):
 @query()
 def compare_fourier(spark, d):
     s = _segments(spark, d)
-    return W.compare(W.dominant(W.ridges(W.power(s, W.SCALES), 0.02)), SP.top(SP.cycles(s, 0.1, 0.55)))
+    return W.compare(W.dominant(W.series_ridges(s, least=0.02)), SP.top(SP.cycles(s, 0.1, 0.55)))
 
 
 @query(f"WITH {PANEL}, n AS (SELECT *, count(*) OVER (PARTITION BY entity) AS n FROM panel) SELECT entity, idx, round(least(idx, n - 1 - idx) * sqrt(2), 6) AS coi FROM n")
