@@ -19,9 +19,20 @@ class Settings:
     max_lag: int = 30
 
 
+#: Where streams keep the state of their entities: on disk, so that it may outgrow memory.
+STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
 def session(name: str = "seriesforge", **conf: str) -> SparkSession:
     """Adaptive execution splits skewed joins and sizes shuffles; times are UTC; Arrow carries data to Python."""
     b = SparkSession.builder.appName(name)
-    for k, v in {"spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.session.timeZone": "UTC", "spark.sql.execution.arrow.pyspark.enabled": "true", **conf}.items():
+    own = {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.execution.arrow.pyspark.enabled": "true",
+        **STATE_STORE,
+    }
+    for k, v in {**own, **conf}.items():
         b = b.config(k, v)
     return b.getOrCreate()
