@@ -71,6 +71,15 @@ def asof(left: DataFrame, right: DataFrame, columns: list[str]) -> DataFrame:
     return both.where("_right = 0").drop("_right")
 
 
+def asof_shared(left: DataFrame, right: DataFrame, columns: list[str]) -> DataFrame:
+    """As `asof`, where one series (ts, columns) holds for all entities: its last values are carried along the calendar of days, as many rows as there are days, and joined by day."""
+    days = left.select(F.to_date("ts").alias("_day")).distinct().unionByName(right.select(F.to_date("ts").alias("_day"))).distinct()
+    known = right.groupBy(F.to_date("ts").alias("_day")).agg(*(F.max_by(c, "ts").alias(c) for c in columns))
+    w = Window.partitionBy(F.lit(0)).orderBy("_day").rowsBetween(Window.unboundedPreceding, 0)  # days alone
+    carried = days.join(known, "_day", "left").withColumns({c: F.last(c, True).over(w) for c in columns})
+    return left.withColumn("_day", F.to_date("ts")).join(carried, "_day", "left").drop("_day")
+
+
 def islands(df: DataFrame, flag: Column, order: str = "idx") -> DataFrame:
     """Runs of rows for which flag holds: entity, start, end (exclusive), length."""
     marked = df.withColumn("_f", F.coalesce(flag, F.lit(False)))

@@ -15,6 +15,7 @@ from ..operators import correlation as CO
 from ..operators import ensemble as E
 from ..operators import lstm as L
 from ..operators import matching as M
+from ..operators import permutation as PT
 from ..operators import regimes as H
 from ..operators import series as S
 from ..operators import spectral as SP
@@ -98,10 +99,21 @@ def quick_fft(spark, d):
     return rounded(SP.quick_cycles(_segments(spark, d)))
 
 
-@query()
+_SHUFFLED = "SELECT entity, r AS replica, v, row_number() OVER (PARTITION BY entity, r ORDER BY CASE WHEN r > 0 THEN md5('42|' || entity || '|' || r || '|' || idx) END, idx) - 1 AS place FROM {source}, (SELECT unnest(range(0, 1001)) AS r)"
+_NULL = "(1 + count(*) FILTER (WHERE {reached})) / (1.0 + count(*)) AS p, avg(x) AS null_mean, stddev_pop(x) AS null_std"
+
+
+@query(
+    f"""WITH {SEGMENTS}, {_DETREND}, {_SPEC}, {_PEAKS}, sh AS ({_SHUFFLED.format(source="x")}),
+ st AS (SELECT sh.entity, period_days, replica, 2.0 / count(*) * sqrt(pow(sum(v * cos(2 * pi() * place / period_days)), 2) + pow(sum(v * sin(2 * pi() * place / period_days)), 2)) AS x FROM sh JOIN cyc ON cyc.entity = sh.entity AND cyc.rank <= 3 GROUP BY 1, 2, 3),
+ ow AS (SELECT entity, period_days, x AS own FROM st WHERE replica = 0),
+ nu AS (SELECT st.entity, st.period_days, any_value(own) AS own, {_NULL.format(reached="x >= own")}, quantile_cont(x, 0.95) AS null_p95 FROM st JOIN ow ON ow.entity = st.entity AND ow.period_days = st.period_days WHERE replica > 0 GROUP BY 1, 2)
+ SELECT entity, round(period_days, 6) AS period_days, round(own, 6) AS strength, round(p, 6) AS p, round((own - null_mean) / null_std, 4) AS z, round(null_mean, 6) AS null_mean, round(null_std, 6) AS null_std, round(null_p95, 6) AS null_p95 FROM nu"""
+)
 def boot_cycle(spark, d):
     s = _segments(spark, d)
-    return SP.cycle_significance(s, SP.top(SP.cycles(s, 0.1, 0.55), 3), n=1000)
+    found = PT.cycle_significance(s, SP.top(SP.cycles(s, 0.1, 0.55), 3), n=1000)
+    return rounded(found.withColumn("z", F.round("z", 4)))
 
 
 _PV = "p AS (SELECT p_size AS entity, p_partkey * 1.0 AS period_days, (p_partkey * 7919 % 1000) / 20000.0 AS p FROM part), r AS (SELECT *, count(*) OVER (PARTITION BY entity) AS m, row_number() OVER (PARTITION BY entity ORDER BY p, period_days) AS i FROM p)"
@@ -144,7 +156,27 @@ def expected_duration(spark, d):
 
 @query()
 def perm_regime(spark, d):
-    return H.separation(_states(spark, d), n=1000)
+    return PT.separation(_states(spark, d), n=1000).select("entity", F.col("statistic").alias("variance_ratio"), "p")
+
+
+_PARTED = f"""m AS (SELECT entity, idx, close AS v, ntile(3) OVER (PARTITION BY entity ORDER BY volume, idx) - 1 AS state FROM market), sh AS ({_SHUFFLED.format(source="m")}),
+ pe AS (SELECT sh.entity, replica, m.state, count(*) AS n, sum(sh.v) AS s, sum(sh.v * sh.v) AS q FROM sh JOIN m ON m.entity = sh.entity AND m.idx = sh.place GROUP BY 1, 2, 3),
+ me AS (SELECT *, s / n - lag(s / n) OVER (PARTITION BY entity, replica ORDER BY state) AS step, sum(s) OVER (PARTITION BY entity, replica) / sum(n) OVER (PARTITION BY entity, replica) AS mean FROM pe),
+ st AS (SELECT entity, replica, 'variance_ratio' AS metric, (sum(n * pow(s / n - mean, 2)) / sum(n)) / (sum(q - s * s / n) / sum(n) + 1e-10) AS x FROM me GROUP BY 1, 2 UNION ALL SELECT entity, replica, 'mean_difference', max(abs(step)) FROM me GROUP BY 1, 2
+  UNION ALL SELECT entity, replica, 'log_likelihood', sum(-0.5 * n * (ln(2 * pi() * (greatest(q / n - pow(s / n, 2), 0) + 1e-12)) + 1)) FROM me GROUP BY 1, 2),
+ ow AS (SELECT entity, metric, x AS own FROM st WHERE replica = 0)"""
+
+
+@query(
+    f"""WITH {MARKET}, {_PARTED}, nu AS (SELECT st.entity, st.metric, any_value(own) AS own, {_NULL.format(reached="abs(x) >= abs(own)")} FROM st JOIN ow ON ow.entity = st.entity AND ow.metric = st.metric WHERE replica > 0 GROUP BY 1, 2)
+ SELECT entity, metric, round(own, 5) AS statistic, round(p, 6) AS p, round(null_mean, 4) AS null_mean, round(null_std, 4) AS null_std FROM nu"""
+)
+def perm_separation(spark, d):
+    """Do the thirds of the days by volume part their prices? By each statistic."""
+    third = F.ntile(3).over(Window.partitionBy("entity").orderBy("volume", "idx")) - 1
+    m = market(spark, d).withColumn("state", third)
+    found = PT.separation(m, "close", n=1000, metrics=PT.METRICS)
+    return rounded(found.select("entity", "metric", F.round("statistic", 5).alias("statistic"), "p", F.round("null_mean", 4).alias("null_mean"), F.round("null_std", 4).alias("null_std")))
 
 
 @query()
@@ -469,9 +501,10 @@ def monte_carlo(spark, d):
     return B.monte_carlo(B.run(_prices(spark, d)), 1000)
 
 
-@query(f"WITH {PANEL}, g AS (SELECT *, date_diff('day', lag(ts) OVER (PARTITION BY entity ORDER BY idx), ts) AS gap FROM panel WHERE idx % 7 <> 3) SELECT entity, count(*) AS n, count(*) >= 10 AND var_pop(value) >= 1e-10 AS is_valid, max(gap) AS longest_gap FROM g GROUP BY 1")
+@query(f"WITH {MARKET}, g AS (SELECT *, date_diff('day', lag(ts) OVER (PARTITION BY entity ORDER BY idx), ts) AS gap FROM market) SELECT entity, count(*) AS n, count(*) >= 10 AND var_pop(close) >= 1e-10 AS is_valid, max(gap) AS longest_gap FROM g GROUP BY 1")
 def validate_series(spark, d):
-    return V.series(panel(spark, d).where("idx % 7 <> 3")).select("entity", "n", "is_valid", F.col("longest_gap").cast("long").alias("longest_gap"))
+    """Days with trades, which have gaps of their own."""
+    return V.series(market(spark, d).withColumn("value", F.col("close"))).select("entity", "n", "is_valid", F.col("longest_gap").cast("long").alias("longest_gap"))
 
 
 @query(f"WITH {PANEL}, g AS (SELECT *, lag(value) OVER (PARTITION BY entity ORDER BY idx) AS b FROM panel) SELECT entity, count(*) AS n, count(*) FILTER (WHERE value <= 0) AS negative, round(avg(CASE WHEN value - b = 0 THEN 1.0 WHEN b IS NULL THEN NULL ELSE 0.0 END), 6) AS stale, count(*) FILTER (WHERE abs(value / nullif(b, 0) - 1) > 0.5) AS jumps FROM g GROUP BY 1")
@@ -564,9 +597,16 @@ def sink_model(spark, d):
     return rounded(s.load("cycles").select("entity", "rank", "period_days", "strength", "confidence", "category"))
 
 
-@query("SELECT 'run20' AS run, 40.0::DOUBLE AS number")
+@query(
+    f"""WITH {PANEL}, k AS (SELECT unnest([3, 7, 14, 30, 60]) AS k), e AS (SELECT entity, k, value, avg(value) OVER (PARTITION BY entity, k ORDER BY idx ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS w3, avg(value) OVER (PARTITION BY entity, k ORDER BY idx ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS w7,
+ avg(value) OVER (PARTITION BY entity, k ORDER BY idx ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING) AS w14, avg(value) OVER (PARTITION BY entity, k ORDER BY idx ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) AS w30, avg(value) OVER (PARTITION BY entity, k ORDER BY idx ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING) AS w60 FROM panel, k),
+ s AS (SELECT k, avg(abs(value - CASE k WHEN 3 THEN w3 WHEN 7 THEN w7 WHEN 14 THEN w14 WHEN 30 THEN w30 ELSE w60 END)) AS error FROM e GROUP BY k) SELECT 'window' || k AS run, round(error, 4) AS number FROM s ORDER BY error LIMIT 1"""
+)
 def tracker(spark, d):
+    """Runs of a forecast by the mean of the last k days, logged with their error; the best of them."""
     r = Runs(spark, f"{_shared(spark)}/runs-{uuid.uuid4().hex}")
-    for k in (5, 10, 20):
-        r.log("cycles", f"run{k}", {"k": k}, {"found": k * 2})
-    return r.best("cycles", "found")
+    for k in (3, 7, 14, 30, 60):
+        mean = F.avg("value").over(Window.partitionBy("entity").orderBy("idx").rowsBetween(-k, -1))
+        error = panel(spark, d).withColumn("mean", mean).agg(F.avg(F.abs(F.col("value") - F.col("mean")))).first()[0]
+        r.log("forecast", f"window{k}", {"k": k}, {"error": error})
+    return rounded(r.best("forecast", "error", ascending=True), 4)

@@ -15,6 +15,7 @@ from ..operators import indicators as I
 from ..operators import matching as M
 from ..operators import series as S
 from ..operators import wavelet as W
+from ..sources.staging import Stages
 from ..sources.store import Store
 from ..sources.tables import MARKET, PANEL, TRADES, market, panel, table, trades
 from . import sequences as Q
@@ -149,15 +150,19 @@ def network_features(spark, d):
     return rounded(degree.join(CO.eigenvector_centrality(net, tolerance=1e-10), "entity"), 5)
 
 
-@query("SELECT * FROM (VALUES ('saved', 'v2'), ('activated', 'v1'), ('left', 'v1')) t(step, version)")
+@query(
+    f"""WITH {PANEL}, v AS (SELECT entity, count(*) AS n, sum(value) AS total FROM panel GROUP BY 1)
+ SELECT 'saved' AS step, 'v2' AS version, entity, round(2 * total, 2) AS total FROM v UNION ALL SELECT 'activated', 'v1', entity, round(total, 2) FROM v UNION ALL SELECT 'left', 'v1', entity, round(total, 2) FROM v"""
+)
 def model_registry(spark, d):
-    """The latest of two versions, the one made active then, and what is left when the other one is deleted."""
+    """Rows that the store gives: of the latest of two versions, of the one made active then, and of what is left when the other one is deleted."""
     s = Store(spark, f"{_shared(spark)}/store-{uuid.uuid4().hex}")
-    for v in ("v1", "v2"):
-        s.save(panel(spark, d).groupBy("entity").count(), "counts", v)
-    steps = [("saved", s.latest("counts"))]
-    s.activate("counts", "v1")
-    steps.append(("activated", s.latest("counts")))
-    s.delete("counts", "v2")
-    left = s.list().where("name = 'counts'").select(F.lit("left").alias("step"), "version")
-    return spark.createDataFrame(steps, "step string, version string").unionByName(left)
+    totals = panel(spark, d).groupBy("entity").agg(F.sum("value").alias("total"))
+    s.save(totals, "totals", "v1")
+    s.save(totals.withColumn("total", 2 * F.col("total")), "totals", "v2")
+    given = lambda step: s.load("totals").select(F.lit(step).alias("step"), F.lit(s.latest("totals")).alias("version"), "entity", F.round("total", 2).alias("total"))
+    out = Stages(spark)(given("saved"))  # its version is deleted below
+    s.activate("totals", "v1")
+    out = out.unionByName(given("activated"))
+    s.delete("totals", "v2")
+    return out.unionByName(given("left"))

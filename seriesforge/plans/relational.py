@@ -155,8 +155,7 @@ def trade_bursts(spark, d):
 def macro_asof(spark, d):
     m = market(spark, d)
     macro = m.where("entity = 'N' and day(ts) % 3 = 0").select("ts", F.col("volume").alias("macro"))
-    every = m.select("entity").distinct().withColumn("_k", F.lit(1)).join(macro.withColumn("_k", F.lit(1)), "_k").drop("_k")
-    return S.asof(m, every, ["macro"]).select("entity", "ts", F.round("close", 6).alias("close"), F.round("macro", 4).alias("macro"))
+    return S.asof_shared(m, macro, ["macro"]).select("entity", "ts", F.round("close", 6).alias("close"), F.round("macro", 4).alias("macro"))
 
 
 @query(f"WITH {PANEL}, p AS (SELECT a.entity AS a, b.entity AS b, count(*) AS n, corr(a.value, b.value) AS r FROM panel a JOIN panel b ON a.ts = b.ts AND a.entity < b.entity GROUP BY 1, 2 HAVING count(*) >= 30) SELECT a, b, n, round(r, 6) AS r FROM p")
