@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -14,6 +15,7 @@ from .changepoint import pelt
 from .lstm import Config, validation_loss
 from .regimes import GaussianHMM
 from .series import KEY
+from .spectral import hash_of
 from .wavelet import transform
 
 #: Ranges of the search. Fixed values.
@@ -90,20 +92,119 @@ def score_lstm(x: np.ndarray, p: dict, metric: Metric | None = None) -> float:
     return metric(loss, x) if metric else loss
 
 
-def search(series: DataFrame, space: dict, objective: Callable[..., float], n: int = 20, sampler: str = "random", seed: int = 42, metric: Metric | None = None) -> DataFrame:
-    """The objective (less is better) of each trial for each entity: trial, params, score, best. A metric takes the place of the objective's own measure."""
-    rows = [(i, {k: float(v) for k, v in p.items()}) for i, p in enumerate(trials(space, n, sampler, seed))]
-    grid = series.sparkSession.createDataFrame(rows, "trial int, params map<string,double>")
-    values = series.groupBy(KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "value"))), lambda s: s["value"]).alias("values"))
-    pairs = values.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(len(rows) - 1)))).join(F.broadcast(grid.withColumnRenamed("trial", "_k")), "_k")  # the grid is a list of n rows
-    pairs = pairs.repartition(KEY, "_k")
+def _series_values(series: DataFrame) -> DataFrame:
+    return series.groupBy(KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "value"))), lambda s: s["value"]).alias("values"))
 
+
+def _scored(pairs: DataFrame, objective: Callable[..., float], metric: Metric | None) -> DataFrame:
+    """Adds score to rows of (entity, trial, values, params), which are dealt out one by one; values go."""
     more = () if metric is None else (metric,)
 
     @F.pandas_udf("double")
     def run(values: pd.Series, params: pd.Series) -> pd.Series:
         return pd.Series([float(objective(np.asarray(v, float), dict(p), *more)) for v, p in zip(values, params, strict=True)])
 
-    scored = pairs.select(KEY, F.col("_k").alias("trial"), "params", run("values", "params").alias("score"))
-    w = Window.partitionBy(KEY).orderBy("score", "trial")
-    return scored.withColumn("best", F.row_number().over(w) == 1)
+    return pairs.repartition(KEY, "trial").select(KEY, "trial", "params", run("values", "params").alias("score"))
+
+
+def _ranked(scored: DataFrame) -> DataFrame:
+    return scored.withColumn("best", F.row_number().over(Window.partitionBy(KEY).orderBy("score", "trial")) == 1)
+
+
+def search(series: DataFrame, space: dict, objective: Callable[..., float], n: int = 20, sampler: str = "random", seed: int = 42, metric: Metric | None = None) -> DataFrame:
+    """The objective (less is better) of each trial for each entity: trial, params, score, best. A metric takes the place of the objective's own measure."""
+    rows = [(i, {k: float(v) for k, v in p.items()}) for i, p in enumerate(trials(space, n, sampler, seed))]
+    grid = series.sparkSession.createDataFrame(rows, "trial int, params map<string,double>")
+    pairs = _series_values(series).withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(len(rows) - 1)))).join(F.broadcast(grid), "trial")  # the grid is a list of n rows
+    return _ranked(_scored(pairs, objective, metric))
+
+
+def _parzen(points: np.ndarray, lo: float, hi: float) -> tuple[np.ndarray, np.ndarray]:
+    """Centres and widths of a density over [lo, hi]: a kernel at each point, as wide as its farther neighbour is away (within bounds), and a flat one at the middle."""
+    middle, span = (lo + hi) / 2, hi - lo
+    at = np.sort(np.append(points, middle))
+    gaps = np.diff(np.concatenate([[lo], at, [hi]]))
+    width = np.clip(np.maximum(gaps[:-1], gaps[1:]), span / min(100, 1 + len(at)), span)
+    width[np.flatnonzero(at == middle)[0]] = span
+    return at, width
+
+
+def _log_density(x: np.ndarray, at: np.ndarray, width: np.ndarray, lo: float, hi: float) -> np.ndarray:
+    """Of the mixture of normals cut off at the bounds."""
+    phi = lambda z: np.array([0.5 * (1 + math.erf(v / math.sqrt(2))) for v in z])
+    inside = phi((hi - at) / width) - phi((lo - at) / width)
+    z = (x[:, None] - at[None]) / width[None]
+    return np.log((np.exp(-0.5 * z * z) / (width * math.sqrt(2 * math.pi) * np.maximum(inside, 1e-12))[None]).mean(1) + 1e-300)
+
+
+def propose(known: list[dict[str, float]], scores: np.ndarray, space: dict, n: int, r: np.random.Generator, candidates: int = 24) -> list[dict[str, float]]:
+    """n further points by tree-structured Parzen estimators: the best tenth of the known points (25 at most) and the others each give a density a parameter; of values drawn from the first, that with the greatest ratio to the second is taken."""
+    order = np.argsort(np.where(np.isfinite(scores), scores, np.inf), kind="stable")
+    good = order[: max(1, min(25, math.ceil(0.1 * len(order))))]
+    rest = order[len(good) :]
+    out: list[dict[str, float]] = []
+    for _ in range(n):
+        point = {}
+        for name, (lo, hi) in space.items():
+            whole = isinstance(lo, int)
+            a, b = (lo - 0.5, hi + 0.5) if whole else (lo, hi)
+            values = np.array([p[name] for p in known])
+            at, width = _parzen(values[good], a, b)
+            k = r.integers(len(at), size=candidates)
+            x = r.normal(at[k], width[k])
+            while ((x < a) | (x > b)).any():
+                off = (x < a) | (x > b)
+                x[off] = r.normal(at[k[off]], width[k[off]])
+            if whole:
+                x = np.clip(np.round(x), lo, hi)
+            gain = _log_density(x, at, width, a, b) - _log_density(x, *_parzen(values[rest], a, b), a, b)
+            point[name] = float(x[gain.argmax()])
+        out.append(point)
+    return out
+
+
+def _further(space: dict, made: int, size: int, seed: int):
+    """Of an entity's trials so far, `size` further ones."""
+
+    def one(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("trial")
+        r = np.random.default_rng([seed, made, hash_of(str(key[0])) % 2**32])
+        points = propose([dict(p) for p in g["params"]], g["score"].to_numpy(float), space, size, r)
+        return pd.DataFrame({KEY: key[0], "trial": range(made, made + size), "params": points})
+
+    return one
+
+
+def learned_search(
+    series: DataFrame, space: dict, objective: Callable[..., float], stage: Callable[[DataFrame], DataFrame], n: int = 100, first: int = 20, batch: int = 20, seed: int = 42, metric: Metric | None = None
+) -> DataFrame:
+    """As `search`, but trials learn: after `first` random ones, rounds of `batch` are proposed for each entity from its scores so far. stage(df) writes the trials of a round and reads them again; they are few numbers a trial."""
+    values = stage(_series_values(series))
+    kind = f"{KEY} {series.schema[KEY].dataType.simpleString()}"
+    start = [(i, {k: float(v) for k, v in p.items()}) for i, p in enumerate(trials(space, min(first, n), "random", seed))]
+    grid = series.sparkSession.createDataFrame(start, "trial int, params map<string,double>")
+    pairs = values.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(len(start) - 1)))).join(F.broadcast(grid), "trial")
+    done = stage(_scored(pairs, objective, metric))
+    made = len(start)
+    while made < n:
+        size = min(batch, n - made)
+        new = done.groupBy(KEY).applyInPandas(_further(space, made, size, seed), f"{kind}, trial int, params map<string,double>")
+        done = stage(done.unionByName(_scored(new.join(values, KEY), objective, metric)))
+        made += size
+    return _ranked(done)
+
+
+def importance(scored: DataFrame, space: dict[str, tuple[float, float]], bins: int = 10) -> DataFrame:
+    """How much each parameter alone explains of an entity's scores: the variance of the mean score of its bins (equal widths of its range; whole numbers have a bin each if they are few) as a share of that of all parameters.
+
+    scored: entity, params, score; infinite scores don't count. The shares of an entity add up to 1, unless no parameter matters.
+    """
+    known = F.create_map(*(x for name, (lo, hi) in space.items() for x in (F.lit(name), F.struct(F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi"), F.lit(isinstance(lo, int) and hi - lo < bins).alias("few")))))
+    rows = scored.where(F.abs("score") < float("inf")).select(KEY, "score", F.explode("params").alias("parameter", "value")).withColumn("r", known[F.col("parameter")])
+    place = F.least(F.floor((F.col("value") - F.col("r.lo")) / (F.col("r.hi") - F.col("r.lo")) * bins), F.lit(bins - 1))
+    bin_ = F.when(F.col("r.few"), F.round("value").cast("long")).otherwise(place)
+    means = rows.groupBy(KEY, "parameter", bin_.alias("bin")).agg(F.avg("score").alias("m"), F.count("*").alias("n"))
+    w = Window.partitionBy(KEY, "parameter")
+    centre = F.sum(F.col("m") * F.col("n")).over(w) / F.sum("n").over(w)
+    spread = means.withColumn("d", F.col("n") * F.pow(F.col("m") - centre, F.lit(2.0))).groupBy(KEY, "parameter").agg((F.sum("d") / F.sum("n")).alias("v"))
+    return spread.select(KEY, "parameter", F.coalesce(F.col("v") / F.nullif(F.sum("v").over(Window.partitionBy(KEY)), F.lit(0.0)), F.lit(0.0)).alias("importance"))

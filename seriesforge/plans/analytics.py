@@ -529,8 +529,25 @@ def unit_root(spark, d):
 
 @query()
 def tune(spark, d):
-    s = panel(spark, d)
-    return T.search(s, T.SPACES["changepoint"], T.score_changepoint, 6).unionByName(T.search(s, T.SPACES["fourier"], T.score_fourier, 4, "grid")).select("entity", "trial", "score", "best")
+    """A hundred trials each of the cheap detectors; the trials learn from each other."""
+    s, stage = panel(spark, d), Stages(spark)
+    runs = {"changepoint": T.score_changepoint, "fourier": T.score_fourier}
+    found = [T.learned_search(s, T.SPACES[k], f, stage).select("entity", F.lit(k).alias("model"), "trial", "params", "score", "best") for k, f in runs.items()]
+    return found[0].unionByName(found[1])
+
+
+@query(
+    """WITH t AS (SELECT p_brand AS entity, p_size AS size, (p_retailprice - 1000) / 1000 AS price, p_partkey % 5 AS kind, p_retailprice / 100 + CASE WHEN p_size > 25 THEN 3 ELSE 0 END AS score FROM part),
+ l AS (SELECT entity, 'size' AS parameter, least(floor((size - 1) / 49.0 * 10), 9) AS bin, score FROM t UNION ALL SELECT entity, 'price', least(floor((price + 0.2) / 1.4 * 10), 9), score FROM t UNION ALL SELECT entity, 'kind', kind, score FROM t),
+ m AS (SELECT entity, parameter, bin, avg(score) AS m, count(*) AS n FROM l GROUP BY 1, 2, 3), c AS (SELECT *, sum(m * n) OVER (PARTITION BY entity, parameter) / sum(n) OVER (PARTITION BY entity, parameter) AS c FROM m),
+ v AS (SELECT entity, parameter, sum(n * pow(m - c, 2)) / sum(n) AS v FROM c GROUP BY 1, 2) SELECT entity, parameter, round(coalesce(v / nullif(sum(v) OVER (PARTITION BY entity), 0), 0), 6) AS importance FROM v"""
+)
+def tune_importance(spark, d):
+    """What matters among trials that are given: the parts of each brand, scored by price and size."""
+    part = table(spark, d, "part")
+    size, price, kind = F.col("p_size").cast("double"), (F.col("p_retailprice") - 1000) / 1000, (F.col("p_partkey") % 5).cast("double")
+    given = part.select(F.col("p_brand").alias("entity"), F.create_map(F.lit("size"), size, F.lit("price"), price.cast("double"), F.lit("kind"), kind).alias("params"), (F.col("p_retailprice") / 100 + F.when(size > 25, 3).otherwise(0)).alias("score"))
+    return rounded(T.importance(given, {"size": (1, 50), "price": (-0.2, 1.2), "kind": (0, 4)}))
 
 
 @query()
