@@ -10,11 +10,15 @@
 3. Of each slot the texts are counted over all pages. A text that stays the
    same is template: at least CONSTANT of the host's pages in that branch of the
    body have it, and so many of them that the lower bound of that share
-   (Wilson's, at two deviations) is over SURE. Pages whose main text is the same
-   by their own tree count once. What varies is content.
+   (Wilson's, at two deviations) is over SURE; or, outside an article that the
+   markup names, all of at least FEW pages have it. Pages whose main text is the
+   same by their own tree count once. What varies is content. Elements made like
+   a comment or teaser, at one place of the reference, are left out if their
+   number varies from page to page, within the article too.
 4. The wrapper of a host is the reference node that holds most of the varying
    text: from the body downwards, the child with most of it as long as that is
-   MOST of the whole. Names break ties: varying text in what the markup calls an
+   MOST of the whole; or the only child with a heading that varies, if it has a
+   third of the whole. Names break ties: varying text in what the markup calls an
    article or main part weighs NAMED times as much, in what it calls menu,
    footer, advert and the like NAMED times less. An article is not divided.
 5. A page's text is what stands in the wrapper's node, without template, and
@@ -50,6 +54,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 CONSTANT, SURE, MOST, NAMED = 0.95, 0.7, 0.7, 4
+#: Pages of different main text that must agree in all of a slot's text for it to be template, outside of articles that the markup names.
+FEW = 3
 BROADCAST = 16 << 20
 SALTS = 64
 #: Cells of a table of two child lists that is held at once; longer lists are halved, with the same result.
@@ -72,10 +78,10 @@ _SCOPE = {"li": {"ul", "ol"}, "dd": {"dl"}, "dt": {"dl"}, "tr": {"table"}, "td":
 #: Elements that are known by their tag alone; of others the first class, without digits, is part of their label.
 _PLAIN = frozenset("html body article main".split())
 #: Words of class, id and role that name what isn't the article. Fixed values.
-_NAMES = frozenset("nav navbar navigation menu topbar header masthead banner footer contentinfo sidebar complementary ad ads advert adverts advertisement advertising sponsored sponsor promo promotion cookie cookies notice notices consent gdpr comment comments disqus respond share sharing social related recommended breadcrumb breadcrumbs newsletter subscribe subscription login signup search popup modal widget pagination pager toolbar alert dialog".split())
+_NAMES = frozenset("nav navbar navigation menu topbar header masthead banner footer contentinfo sidebar complementary ad ads advert adverts advertisement advertising sponsored sponsor promo promotion cookie cookies notice notices consent gdpr comment comments disqus respond share sharing social related recommended breadcrumb breadcrumbs newsletter subscribe subscription login signup search popup modal widget pagination pager toolbar alert dialog adslot adsense adsbygoogle reactions replies responses discussion guestbook teaser teasers".split())
 _MAIN = frozenset("main content article post entry story".split())
 #: Words that may stand beside them in such a name. Fixed values.
-_BESIDE = frozenset("site page global top bottom left right upper lower primary secondary box block area section wrapper wrap container list links bar text inner outer item items the".split())
+_BESIDE = frozenset("site page global top bottom left right upper lower primary secondary box block area section wrapper wrap container list links bar text inner outer item items the reader readers user users visitor visitors thread threads slot unit posts button buttons email count feed panel zone col column row form more".split())
 
 
 def _no_article(names: list[str]) -> bool:
@@ -409,6 +415,38 @@ def _everything(tree: Node) -> Iterator[tuple[Node, str, list[Node], bool, bool]
     yield from block()
 
 
+#: What a comment or teaser is made of: elements that repeat, parts that hold its text, and others that say who or when.
+_REPEATED, _BODIES = frozenset("div section li article details".split()), frozenset("p div blockquote".split())
+_SAYING = frozenset("span a b strong time cite small em i button img h4 h5 h6 div figure".split())
+
+
+def _records(tree: Node) -> set[int]:
+    """Elements made like a comment or teaser: without text or headings of their own, a short first part, and parts of at least two kinds, one for text and one that says who or when."""
+    out: set[int] = set()
+    todo = [tree]
+    while todo:
+        n = todo.pop()
+        parts = [k for k in n.kids if type(k) is Node]
+        todo += parts
+        if n.tag in _REPEATED and len(parts) > 1 and not any(type(k) is str and k.strip() for k in n.kids):
+            tags, labels = [k.tag for k in parts], {k.label for k in parts}
+            two = len(labels) > 1 and not _BODIES.isdisjoint(tags) and not _SAYING.isdisjoint(tags)
+            if two and {"h1", "h2", "h3", "table", "p"}.isdisjoint(tags[:1]) and {"h1", "h2", "h3"}.isdisjoint(tags) and _short(parts[0]):
+                out.add(id(n))
+    return out
+
+
+def _short(node: Node, most: int = 60) -> bool:
+    size, todo = 0, [node]
+    while todo and size <= most:
+        for k in todo.pop().kids:
+            if type(k) is Node:
+                todo.append(k)
+            else:
+                size += len(k.strip())
+    return size <= most
+
+
 #: Elements whose text isn't read at all.
 _UNREAD = frozenset("head script style title textarea noscript template svg iframe".split())
 
@@ -432,22 +470,29 @@ def _hash(text: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-BLOCK = pa.struct([("slot", pa.int32()), ("branch", pa.int32()), ("text", pa.string()), ("drop", pa.bool_()), ("own", pa.bool_()), ("linked", pa.bool_())])
-READ = "host string, page_id long, url string, page long, kind int, blocks array<struct<slot:int,branch:int,text:string,drop:boolean,own:boolean,linked:boolean>>"
+BLOCK = pa.struct([("slot", pa.int32()), ("branch", pa.int32()), ("text", pa.string()), ("drop", pa.bool_()), ("own", pa.bool_()), ("linked", pa.bool_()), ("record", pa.int64()), ("head", pa.bool_())])
+READ = "host string, page_id long, url string, page long, kind int, blocks array<struct<slot:int,branch:int,text:string,drop:boolean,own:boolean,linked:boolean,record:bigint,head:boolean>>"
 
 
 def _blocks(tree: Node, slots: dict[int, int]) -> tuple[list[dict], int]:
-    """The page's blocks with slot and branch (the slot of the body's child around them; -1: none), and what its own main part is (as in content)."""
+    """The page's blocks with slot, branch (the slot of the body's child around them; -1: none) and kind of record (0: none; head: its first block), and what its own main part is (as in content)."""
     kept, kind = content(tree)
     own = Counter((id(o), t) for o, t in kept)
     out = []
+    records, begun = _records(tree), set()
     for owner, text, path, drop, linked in _everything(tree):
         known = next((slots[id(n)] for n in reversed(path) if id(n) in slots), -1)
         body = next((i for i, n in enumerate(path[:3]) if n.tag == "body"), 0)
         branch = slots.get(id(path[body + 1]), -1) if len(path) > body + 1 else -1
         mine = own[id(owner), text] > 0
         own[id(owner), text] -= mine
-        out.append({"slot": known, "branch": branch, "text": text, "drop": drop, "own": mine, "linked": linked})
+        at = next((i for i, n in enumerate(path) if id(n) in records), -1)
+        key, head = 0, False
+        if at >= 0:  # its kind: where it hangs in the reference, and its label
+            above = next((slots[id(n)] for n in reversed(path[:at]) if id(n) in slots), -1)
+            key, head = _hash(f"{above} {path[at].label}"), id(path[at]) not in begun
+            begun.add(id(path[at]))
+        out.append({"slot": known, "branch": branch, "text": text, "drop": drop, "own": mine, "linked": linked, "record": key, "head": head})
     return out, kind
 
 
@@ -479,6 +524,7 @@ def wrapper(tree: Node, mass: dict[int, float]) -> tuple[int, int, bool]:
         todo += [(k, *here) for k in reversed(n.kids) if type(k) is Node]
     own = [mass.get(i, 0.0) * (1 / NAMED if named else NAMED if main else 1) for i, (_, named, main) in enumerate(nodes)]
     total = np.concatenate([[0.0], np.cumsum(own)])
+    titles = np.concatenate([[0.0], np.cumsum([x if n.tag in ("h1", "h2") else 0.0 for x, (n, _, _) in zip(own, nodes, strict=True)])])
     end = {}
     for n, _, _ in reversed(nodes):
         end[id(n)] = max([number[id(n)] + 1, *(end[id(k)] for k in n.kids if type(k) is Node)])
@@ -488,6 +534,10 @@ def wrapper(tree: Node, mass: dict[int, float]) -> tuple[int, int, bool]:
         kids = [k for k in node.kids if type(k) is Node and k.tag in _BLOCK and k.tag not in ("p", "ul", "ol")]
         best = max(kids, key=held, default=None)
         heading = any(type(k) is Node and k.tag in ("h1", "h2") and held(k) > 0 for k in node.kids)
+        titled = [k for k in kids if titles[end[id(k)]] > titles[number[id(k)]]]
+        if not heading and len(titled) == 1 and 3 * held(titled[0]) >= held(node):  # the one part with a heading, even where what stands beside it is long
+            node = titled[0]
+            continue
         if best is None or held(best) <= 0 or held(best) < MOST * held(node) or heading:
             break
         node = best
@@ -503,13 +553,16 @@ def _wrap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             made.append(wrapper(parse(html), {s["slot"]: s["mass"] for s in slots or ()}))
         if made:
             cols = list(zip(*made, strict=True))
-            yield pa.record_batch([batch.column("host"), batch.column("template"), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.bool_())], names=["host", "template", "lo", "hi", "main"])
+            yield pa.record_batch([batch.column("host"), batch.column("template"), batch.column("records"), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.bool_())], names=["host", "template", "records", "lo", "hi", "main"])
 
 
-def _chosen(blocks: list[dict], kind: int, lo: int, hi: int, main: bool, template: set) -> list[dict]:
+def _chosen(blocks: list[dict], kind: int, lo: int, hi: int, main: bool, template: set, records: set) -> list[dict]:
     inside = [b for b in blocks if lo <= b["slot"] < hi and not b["drop"] and (main or not b["linked"])]
     if not inside or kind == 2 and not any(b["own"] for b in inside):
         inside = [b for b in blocks if b["own"] and (kind or not b["linked"])]
+    rest = [b for b in inside if b["record"] not in records]
+    if any(len(b["text"]) >= 40 for b in rest):  # else the page is a list of records
+        inside = rest
     varying = [b for b in inside if not template or (b["slot"], _hash(b["text"])) not in template]
     size = lambda some: sum(len(b["text"]) for b in some)
     return varying if 2 * size(varying) >= size(inside) else inside
@@ -519,10 +572,10 @@ def _chosen(blocks: list[dict], kind: int, lo: int, hi: int, main: bool, templat
 def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
-        columns = (batch.column(c).to_pylist() for c in ("blocks", "kind", "lo", "hi", "main", "template"))
-        for blocks, kind, lo, hi, main, template in zip(*columns, strict=True):
+        columns = (batch.column(c).to_pylist() for c in ("blocks", "kind", "lo", "hi", "main", "template", "records"))
+        for blocks, kind, lo, hi, main, template, records in zip(*columns, strict=True):
             known = {(t["slot"], t["words"]) for t in template or ()}
-            texts.append("\n\n".join(b["text"] for b in _chosen(blocks, kind, lo or 0, hi or 0, bool(main), known)))
+            texts.append("\n\n".join(b["text"] for b in _chosen(blocks, kind, lo or 0, hi or 0, bool(main), known, set(records or ()))))
         yield pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
@@ -544,20 +597,29 @@ def extract_text(pages: DataFrame) -> DataFrame:
     aligned = df if references is not None else _by_host(df, first, ["page_id", "html"])
     read = C.stage(aligned.mapInArrow(functools.partial(_read, references), READ), "blocks")
 
-    block = read.select("host", "page", F.explode("blocks").alias("b")).where("b.slot >= 0")
-    block = block.select("host", "page", "b.slot", "b.branch", F.xxhash64("b.text").alias("words"), F.length("b.text").alias("n"))
-    texts = block.distinct().groupBy("host", "slot", "branch", "words").agg(F.count("*").alias("pages"), F.max("n").alias("n"))
+    every = read.select("host", "page", "kind", F.explode("blocks").alias("b"))
+    named = F.col("b.own") & (F.col("kind") == 2)
+    block = every.where("b.slot >= 0").select("host", "page", "b.slot", "b.branch", F.xxhash64("b.text").alias("words"), F.length("b.text").alias("n"), named.alias("named"), (F.col("b.record") != 0).alias("record"))
+    once = block.groupBy("host", "slot", "branch", "words", "page").agg(F.max("n").alias("n"), F.max("named").alias("named"), F.min("record").alias("record"))
+    texts = once.groupBy("host", "slot", "branch", "words").agg(F.count("*").alias("pages"), F.max("n").alias("n"), F.max("named").alias("named"), F.min("record").alias("record"))
     reach = C.stage(block.select("host", "branch", "page").distinct().groupBy("host", "branch").agg(F.count("*").alias("all")), "reach")
     if reach.agg(F.coalesce(F.sum(F.octet_length("host") + 32), F.lit(0))).first()[0] <= BROADCAST:  # a join would gather a large host's texts
         reach = F.broadcast(reach)
     share, n = F.col("pages") / F.col("all"), F.col("all")
     sure = (share + 2 / n - 2 * F.sqrt(share * (1 - share) / n + 1 / (n * n))) / (1 + 4 / n)
-    judged = texts.join(reach, ["host", "branch"]).withColumn("constant", (share >= CONSTANT) & (sure >= SURE))
-    slots = judged.groupBy("host", "slot").agg(F.sum(F.when(~F.col("constant"), F.col("n") * F.col("pages")).otherwise(0)).cast("double").alias("mass"))
+    judged = texts.join(reach, ["host", "branch"]).withColumn("constant", (share >= CONSTANT) & (sure >= SURE) | (share >= 1) & (n >= FEW) & ~F.col("named"))
+    slots = judged.groupBy("host", "slot").agg(F.sum(F.when(~F.col("constant") & ~F.col("record"), F.col("n") * F.col("pages")).otherwise(0)).cast("double").alias("mass"))
     slots = slots.groupBy("host").agg(F.collect_list(F.struct("slot", "mass")).alias("slots"))
     template = judged.where("constant").groupBy("host").agg(F.collect_list(F.struct("slot", "words")).alias("template"))
+    # records whose number varies from page to page are comments or teasers
+    counted = every.where("b.record <> 0").groupBy("host", "page", F.col("b.record").alias("record")).agg(F.sum(F.col("b.head").cast("int")).alias("c"))
+    spread = counted.groupBy("host", "record").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("on"))
+    pages_of = read.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("all"))
+    listed = spread.join(pages_of, "host").where(f"hi > 1 AND all >= {FEW} AND (lo < hi OR on < all)")
+    listed = listed.groupBy("host").agg(F.collect_list("record").alias("records"))
     kind = "array<struct<slot:int,words:bigint>>"
-    wrappers = C.stage(first.join(slots, "host", "left").join(template, "host", "left").mapInArrow(_wrap, f"host string, template {kind}, lo int, hi int, main boolean"), "wrappers")
-    small = wrappers.agg(F.coalesce(F.sum(F.coalesce(F.size("template"), F.lit(0)) * 16 + F.octet_length("host") + 64), F.lit(0))).first()[0] <= BROADCAST
+    known = first.join(slots, "host", "left").join(template, "host", "left").join(listed, "host", "left")
+    wrappers = C.stage(known.mapInArrow(_wrap, f"host string, template {kind}, records array<bigint>, lo int, hi int, main boolean"), "wrappers")
+    small = wrappers.agg(F.coalesce(F.sum(F.coalesce(F.size("template"), F.lit(0)) * 16 + F.coalesce(F.size("records"), F.lit(0)) * 8 + F.octet_length("host") + 64), F.lit(0))).first()[0] <= BROADCAST
     met = read.join(F.broadcast(wrappers), "host", "left") if small else _by_host(read, wrappers, ["page_id", "page"])
-    return met.select("page_id", "url", "blocks", "kind", "lo", "hi", "main", "template").mapInArrow(_write, "page_id long, url string, text string")
+    return met.select("page_id", "url", "blocks", "kind", "lo", "hi", "main", "template", "records").mapInArrow(_write, "page_id long, url string, text string")

@@ -63,6 +63,54 @@ def test_alignment_finds_what_no_name_tells(spark, monkeypatch):
     assert "Share this story" in H.extract_text(alone).first().text
 
 
+def story(i):
+    return f"<h1>Story number {i}</h1>" + "".join(f"<p>paragraph {i} {j} says something of its own, at some length</p>" for j in range(2 + i % 3))
+
+
+def story_text(i):
+    return "\n\n".join([f"Story number {i}", *(f"paragraph {i} {j} says something of its own, at some length" for j in range(2 + i % 3))])
+
+
+def texts_of(spark, pages):
+    df = spark.createDataFrame([(i, f"https://one.example/{i}", h) for i, h in pages.items()], "page_id long, url string, html string").repartition(3)
+    return {r.page_id: r.text for r in H.extract_text(df).collect()}
+
+
+def test_named_comments_within_the_article(spark):
+    talk = lambda i: "".join(f"<p>I think {i} {k}</p>" for k in range(i % 5))
+    pages = {i: f"<body><article>{story(i)}<section class='reader-comments'>{talk(i)}</section><div class='ad-slot'>Buy {i}</div><div class='social-share'>x{i}</div></article></body>" for i in range(40)}
+    assert texts_of(spark, pages) == {i: story_text(i) for i in pages}
+
+
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_comments_without_names_are_records_whose_number_varies(spark, tag):
+    """Author, then words, in elements that repeat within the story; single ones, too."""
+    talk = lambda i: "".join(f"<div class=q><span>Reader {k}</span><p>I do not agree with story {i} at all, and here is why: {k}</p></div>" for k in range(i % 4))
+    pages = {i: f"<body><div class=m>Start</div><{tag}>{story(i)}<div class=z>{talk(i)}</div></{tag}></body>" for i in range(12)}
+    assert texts_of(spark, pages) == {i: story_text(i) for i in pages}
+
+
+def test_comments_beside_the_story_without_names(spark):
+    talk = lambda i: "".join(f"<p>opinion {i} {k} on what was said above, and rather a long one</p>" for k in range(1 + i % 4))
+    pages = {i: f"<body><div class=w><div class=x>{story(i)}</div><div class=y>{talk(i)}</div></div></body>" for i in range(40)}
+    assert texts_of(spark, pages) == {i: story_text(i) for i in pages}
+
+
+@pytest.mark.parametrize("n", [3, 6, 9])
+def test_few_pages_without_an_article(spark, n):
+    pages = {i: f"<body><div class=a><div>Menu of the site</div><div>Contact</div></div><div class=b>{story(i)}</div><div class=c>Imprint of the publishing house</div></body>" for i in range(n)}
+    assert texts_of(spark, pages) == {i: story_text(i) for i in pages}
+
+
+def test_what_only_looks_like_records_stays(spark):
+    """Sections with headings, lists with links, tables, and elements as many on every page."""
+    parts = lambda i: "".join(f"<section><h3>Part {k}</h3><p>words {i} {k} of this part</p></section>" for k in range(1 + i % 3)) + "<ul>" + "".join(f"<li><a>link {k}</a> and <b>more {i}</b></li>" for k in range(2 + i % 2)) + "</ul>"
+    fact = "<div class=f><span>Fact</span><div>the same number of these on all pages</div></div>"
+    pages = {i: f"<body><article>{story(i)}{parts(i)}{fact}</article></body>" for i in range(9)}
+    want = {i: "\n\n".join([story_text(i), *(x for k in range(1 + i % 3) for x in (f"Part {k}", f"words {i} {k} of this part")), *(f"link {k} and more {i}" for k in range(2 + i % 2)), "Fact", "the same number of these on all pages"]) for i in pages}
+    assert {i: t.replace("Fact the", "Fact\n\nthe") for i, t in texts_of(spark, pages).items()} == want
+
+
 def test_names_that_only_look_like_chrome(spark):
     rows = [
         ("<article class='post has-sidebar'><h1>T</h1><p>one</p></article><div>other</div>", "T\n\none"),
