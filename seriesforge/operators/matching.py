@@ -87,3 +87,11 @@ def predict(matches: DataFrame, outcomes_: DataFrame, horizon: int = 30) -> Data
     a = j.groupBy(KEY).agg(n.alias("n"), (F.sum(F.col("total") * F.col("similarity")) / F.sum("similarity")).alias("predicted"), F.stddev_pop("total").alias("std"), F.avg("similarity").alias("mean_similarity"))
     steady = 0.3 * F.least(F.col("n") / 10, F.lit(1.0)) + 0.4 / (1 + F.col("std"))
     return a.select(KEY, "n", "predicted", (steady + 0.3 / F.col("n")).alias("confidence"), (steady + 0.3 * F.col("mean_similarity")).alias("confidence_by_similarity"))
+
+
+def summary(matches: DataFrame, outcomes_: DataFrame, horizon: int = 30) -> DataFrame:
+    """entity and text: how many matches there are, how like the best one is, and how many rose."""
+    j = matches.join(outcomes_.where(F.col("horizon") == horizon).select(KEY, "start", "total"), [KEY, "start"])
+    rose = 100.0 * F.sum((F.col("total") > 0).cast("int")) / F.count("*")
+    text = F.format_string(f"%d matches, %.0f %% alike at best; within {horizon} rows %.0f %% of them rose", F.count("*"), 100 * F.max("similarity"), rose)
+    return j.groupBy(KEY).agg(text.alias("text"))

@@ -143,6 +143,14 @@ def profiles(states_: DataFrame) -> DataFrame:
     return g.select(KEY, "state", "mean_return", "volatility", "avg_volume", "n", share.alias("frequency"), R.regime_name(F.col("mean_return"), F.col("volatility")).alias("regime"), R.expected_duration(stay).alias("expected_duration"))
 
 
+def summary(profiles_: DataFrame) -> DataFrame:
+    """entity and text: what each state is like, a line each."""
+    pct = lambda c: 100 * F.col(c)
+    line = F.format_string("%d. return %.2f %%, volatility %.2f %%, %.1f %% of days", "state", pct("mean_return"), pct("volatility"), pct("frequency"))
+    told = F.array_sort(F.collect_list(F.struct("state", line.alias("line"))))
+    return profiles_.groupBy(KEY).agg(F.array_join(F.transform(told, lambda r: r["line"]), "\n").alias("text"))
+
+
 def transitions(states_: DataFrame) -> DataFrame:
     """The transition matrix in long form, keyed by state (names may repeat)."""
     rows = states_.groupBy(KEY, "state").agg(F.first("transitions").alias("t"))
@@ -186,7 +194,7 @@ def separation(rows: DataFrame, value: str = "ret", state: str = "state", n: int
     return rows.select(KEY, "idx", value, state).groupBy(KEY).applyInPandas(one, f"{KEY} {kind}, variance_ratio double, p double")
 
 
-def cross_validate(feats: DataFrame, n_states: int = 3, splits: int = 5) -> DataFrame:
+def cross_validate(feats: DataFrame, n_states: int = 3, splits: int = 5, rounds: int = 100) -> DataFrame:
     """Expanding folds: log-likelihood a row of the fold after each training span, and 1 - Jensen-Shannon divergence (nats) of the state shares in the two."""
 
     def one(g: pd.DataFrame) -> pd.DataFrame:
@@ -199,7 +207,7 @@ def cross_validate(feats: DataFrame, n_states: int = 3, splits: int = 5) -> Data
             if size < 10 * n_states:
                 break
             a, b = x[: k * size], x[k * size : (k + 1) * size]
-            m = GaussianHMM(n_states, 50).fit(a)
+            m = GaussianHMM(n_states, rounds).fit(a)
             p, q = (np.bincount(m.viterbi(y), minlength=n_states) / len(y) + 1e-10 for y in (a, b))
             mid = (p + q) / 2
             js = 0.5 * (p * np.log(p / mid)).sum() + 0.5 * (q * np.log(q / mid)).sum()

@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
@@ -83,6 +83,18 @@ def top(cycles_: DataFrame, k: int = 10) -> DataFrame:
     return cycles_.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _lines(rows: DataFrame, order: str, line: Column) -> DataFrame:
+    """entity and text: a line for each row, in order."""
+    told = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), line.alias("_l"))))
+    return rows.groupBy(KEY).agg(F.array_join(F.transform(told, lambda r: r["_l"]), "\n").alias("text"))
+
+
+def summary(cycles_: DataFrame, k: int = 5) -> DataFrame:
+    """entity and text: the strongest cycles, a line each."""
+    line = F.format_string("%d. %s: %.1f days, strength %.3f, confidence %.0f %%", "rank", "category", "period_days", "strength", 100 * F.col("confidence"))
+    return _lines(top(cycles_, k), "rank", line)
+
+
 def decompose(series: DataFrame, period: int = 21) -> DataFrame:
     """Additive trend, seasonal and residual: a centred moving average (its ends by a line through the `period` nearest trend points), and centred means of each phase."""
     h = period // 2

@@ -67,6 +67,28 @@ def detect_cycles(spark, d):
     return c.select("entity", F.round("period_days", 6).alias("period_days"), F.round("strength", 6).alias("strength"), F.round("confidence", 6).alias("confidence"), F.round("frequency", 9).alias("frequency"), "category")
 
 
+@query(f"WITH {SEGMENTS}, {_DETREND}, {_SPEC}, {_PEAKS} SELECT entity, string_agg(printf('%d. %s: %.1f days, strength %.3f, confidence %.0f %%', rank, {_CAT}, period_days, strength, 100 * confidence), chr(10) ORDER BY rank) AS text FROM cyc WHERE rank <= 5 GROUP BY 1")
+def cycle_summary(spark, d):
+    return SP.summary(_cycles(spark, d))
+
+
+@query(
+    f"""WITH {MARKET}, th AS (SELECT entity, idx, volume, ntile(3) OVER (PARTITION BY entity ORDER BY volume, idx) - 1 AS state, coalesce(close / nullif(lag(close) OVER (PARTITION BY entity ORDER BY idx), 0) - 1, 0) AS ret FROM market),
+ g AS (SELECT entity, state, avg(ret) AS m, stddev_pop(ret) AS s, count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY entity) AS f FROM th GROUP BY 1, 2) SELECT entity, string_agg(printf('%d. return %.2f %%, volatility %.2f %%, %.1f %% of days', state, 100 * m, 100 * s, 100 * f), chr(10) ORDER BY state) AS text FROM g GROUP BY 1"""
+)
+def regime_summary(spark, d):
+    """What is said of states that are given: the thirds of the days by volume."""
+    third = (F.ntile(3).over(Window.partitionBy("entity").orderBy("volume", "idx")) - 1).cast("int")
+    rows = H.features(market(spark, d)).drop("volume").join(market(spark, d).select("entity", "idx", "volume"), ["entity", "idx"])
+    return H.summary(H.profiles(rows.withColumn("state", third).withColumn("transitions", F.array(F.lit(0.5), F.lit(0.5), F.lit(0.5)))))
+
+
+@query(Q.MATCH_SUMMARY)
+def match_summary(spark, d):
+    s, m = panel(spark, d), _matches(spark, d)
+    return M.summary(m, M.outcomes(s, m, horizons=(30,)))
+
+
 @query(f"WITH {SEGMENTS}, {_DETREND}, {_SPEC}, {_PEAKS} SELECT entity, CAST(rank AS INTEGER) AS rank, round(period_days, 6) AS period_days, round(strength, 6) AS strength, round(confidence, 6) AS confidence, {_CAT} AS category FROM cyc WHERE rank <= 10")
 def top_cycles(spark, d):
     return rounded(SP.top(_cycles(spark, d)).select("entity", "rank", "period_days", "strength", "confidence", "category"))
@@ -181,7 +203,7 @@ def perm_separation(spark, d):
 
 @query()
 def ts_cv(spark, d):
-    return H.cross_validate(H.features(market(spark, d)), 2, 3)
+    return H.cross_validate(H.features(market(spark, d)), 4, 5)
 
 
 def _matches(spark, d):
@@ -434,10 +456,12 @@ def anomaly_score(spark, d):
 
 
 def _insights(spark, d):
-    s = panel(spark, d).withColumn("value", F.col("value") / 1e5)
-    bars = panel(spark, d).select("entity", "idx", F.col("value").alias("close"), F.col("value").alias("volume"))
-    cy, st = SP.cycles(s, 0.1, 0.55), H.states(H.features(bars.withColumn("close", F.col("close") + 1e6)), 4, 1000)
-    pr, cu, ma = H.profiles(st), H.current(st), M.find(s, threshold=0.2)
+    stage = Stages(spark)  # what several models read is made once
+    p = stage(panel(spark, d))
+    s = p.withColumn("value", F.col("value") / 1e5)
+    bars = p.select("entity", "idx", F.col("value").alias("close"), F.col("value").alias("volume"))
+    cy, st = stage(SP.cycles(s, 0.1, 0.55)), stage(H.states(H.features(bars.withColumn("close", F.col("close") + 1e6)), 4, 1000))
+    pr, cu, ma = H.profiles(st), H.current(st), stage(M.find(s, threshold=0.2))
     pd_ = M.predict(ma, M.outcomes(s, ma, horizons=(30,)))
     fc = SP.forecast(s, cy)
     best = cy.groupBy("entity").agg(F.max("confidence").alias("confidence"))
@@ -507,6 +531,32 @@ def validate_series(spark, d):
     return V.series(market(spark, d).withColumn("value", F.col("close"))).select("entity", "n", "is_valid", F.col("longest_gap").cast("long").alias("longest_gap"))
 
 
+_HOLED = "ho AS (SELECT entity, ts, idx, CASE WHEN idx % 17 = 3 OR idx < 2 THEN NULL WHEN idx % 31 = 5 THEN 'NaN'::DOUBLE WHEN idx % 97 = 11 THEN 'Infinity'::DOUBLE WHEN idx % 101 = 12 THEN '-Infinity'::DOUBLE ELSE value END AS v FROM panel)"
+
+
+def _holed(spark, d):
+    """The panel with missing, odd and infinite values."""
+    i, x = F.col("idx"), lambda v: F.lit(float(v))
+    value = F.when((i % 17 == 3) | (i < 2), None).when(i % 31 == 5, x("nan")).when(i % 97 == 11, x("inf")).when(i % 101 == 12, x("-inf")).otherwise(F.col("value"))
+    return panel(spark, d).withColumn("value", value)
+
+
+@query(
+    f"""WITH {PANEL}, {_HOLED}, fi AS (SELECT *, v IS NULL OR isnan(v) AS hole, CASE WHEN v IS NOT NULL AND NOT isnan(v) THEN v END AS k FROM ho),
+ fl AS (SELECT *, coalesce(k, last_value(k IGNORE NULLS) OVER (PARTITION BY entity ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(k IGNORE NULLS) OVER (PARTITION BY entity ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS f,
+  min(CASE WHEN isfinite(k) THEN k END) OVER (PARTITION BY entity) AS lo, max(CASE WHEN isfinite(k) THEN k END) OVER (PARTITION BY entity) AS hi FROM fi)
+ SELECT entity, idx, round(CASE WHEN NOT isinf(f) THEN f WHEN f > 0 THEN hi ELSE lo END, 4) AS value, CASE WHEN hole THEN 'filled' WHEN isinf(v) THEN 'clipped' END AS was FROM fl"""
+)
+def validate_repaired(spark, d):
+    """Series with holes and infinities, as `validated` hands them on."""
+    return rounded(V.repaired(_holed(spark, d)).select("entity", "idx", "value", "was"), 4)
+
+
+@query(f"WITH {PANEL}, {_HOLED} SELECT entity, count(*) AS n, count(*) FILTER (WHERE v IS NULL OR isnan(v)) AS holes, count(*) FILTER (WHERE isinf(v)) AS infinite, count(*) FILTER (WHERE v IS NULL OR isnan(v)) < 0.1 * count(*) AS is_valid FROM ho GROUP BY 1")
+def quick_validate(spark, d):
+    return V.quick(_holed(spark, d), raise_on_error=False).select("entity", "n", "holes", "infinite", "is_valid")
+
+
 @query(f"WITH {PANEL}, g AS (SELECT *, lag(value) OVER (PARTITION BY entity ORDER BY idx) AS b FROM panel) SELECT entity, count(*) AS n, count(*) FILTER (WHERE value <= 0) AS negative, round(avg(CASE WHEN value - b = 0 THEN 1.0 WHEN b IS NULL THEN NULL ELSE 0.0 END), 6) AS stale, count(*) FILTER (WHERE abs(value / nullif(b, 0) - 1) > 0.5) AS jumps FROM g GROUP BY 1")
 def validate_prices(spark, d):
     return rounded(V.prices(panel(spark, d)).select("entity", "n", "negative", "stale", "jumps"))

@@ -73,6 +73,9 @@ DTW_PREDICT = f"""WITH RECURSIVE {PANEL}, {_MATCHES}, r AS (SELECT entity, idx,
  o AS (SELECT ma.entity, ma.start, any_value(similarity) AS s, sum(r) AS total FROM ma JOIN r ON r.entity = ma.entity AND r.idx >= ma.start + 30 AND r.idx < ma.start + 60 GROUP BY 1, 2),
  g AS (SELECT entity, count(*) AS n, sum(total * s) / sum(s) AS predicted, 0.3 * least(count(*) / 10.0, 1) + 0.4 / (1 + stddev_pop(total)) AS steady, avg(s) AS sim FROM o GROUP BY 1)
  SELECT entity, n, round(predicted, 6) AS predicted, round(steady + 0.3 / n, 6) AS confidence, round(steady + 0.3 * sim, 6) AS confidence_by_similarity FROM g"""
+MATCH_SUMMARY = f"""WITH RECURSIVE {PANEL}, {_MATCHES}, r AS (SELECT entity, idx, coalesce(value / nullif(lag(value) OVER (PARTITION BY entity ORDER BY idx), 0) - 1, 0) AS r FROM panel),
+ o AS (SELECT ma.entity, ma.start, any_value(similarity) AS s, sum(r) AS total FROM ma JOIN r ON r.entity = ma.entity AND r.idx >= ma.start + 30 AND r.idx < ma.start + 60 GROUP BY 1, 2)
+ SELECT entity, printf('%d matches, %.0f %% alike at best; within 30 rows %.0f %% of them rose', count(*), 100 * max(s), 100.0 * count(*) FILTER (WHERE total > 0) / count(*)) AS text FROM o GROUP BY 1"""
 OUTCOME = f"""WITH RECURSIVE {PANEL}, {_MATCHES}, r AS (SELECT entity, idx, coalesce(value / nullif(lag(value) OVER (PARTITION BY entity ORDER BY idx), 0) - 1, 0) AS r FROM panel),
  j AS (SELECT ma.entity, ma.start, h.horizon, r.idx, r.r FROM ma CROSS JOIN (SELECT unnest([30, 90]) AS horizon) h JOIN r ON r.entity = ma.entity AND r.idx >= ma.start + 30 AND r.idx < ma.start + 30 + h.horizon),
  c AS (SELECT *, exp(sum(ln(greatest(1 + r, 1e-12))) OVER (PARTITION BY entity, start, horizon ORDER BY idx)) AS c FROM j), k AS (SELECT *, max(c) OVER (PARTITION BY entity, start, horizon ORDER BY idx) AS m FROM c)
