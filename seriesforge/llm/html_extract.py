@@ -470,8 +470,8 @@ def _hash(text: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-BLOCK = pa.struct([("slot", pa.int32()), ("branch", pa.int32()), ("text", pa.string()), ("drop", pa.bool_()), ("own", pa.bool_()), ("linked", pa.bool_()), ("record", pa.int64()), ("head", pa.bool_())])
-READ = "host string, page_id long, url string, page long, kind int, blocks array<struct<slot:int,branch:int,text:string,drop:boolean,own:boolean,linked:boolean,record:bigint,head:boolean>>"
+BLOCK = pa.struct([("slot", pa.int32()), ("branch", pa.int32()), ("text", pa.string()), ("drop", pa.bool_()), ("own", pa.bool_()), ("linked", pa.bool_()), ("record", pa.int32()), ("head", pa.bool_())])
+READ = "host string, page_id long, url string, page long, kind int, blocks array<struct<slot:int,branch:int,text:string,drop:boolean,own:boolean,linked:boolean,record:int,head:boolean>>"
 
 
 def _blocks(tree: Node, slots: dict[int, int]) -> tuple[list[dict], int]:
@@ -490,7 +490,7 @@ def _blocks(tree: Node, slots: dict[int, int]) -> tuple[list[dict], int]:
         key, head = 0, False
         if at >= 0:  # its kind: where it hangs in the reference, and its label
             above = next((slots[id(n)] for n in reversed(path[:at]) if id(n) in slots), -1)
-            key, head = _hash(f"{above} {path[at].label}"), id(path[at]) not in begun
+            key, head = _hash(f"{above} {path[at].label}") % (1 << 31) or 1, id(path[at]) not in begun
             begun.add(id(path[at]))
         out.append({"slot": known, "branch": branch, "text": text, "drop": drop, "own": mine, "linked": linked, "record": key, "head": head})
     return out, kind
@@ -599,9 +599,12 @@ def extract_text(pages: DataFrame) -> DataFrame:
 
     every = read.select("host", "page", "kind", F.explode("blocks").alias("b"))
     named = F.col("b.own") & (F.col("kind") == 2)
-    block = every.where("b.slot >= 0").select("host", "page", "b.slot", "b.branch", F.xxhash64("b.text").alias("words"), F.length("b.text").alias("n"), named.alias("named"), (F.col("b.record") != 0).alias("record"))
-    once = block.groupBy("host", "slot", "branch", "words", "page").agg(F.max("n").alias("n"), F.max("named").alias("named"), F.min("record").alias("record"))
-    texts = once.groupBy("host", "slot", "branch", "words").agg(F.count("*").alias("pages"), F.max("n").alias("n"), F.max("named").alias("named"), F.min("record").alias("record"))
+    # in one number: the text's length, whether some page has it in its own article, and whether some page has it outside of records
+    mark = F.length("b.text").cast("long") * 4 + named.cast("long") * 2 + (F.col("b.record") == 0).cast("long")
+    block = every.where("b.slot >= 0").select("host", "page", "b.slot", "b.branch", F.xxhash64("b.text").alias("words"), mark.alias("mark"))
+    once = block.groupBy("host", "slot", "branch", "words", "page").agg(F.bit_or("mark").alias("mark"))
+    texts = once.groupBy("host", "slot", "branch", "words").agg(F.count("*").alias("pages"), F.bit_or("mark").alias("mark"))
+    texts = texts.select("host", "slot", "branch", "words", "pages", F.shiftright("mark", 2).alias("n"), (F.col("mark").bitwiseAND(2) > 0).alias("named"), (F.col("mark").bitwiseAND(1) == 0).alias("record"))
     reach = C.stage(block.select("host", "branch", "page").distinct().groupBy("host", "branch").agg(F.count("*").alias("all")), "reach")
     if reach.agg(F.coalesce(F.sum(F.octet_length("host") + 32), F.lit(0))).first()[0] <= BROADCAST:  # a join would gather a large host's texts
         reach = F.broadcast(reach)
@@ -619,7 +622,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
     listed = listed.groupBy("host").agg(F.collect_list("record").alias("records"))
     kind = "array<struct<slot:int,words:bigint>>"
     known = first.join(slots, "host", "left").join(template, "host", "left").join(listed, "host", "left")
-    wrappers = C.stage(known.mapInArrow(_wrap, f"host string, template {kind}, records array<bigint>, lo int, hi int, main boolean"), "wrappers")
+    wrappers = C.stage(known.mapInArrow(_wrap, f"host string, template {kind}, records array<int>, lo int, hi int, main boolean"), "wrappers")
     small = wrappers.agg(F.coalesce(F.sum(F.coalesce(F.size("template"), F.lit(0)) * 16 + F.coalesce(F.size("records"), F.lit(0)) * 8 + F.octet_length("host") + 64), F.lit(0))).first()[0] <= BROADCAST
     met = read.join(F.broadcast(wrappers), "host", "left") if small else _by_host(read, wrappers, ["page_id", "page"])
     return met.select("page_id", "url", "blocks", "kind", "lo", "hi", "main", "template", "records").mapInArrow(_write, "page_id long, url string, text string")
