@@ -225,9 +225,11 @@ def eigenvector_centrality(net: DataFrame, rounds: int = 1000, tolerance: float
         return both.select(F.col("a").alias(KEY), F.col("weight").alias("centrality"))
     shift = degree / 2 or 1.0
     v = known = both.select(F.col("a").alias(KEY)).distinct().withColumn("x", F.lit(1.0)).checkpoint()
+    loops = known.select(F.col(KEY).alias("a"), F.col(KEY).alias("b"), F.lit(shift).alias("weight"))
+    links = both.unionByName(loops).checkpoint()  # the shift as loops: a round reads the values once, so plans don't double
     for i in range(1, rounds + 1):
-        y = both.join(v, both.b == v[KEY]).groupBy("a").agg(F.sum(F.col("weight") * F.col("x")).alias("y"))
-        v = y.join(v.withColumnRenamed(KEY, "a"), "a").select(F.col("a").alias(KEY), ((F.col("y") + shift * F.col("x")) / (2 * shift)).alias("x"))
+        y = links.join(v, links.b == v[KEY]).groupBy("a").agg(F.sum(F.col("weight") * F.col("x")).alias("y"))
+        v = y.select(F.col("a").alias(KEY), (F.col("y") / (2 * shift)).alias("x"))
         if i % every == 0 or i == rounds:
             v = v.checkpoint()
             norm = v.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0]

@@ -397,9 +397,9 @@ def path_lengths(spark, d):
 NATIONS = PANEL.replace("SELECT o_orderpriority AS entity", "SELECT n_name AS entity").replace("FROM orders GROUP", "FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP")
 
 
-@query(Q.clusters(NATIONS, 0.09))
+@query(Q.clusters(NATIONS, 0.04))
 def nation_clusters(spark, d):
-    return rounded(CO.clusters(CO.edges(nations(spark, d)), Stages(spark), 0.09))
+    return rounded(CO.clusters(CO.edges(nations(spark, d)), Stages(spark), 0.04))
 
 
 @query(Q.part_paths(NATIONS, 0.04))
