@@ -56,3 +56,24 @@ def test_each_replica_has_each_row_once(spark):
     df = spark.createDataFrame([("a", i) for i in range(7)], "entity string, idx long")
     n = P.shuffled(df, 5).groupBy("replica").agg(F.count_distinct("place").alias("p"), F.count_distinct("idx").alias("i")).collect()
     assert len(n) == 6 and all(r.p == r.i == 7 for r in n)
+
+
+def test_replicas_take_part_in_no_join(spark):
+    r = np.random.default_rng(3)
+    df = spark.createDataFrame([(e, i, float(r.normal()), i % 3) for e in "ab" for i in range(60)], "entity string, idx long, ret double, state int")
+
+    def final_plan(found):
+        found.collect()
+        return found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+    parted = final_plan(P.separation(df, n=40))
+    assert "Join" not in parted and "Broadcast" not in parted
+    periods = df.select("entity", F.lit(7.0).alias("period_days")).distinct()
+    cycles = final_plan(P.cycle_significance(df.withColumnRenamed("ret", "value"), periods, 40))
+    assert cycles.rindex("explode(sequence(") < cycles.index("Join")  # a plan names what comes first last
+
+
+def test_replicas_of_one_entity_are_dealt_out(spark):
+    df = spark.createDataFrame([("a", i, float(i)) for i in range(20)], "entity string, idx long, v double").repartition("entity")
+    where = P.shuffled(df, 200).select("replica", F.spark_partition_id().alias("task")).distinct().collect()
+    assert len(where) == 201 and len({x.task for x in where}) > 1
