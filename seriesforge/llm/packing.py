@@ -26,6 +26,7 @@ for itself; null ids rank first. Other columns are ignored.
 from __future__ import annotations
 
 import functools
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -40,13 +41,50 @@ UNIT = 4
 GAP = 5e-4
 BUCKETS = 256
 ROUNDS = 3000
-CACHED = 400_000
+CACHED = 700_000
+#: Characters of a unit of text that is kept.
+LONGEST = 128
 #: How the vocabulary's own tokenizer splits a text into pieces that are merged separately.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: How byte-level vocabularies spell bytes: printable ones of Latin-1 as they are, the others by characters from U+0100 on.
+PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+SPELT = dict(zip([*PRINTED, *(b for b in range(256) if b not in PRINTED)], [*PRINTED, *range(256, 512 - len(PRINTED))], strict=True))
+
+
+class _Pieces(dict):
+    """The ids of pieces, each merged by the vocabulary's model when it is first asked for."""
+
+    def __init__(self, merged):
+        self.merged = merged
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = [t.id for t in self.merged(piece.encode().decode("latin-1").translate(SPELT))]
+        self[piece] = made = struct.pack(f"<{len(ids)}I", *ids)
+        return made
+
+
+class _Units(dict):
+    """The ids of units of text by those of their pieces. A unit follows a blank that isn't in it, or begins with a line end; other white space at its ends, where its pieces could depend on what is around it, is a KeyError, and so is great length."""
+
+    def __init__(self, by_pieces):
+        self.by_pieces = by_pieces
+
+    def __missing__(self, unit: str) -> bytes:
+        inner = unit[unit[:1] == "\n" :]
+        if not 0 < len(inner) <= LONGEST or inner[0].isspace() or inner[-1].isspace():
+            raise KeyError(unit)
+        self[unit] = made = self.by_pieces(unit if unit[0] == "\n" else f" {unit}")
+        return made
 
 
 class _Tokens:
-    """The ids of texts; each distinct piece of text is encoded once in a worker, in a cache of bounded size."""
+    """The ids of texts by a byte-level vocabulary; what was encoded once is kept in a worker, in caches of bounded size.
+
+    Texts are cut before single blanks and line ends that stand between other
+    characters: no piece of the vocabulary's pattern spans such a place, so a unit
+    (a word with its punctuation) has the same ids everywhere. A text with other
+    white space at such a place is split into pieces as a whole.
+    """
 
     def __init__(self, path: str):
         import os
@@ -59,39 +97,34 @@ class _Tokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.find = regex.compile(SPLIT).findall
-        self.cache: dict[str, bytes] = {}
-        self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, words: list[str]) -> None:
-        """Encodes pieces without line ends together, a line each: a line end is a piece and a token of its own."""
-        ids = np.array(self.tokenizer.encode("\n".join(words), add_special_tokens=False).ids, "<u4")
-        cuts = np.flatnonzero(ids == self.line_end)
-        if len(cuts) != len(words) - 1:  # some line end was no token of its own
-            self.cache.update((w, self._ids(w)) for w in words)
-            return
-        raw, edges = ids.tobytes(), [-1, *cuts.tolist(), len(ids)]
-        for w, lo, hi in zip(words, edges[:-1], edges[1:], strict=True):
-            self.cache[w] = raw[4 * lo + 4 : 4 * hi]
+        self.pieces = _Pieces(self.tokenizer.model.tokenize)
+        self.units = _Units(self._by_pieces)
+        self.line_end = len(self.pieces["\n"])
+
+    def _by_pieces(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.find(text)))
+
+    def _one(self, text: str) -> bytes:
+        if any(s in text for s in self.special):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        try:
+            return b"".join(map(self.units.__getitem__, _cut(text)))[self.line_end :]
+        except KeyError:
+            return self._by_pieces(text)
 
     def of(self, texts: list[str]) -> list[bytes]:
         """Of each text its ids as little-endian 32-bit numbers."""
-        odd = [any(s in t for s in self.special) for t in texts]
-        found = [[] if o else self.find(t) for t, o in zip(texts, odd, strict=True)]
-        words = set().union(*found) if found else set()
-        todo = [w for w in words if w not in self.cache]
-        if len(self.cache) + len(todo) > CACHED:  # what this slice needs stays
-            self.cache = {w: self.cache[w] for w in words if w in self.cache}
-        plain = [w for w in todo if "\n" not in w and not w.isspace()]
-        for lo in range(0, len(plain), 5_000):
-            self._learn(plain[lo : lo + 5_000])
-        for w in todo:
-            if w not in self.cache:
-                self.cache[w] = self._ids(w)
-        cache = self.cache
-        return [self._ids(t) if o else b"".join([cache[w] for w in ws]) for t, o, ws in zip(texts, odd, found, strict=True)]
+        for cache, cut in ((self.units, _cut), (self.pieces, self.find)):
+            if len(cache) > CACHED:  # what these texts need stays
+                kept = {w: cache[w] for w in set().union(*map(cut, texts)) if w in cache}
+                cache.clear()
+                cache.update(kept)
+        return [self._one(t) for t in texts]
+
+
+def _cut(text: str) -> list[str]:
+    """A text's units; a line end is put in front, so that the first is like others."""
+    return f"\n{text}".replace("\n", " \n").split(" ")[1:]
 
 
 @functools.cache

@@ -73,3 +73,29 @@ def test_same_ids_as_whole_text_encoding():
     texts = ["".join(chr(r.choice([32, 10, 9, r.randint(33, 126), r.randint(160, 1200), 0x3000, 0x1F600])) for _ in range(300)) for _ in range(60)]
     for text, got in zip(texts, mine.of(texts), strict=True):
         assert np.frombuffer(got, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_known_words_are_not_split_again():
+    mine = K._Tokens(PATH)
+    texts = ["It's one line, don't you know;\nand 'another' one.", "and one line, don't 'another' one."]
+    first = mine.of(texts)
+
+    def split(text):
+        raise AssertionError(f"split again: {text}")
+
+    mine.find = split
+    assert mine.of(texts) == first
+
+
+def test_white_space_of_all_kinds_around_words(monkeypatch):
+    t = Tokenizer.from_file(PATH)
+    r = random.Random(4)
+    parts = [" ", "\n", "  ", "\n\n", " \n", "\n ", "\t", "\r\n", "\x1c", "\x85", "\xa0", " ", "　", "a", "word", "'s", "don't", "12", ".", "ÿ", "中文", "x" * 200, "<|endoftext|>"]
+    texts = ["", " ", "\n", "\n\n", " a", "a ", "\na", "a\n", "a\n b", "a \nb", "a\n\nb", "a  b", "a   b", " 's", "a\t b", "a \t \tb", "a\xa0 \xa0b"]
+    texts += ["".join(r.choice(parts) for _ in range(r.choice([2, 3, 5, 9, 40]))) for _ in range(4000)]
+    want = [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    mine = K._Tokens(PATH)
+    assert mine.of(texts) == want
+    monkeypatch.setattr(K, "CACHED", 50)
+    assert [ids for lo in range(0, len(texts), 10) for ids in mine.of(texts[lo : lo + 10])] == want
+    assert len(mine.units) < 600 and len(mine.pieces) < 600
