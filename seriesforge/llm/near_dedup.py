@@ -356,52 +356,56 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     signed = C.stage(texts.mapInArrow(functools.partial(_sign, shingle), SIGNED), "registers")
     known = signed.where("doc_id is not null and n_shingles > 0")
     classes = C.stage(known.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("leader"), F.count("*").alias("copies")), "classes")
-    leaders = known.join(classes.select(F.col("leader").alias("doc_id")), "doc_id", "left_semi")
+    leaders = C.joined(known, classes.select(F.col("leader").alias("doc_id")), "doc_id", "left_semi")
     bands = leaders.select("doc_id", "small", "large").mapInArrow(_bands, "band long, doc_id long").repartition("band")
     buckets = bands.groupBy("band").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("band", "first")
-    shared = C.stage(bands.join(buckets, "band"), "buckets")
+    shared = C.stage(C.joined(bands, buckets, "band"), "buckets")
 
     registers = known.select("doc_id", F.col("n_shingles").alias("n"), "small", "large")
-    sets = C.stage(texts.join(shared.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(functools.partial(_sets, shingle), "doc_id long, shingles binary"), "sets")
+    sets = C.stage(C.joined(texts, shared.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(functools.partial(_sets, shingle), "doc_id long, shingles binary"), "sets")
 
     load = shared.groupBy("band").agg(F.count("*").alias("full"))
-    central = shared.join(load, "band").groupBy("doc_id").agg(F.sum("full").alias("weight"))
-    weighed = C.stage(shared.join(central, "doc_id"), "weighed")
+    central = C.joined(shared, load, "band").groupBy("doc_id").agg(F.sum("full").alias("weight"))
+    weighed = C.stage(C.joined(shared, central, "doc_id"), "weighed")
     hubs = weighed.groupBy("band").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("neg"))).alias("hub"))
-    met = weighed.join(hubs, "band")
+    met = C.joined(weighed, hubs, "band")
     hub = -F.max(F.when(-F.col("hub.neg") != F.col("doc_id"), F.col("hub")))["neg"]
     partners = met.groupBy("doc_id").agg(F.min("first").alias("x"), hub.alias("y")).select("doc_id", F.explode(F.array_distinct(F.array("x", "y"))).alias("z")).where("z is not null and z != doc_id")
     near = partners.select(F.least("doc_id", "z").alias("a"), F.greatest("doc_id", "z").alias("b")).distinct()
     a, b = (registers.toDF(x, n, f"small_{x}", f"large_{x}") for x, n in (("a", "n"), ("b", "m")))
-    sized = near.join(a, "a").join(b, "b").where(F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)"))
+    sized = C.joined(C.joined(near, a, "a"), b, "b").where(F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)"))
     likely = C.stage(sized.mapInArrow(functools.partial(_screen, percent / 100 - MARGIN), "a long, b long"), "likely")
-    full = likely.join(sets.toDF("a", "shingles_a"), "a").join(sets.toDF("b", "shingles_b"), "b")
+    full = C.joined(C.joined(likely, sets.toDF("a", "shingles_a"), "a"), sets.toDF("b", "shingles_b"), "b")
     found = C.stage(full.mapInArrow(functools.partial(_confirm, percent), "a long, b long").distinct(), "links")
     joined = components(found)
 
     # families: documents of buckets that hold several components
-    placed = met.select("band", "doc_id", (-F.col("hub.neg")).alias("hub")).join(joined, "doc_id", "left").select("band", "doc_id", "hub", F.coalesce("component", "doc_id").alias("component"))
+    placed = C.joined(met.select("band", "doc_id", (-F.col("hub.neg")).alias("hub")), joined, "doc_id", "left").select("band", "doc_id", "hub", F.coalesce("component", "doc_id").alias("component"))
     mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
-    mixed = C.stage(placed.join(mixed, "band").select("doc_id", "hub", "component").distinct(), "mixed")
+    mixed = C.stage(C.joined(placed, mixed, "band").select("doc_id", "hub", "component").distinct(), "mixed")
     families = components(mixed.select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("component", "family")
-    kin = mixed.select("doc_id", "component").distinct().join(families, "doc_id", "left").withColumn("family", F.coalesce("family", "doc_id"))
+    kin = C.joined(mixed.select("doc_id", "component").distinct(), families, "doc_id", "left").withColumn("family", F.coalesce("family", "doc_id"))
     kin = C.stage(kin, "kin")
     sizes = kin.groupBy("family", "component").agg(F.count("*").alias("n"))
     sizes = sizes.groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("strays")).where("strays > 0")
     parts = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
-    dealt = kin.join(sizes.select("family", "main", parts("all").alias("m"), parts("strays").alias("s")), "family")
+    sizes = C.stage(sizes.select("family", "main", parts("all").alias("m"), parts("strays").alias("s")), "sizes")
+    dealt = C.joined(C.joined(C.joined(kin, sizes, "family"), registers, "doc_id"), sets, "doc_id")
     chunk = lambda c, seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col(c)).cast("int")
-    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    stray = dealt.where("component != main").select("family", "doc_id", "component", F.lit(True).alias("stray"), chunk("s", 1).alias("sp"), "m").withColumn("mp", every("m")).drop("m")
-    whole = dealt.select("family", "doc_id", "component", F.lit(False).alias("stray"), chunk("m", 2).alias("mp"), "s").withColumn("sp", every("s")).drop("s")
-    blocks = stray.unionByName(whole).join(registers, "doc_id").join(sets, "doc_id").select("family", "sp", "mp", "stray", "doc_id", "component", "n", "small", "large", "shingles")
+    every = lambda c, place: F.transform(F.sequence(F.lit(0), F.col(c) - 1), place)
+    place = lambda sp, mp, stray: F.struct(sp.alias("sp"), mp.alias("mp"), F.lit(stray).alias("stray"))
+    whole = every("s", lambda sp: place(sp, F.col("mo"), False))
+    stray = F.when(F.col("component") != F.col("main"), every("m", lambda mp: place(F.col("so"), mp, True))).otherwise(F.array().cast("array<struct<sp: int, mp: int, stray: boolean>>"))
+    # the last step before the shuffle: no copy takes part in a join
+    copies = dealt.withColumns({"so": chunk("s", 1), "mo": chunk("m", 2)}).withColumn("at", F.explode(F.concat(whole, stray)))
+    blocks = copies.select("family", "at.sp", "at.mp", "at.stray", "doc_id", "component", "n", "small", "large", "shingles")
     keys = ["family", "sp", "mp"]
     more = blocks.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(functools.partial(_blocks, percent), "a long, b long")
     more = C.stage(more, "more")
     joined = components(found.unionByName(more)) if more.limit(1).count() else joined
 
-    member = classes.join(joined.withColumnRenamed("doc_id", "leader"), "leader", "left").select("k1", "k2", "n_shingles", F.coalesce("component", "leader").alias("component_id"))
+    member = C.joined(classes, joined.withColumnRenamed("doc_id", "leader"), "leader", "left").select("k1", "k2", "n_shingles", F.coalesce("component", "leader").alias("component_id"))
     member = C.stage(member, "members")
-    out = signed.select("doc_id", "n_shingles", "k1", "k2").join(member, ["k1", "k2", "n_shingles"], "left")
+    out = C.joined(signed.select("doc_id", "n_shingles", "k1", "k2"), member, ["k1", "k2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -92,3 +92,20 @@ def test_estimate_is_close():
     assert abs(N.similarity(x, y, np.array([1000.0]), np.array([1000.0]))[0] - 900 / 1100) < 0.1
     assert N.compress(np.array([0, 1 << 63, (1 << 64) - 1], np.uint64)).tolist() == [53 << 10, 0, 1023]
     assert C.mix(np.array([1], np.uint64)).dtype == np.uint64
+
+
+def test_no_join_sends_rows_through_the_driver(spark):
+    """Many texts that share one line alone: they meet in buckets, are no copies, and each is dealt out to many blocks."""
+    r = random.Random(4)
+    line = " ".join(f"common{i}" for i in range(12))
+    rows = [(i, f"{line}\n" + " ".join(f"w{r.randint(0, 10**6)}" for _ in range(14))) for i in range(300)]
+    rows += [(1000 + i, f"{text} more") for i, (_, text) in enumerate(rows[:40])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in N.near_duplicates(df, 2).collect()}
+    spark._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    ran = store.executionsList(before, 1000)
+    plans = [ran.apply(i).physicalPlanDescription() for i in range(ran.size())]
+    assert got == brute(rows, 2) and len({c for _, c in got.values()}) == 300
+    assert len(plans) > 10 and any("SortMergeJoin" in x for x in plans) and not [x for x in plans if "BroadcastExchange" in x]
