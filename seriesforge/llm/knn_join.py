op9_knn_join: vectors are sent once to a bundle of query groups

Symptom: op9_knn_join took far more CPU for each GB than scoring its vectors needs, and its shuffle was 31 times the input, growing faster than the input.
Evidence: 575 of the 648 MB shuffled were packed chunks of vectors copied to every open group of queries, and each chunk went to Python again for each block of the group; the event log shows the two stages that write and read the copies with most of the time. Vectors were also checked, merged by id and placed in cells anew for each of their uses.
Fix: groups of queries share bundles and the rows of the cells are cut into parts, 8 MB of vectors each; a row goes once to each bundle that has a group which its cell may serve, a block of queries once to each part of such cells, and the two meet in a cogroup. The valid vectors and the placed vectors are each written once between stages, as in the other operators. The binary packing of chunks is gone; pivots, bounds and scoring are as before.
Effect, together with 1 more commit on this code: at 0.6 GB of input CPU 504 -> 350 s, shuffle 1.13 -> 0.05 GB, spill 0.00 -> 0.00 GB, read 0.13 -> 0.11 GB, longest task 10 -> 6 s, most memory of a task 39 -> 102 MB; at 6 GB of input CPU 2630 -> 718 s, shuffle 33.18 -> 0.62 GB, spill 3.82 -> 0.00 GB, read 1.28 -> 1.06 GB, longest task 148 -> 20 s, most memory of a task 974 -> 145 MB; with hot keys, at 0.6 GB of input CPU 358 -> 332 s, shuffle 0.85 -> 0.04 GB, spill 0.00 -> 0.00 GB, read 0.12 -> 0.10 GB, longest task 6 -> 5 s, most memory of a task 37 -> 102 MB.

@@ -10,13 +10,16 @@ candidates themselves, that is a lower bound of what the group needs.
 For a query q = a + u in the group of pivot a and a vector x = c + v in the
 cell of pivot c, q.x = a.c + a.v + u.c + u.v, at most a.c + |a| r_c + s_a |c| +
 s_a r_c with the cell's radius r_c and the group's s_a. Only cells that reach
-the group's bound are replicated to it. A block of queries and a chunk of a
-cell meet in one task, which skips the chunk if no query can gain from it, and
-scores it whole otherwise; a ranking keeps k.
+the group's bound meet it.
+
+Groups, in blocks of queries, are put in bundles, one after the other, and the
+rows of the cells in parts; a bundle or a part has MEET bytes of vectors. A row
+goes once to each bundle that has a group which its cell may serve, a block once
+to each part that has rows of such a cell, and there a cell's rows are scored
+for those queries that can gain from them; a ranking keeps k.
 
 Summaries and bounds are a few numbers for each of at most PIVOTS cells; only
-these reach the driver. A large cell is packed in several chunks, a large group
-in several blocks. Sums that could pass 2**53 are taken in 64-bit integers.
+these reach the driver. Sums that could pass 2**53 are taken in 64-bit integers.
 
 What takes no part and how repeated ids count is said in vectors.valid_vectors;
 here zero vectors do take part.
@@ -29,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -37,8 +40,8 @@ from . import vectors as V
 
 #: At most so many cells; the driver holds a few numbers for each pair of them.
 PIVOTS = 1024
-#: Chunks that one list of a block of queries covers, on average at most.
-COVERED = 64
+#: Bytes of vectors in a part, and in a bundle of queries, about: what of either side a task holds at once.
+MEET = 8 << 20
 
 
 def _inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -66,51 +69,44 @@ def _cells(scale: int, k: int, pivots: np.ndarray, pivot_ids: np.ndarray, batche
 
 
 @C.tidy
-def _pack(dim: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by cell: chunks of one cell each."""
-    for batch in batches:
-        cell = batch.column("cell").to_numpy()
-        cuts = np.unique(np.concatenate([[0], np.flatnonzero(np.diff(cell)) + 1, np.arange(0, len(cell), V.CHUNK), [len(cell)]]))
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            part = batch.slice(lo, hi - lo)
-            ids, x = part.column("vec_id").to_numpy(), V.matrix(part.column("embedding"), dim)
-            yield pa.record_batch([pa.array([int(cell[lo])], pa.int32()), pa.array([int(ids[0])]), pa.array([ids.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], names=["cell", "chunk", "ids", "vectors"])
+def _solve(k: int, pivots: np.ndarray, radius: np.ndarray, asked: pa.Table, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The k best rows of a part for each query of a bundle; those of a cell raise what further cells must reach."""
+    if not asked.num_rows or not rows.num_rows:
+        return
+    dim = pivots.shape[1]
+    q = V.matrix(asked.column("q_embedding").combine_chunks().flatten(), dim)
+    length = np.sqrt((q**2).sum(1))
+    floor = asked.column("q_kth").combine_chunks().flatten().to_numpy()
+    need = floor.copy()
+    held = V.Lists(asked.column("q_vec_id").combine_chunks().flatten().to_numpy(), k, np.iinfo(np.int64).max)
+    cell = rows.column("cell").to_numpy()
+    order = np.argsort(cell, kind="stable")
+    cell, ids, x = cell[order], rows.column("vec_id").to_numpy()[order], V.matrix(rows.column("embedding").combine_chunks(), dim)[order]
+    for c in np.unique(cell):
+        begin, end = np.searchsorted(cell, [c, c + 1])
+        for lo in range(begin, end, V.CHUNK):
+            hi = min(end, lo + V.CHUNK)
+            open_ = np.flatnonzero((q @ pivots[c] + length * radius[c]) * (1 + 1e-9) + 1 >= need)
+            for at in range(0, len(open_), 128):
+                some = open_[at : at + 128]
+                held.add(some, ids[lo:hi], -_inner(q[some], x[lo:hi]).astype(np.int64))
+            full = held.scores[:, -1] != held.worst
+            need = np.where(full, np.maximum(need, -held.scores[:, -1].astype(float)), need)
+    cols = held.rows(-held.scores >= floor[:, None])  # less than the pivots alone reach is never needed
+    yield pa.record_batch([pa.array(cols[0]), pa.array(cols[1]), pa.array(-cols[2])], names=["query_id", "vec_id", "score"])
 
 
-@C.tidy
-def _solve(k: int, pivots: np.ndarray, radius: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One block of queries after the other: its k best over the chunks seen, which raise what further chunks must reach."""
-    dim = pivots.shape[1]
-    held, key, q, need, floor = None, None, None, None, None
+def _runs(open_: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[tuple[int, int]]:
+    """The numbers from first to last of what is open, as runs of (lo, hi) that share none; first and last never fall."""
+    at = np.flatnonzero(open_)
+    lo, hi = first[at], last[at]
+    new = np.concatenate([[True], lo[1:] > hi[:-1] + 1])
+    return list(zip(lo[new].tolist(), hi[np.append(new[1:], True)].tolist(), strict=True))
 
-    def done() -> pa.RecordBatch:
-        cols = held.rows(-held.scores >= floor[:, None])  # less than the pivots alone reach is never needed
-        return pa.record_batch([pa.array(cols[0]), pa.array(cols[1]), pa.array(-cols[2])], names=["query_id", "vec_id", "score"])
 
-    for batch in batches:
-        for i in range(batch.num_rows):
-            row = batch.slice(i, 1)
-            if key != (new := tuple(row.column(c)[0].as_py() for c in ("grp", "block", "part"))):
-                if held:
-                    yield done()
-                held, key = V.Lists(np.asarray(row.column("q_vec_id")[0].values), k, np.iinfo(np.int64).max), new
-                q = np.asarray(row.column("q_embedding")[0].values.flatten()).reshape(-1, dim)
-                floor = np.asarray(row.column("q_kth")[0].values)
-                need = floor.copy()
-            cell = row.column("cell")[0].as_py()
-            reach = q @ pivots[cell] + np.sqrt((q**2).sum(1)) * radius[cell]
-            open_ = np.flatnonzero(reach * (1 + 1e-9) + 1 >= need)
-            if not len(open_):
-                continue
-            ids = np.frombuffer(row.column("ids")[0].as_buffer(), np.int64)
-            x = np.frombuffer(row.column("vectors")[0].as_buffer(), np.float64).reshape(-1, dim)
-            for lo in range(0, len(open_), 128):
-                rows = open_[lo : lo + 128]
-                held.add(rows, ids, -_inner(q[rows], x).astype(np.int64))
-            full = held.scores[:, -1] != held.worst
-            need = np.where(full, np.maximum(need, -held.scores[:, -1].astype(float)), need)
-    if held:
-        yield done()
+def _each(runs: str) -> Column:
+    """A row for each number of the runs."""
+    return F.explode(F.flatten(F.transform(runs, lambda r: F.sequence(r["lo"], r["hi"]))))
 
 
 def top_inner_products(vectors: DataFrame, queries, k: int = 5, scale: int = 256) -> DataFrame:
@@ -119,34 +115,41 @@ def top_inner_products(vectors: DataFrame, queries, k: int = 5, scale: int = 256
     v, dim = V.valid_vectors(vectors, zeros=True)
     if not dim:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    v = C.stage(v, "vectors")
     total = v.count()
     n = max(k + 1, min(PIVOTS, int(total**0.5) // 4))
     rows = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n).toArrow().combine_chunks()
     pivot_ids, pivots = rows.column("vec_id").to_numpy(), np.floor(scale * V.matrix(rows.column("embedding").combine_chunks(), dim))
-    placed = v.mapInArrow(functools.partial(_cells, scale, k, pivots, pivot_ids), "vec_id long, embedding array<double>, cell int, radius double, kth double")
+    placed = C.stage(v.mapInArrow(functools.partial(_cells, scale, k, pivots, pivot_ids), "vec_id long, embedding array<double>, cell int, radius double, kth double"), "placed")
     is_query = F.when(queries, True).otherwise(False)
     summary = placed.groupBy("cell", is_query.alias("q")).agg(F.count("*").alias("n"), F.max("radius").alias("radius"), F.min("kth").alias("kth")).collect()
-    count, radius, spread, bound = np.zeros(len(pivots)), np.zeros(len(pivots)), np.full(len(pivots), -1.0), np.zeros(len(pivots))
+    count, n_asked = np.zeros(len(pivots), np.int64), np.zeros(len(pivots), np.int64)
+    radius, spread, bound = np.zeros(len(pivots)), np.full(len(pivots), -1.0), np.zeros(len(pivots))
     for r in summary:
         count[r["cell"]] += r["n"]
         radius[r["cell"]] = max(radius[r["cell"]], r["radius"])
         if r["q"]:
-            spread[r["cell"]], bound[r["cell"]] = r["radius"], r["kth"]
+            n_asked[r["cell"]], spread[r["cell"]], bound[r["cell"]] = r["n"], r["radius"], r["kth"]
     size = np.sqrt((pivots**2).sum(1))
     reach = pivots @ pivots.T + np.outer(size, radius) + spread[:, None] * (size + radius)[None, :]
     open_ = (spread >= 0)[:, None] & (count > 0)[None, :] & (reach + 1 >= bound[:, None])
-    # of each group (at most PIVOTS) a row with its cells
-    pairs = [(g, np.flatnonzero(open_[g]).tolist()) for g in np.flatnonzero(spread >= 0).tolist()]
-    needed = spark.createDataFrame(pairs, "grp int, cells array<int>").select("grp", F.explode("cells").alias("cell"))
-
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")
-    chunks = placed.select("vec_id", "embedding", "cell").repartition("cell", F.floor(dealt / 4)).sortWithinPartitions("cell").mapInArrow(functools.partial(_pack, dim), "cell int, chunk long, ids binary, vectors binary")
-    asked = placed.where(queries).withColumnRenamed("cell", "grp")
-    sizes = asked.groupBy("grp").count().select("grp", F.ceil(F.col("count") / V.BLOCK).cast("int").alias("blocks"))
-    blocks = V.blocks_of(asked.join(sizes, "grp"), "blocks", ("grp",), ("kth",))
-    salts = max(2, -(-total // (COVERED * V.CHUNK)))
-    blocks = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    spread_chunks = chunks.withColumn("part", F.pmod(F.xxhash64("chunk"), F.lit(salts)).cast("int")).join(needed, "cell")
-    met = spread_chunks.join(blocks, ["grp", "part"])
-    return V.top(met.mapInArrow(functools.partial(_solve, k, pivots, radius), "query_id long, vec_id long, score long"), k, ascending=False)
+
+    # rows are numbered along the cells, queries along the groups; of each group (at most PIVOTS) the parts it needs, of each cell the bundles that need it
+    held = max(1, MEET // (8 * dim))
+    blocks, row, query = -(-n_asked // V.BLOCK), np.cumsum(count) - count, np.cumsum(n_asked) - n_asked
+    last_block = (blocks - 1) * n_asked // np.maximum(blocks, 1)
+    parts, bundles = (row // held, (row + count - 1) // held), (query // held, (query + last_block) // held)
+    groups = [(g, int(query[g]), int(n_asked[g]), int(blocks[g]), _runs(open_[g], *parts)) for g in np.flatnonzero(open_.any(1)).tolist()]
+    groups = F.broadcast(spark.createDataFrame(groups, "grp int, first long, n long, blocks int, parts array<struct<lo long, hi long>>"))
+    cells = [(c, int(row[c]), int(count[c]), _runs(open_[:, c], *bundles)) for c in np.flatnonzero(open_.any(0)).tolist()]
+    cells = F.broadcast(spark.createDataFrame(cells, "cell int, first long, n long, bundles array<struct<lo long, hi long>>"))
+
+    asked = placed.where(queries).withColumnRenamed("cell", "grp").join(groups, "grp")
+    asked = V.blocks_of(asked, "blocks", ("grp",), ("kth",)).join(groups, "grp")
+    asked = asked.select(F.expr(f"(first + block * n div blocks) div {held}").alias("bundle"), _each("parts").alias("part"), "q_vec_id", "q_embedding", "q_kth")
+    rows = placed.join(cells, "cell").withColumn("part", F.expr(f"(first + pmod(xxhash64(vec_id), n)) div {held}"))
+    rows = rows.select(_each("bundles").alias("bundle"), "part", "cell", "vec_id", "embedding")
+    found = pa.schema([(c, pa.int64()) for c in ("query_id", "vec_id", "score")])
+    solve = lambda asked, rows: pa.Table.from_batches(_solve(k, pivots, radius, asked, rows), found)
+    met = asked.groupBy("bundle", "part").cogroup(rows.groupBy("bundle", "part")).applyInArrow(solve, "query_id long, vec_id long, score long")
+    return V.top(met, k, ascending=False)

@@ -103,6 +103,57 @@ def test_inner_products_are_exact(spark, data, monkeypatch, chunk, block):
     assert got == sorted(want)
 
 
+def best(x, ids):
+    """query_id, rank, vec_id and score by all inner products, of rows of which the least vector of an id counts."""
+    v = {}
+    for i, r in sorted(zip(ids, x.tolist(), strict=True), reverse=True):
+        v[int(i)] = np.floor(256 * np.array(r)).astype(np.int64)
+    want = []
+    for q in v:
+        if q % 50 == 0:
+            rows = sorted((-int(v[q] @ y), i) for i, y in v.items() if i != q)[:5]
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(rows)]
+    return sorted(want)
+
+
+@pytest.mark.parametrize("rows", [1, 7, 400])
+def test_bundles_and_parts_that_meet_do_not_change_the_best(spark, data, monkeypatch, rows):
+    """One vector takes a third of the table, so one cell and one group fill many parts and bundles; some rows come twice."""
+    x, ids = data[0][:600].copy(), data[1][:600].copy()
+    x[::3] = x[1]
+    ids[-20:] = ids[:20]
+    monkeypatch.setattr(knn_join, "MEET", 8 * 16 * rows)
+    monkeypatch.setattr(knn_join.V, "BLOCK", 2)
+    got = sorted(map(tuple, knn_join.top_inner_products(table(spark, x, ids), F.col("vec_id") % 50 == 0).collect()))
+    assert got == best(x, ids)
+
+
+def shuffled(df):
+    """Bytes of rows in the shuffles of the plan that ran."""
+    total, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        name = p.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(p.executedPlan())
+        elif "QueryStage" in name:
+            todo.append(p.plan())
+        elif name != "ReusedExchange":
+            children = p.children()
+            todo += [children.apply(i) for i in range(children.size())]
+            if name == "Exchange":
+                total += p.metrics().apply("dataSize").value()
+    return total
+
+
+def test_vectors_are_sent_once_to_queries_that_fit_a_bundle(spark):
+    """No cell can be left out here, so each meets the queries of every group."""
+    x = np.random.default_rng(3).normal(size=(4000, 64))
+    df = knn_join.top_inner_products(table(spark, x), F.col("vec_id") % 50 == 0)
+    assert len(df.collect()) == 400
+    assert shuffled(df) < 2 * 8 * x.size
+
+
 def test_sums_beyond_doubles_are_integers():
     a, b = np.array([[2.0**27, 1.0]]), np.array([[2.0**27, 1.0]])
     assert knn_join._inner(a, b)[0, 0] == 2**54 + 1
