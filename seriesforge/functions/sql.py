@@ -34,6 +34,8 @@ from ..operators import changepoint, matching, spectral
 from .special import t_two_sided
 
 ENTITY = "entity"
+#: Elements of the sequences that are compared side by side.
+ELEMENTS = 1 << 17
 
 
 def series_arrays(series: DataFrame) -> DataFrame:
@@ -53,15 +55,17 @@ def _numbers(x: object) -> np.ndarray | None:
 
 
 def dtw_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    def one(x, y) -> float | None:
-        if x is None or y is None or not len(x) or not len(y):
-            return None
-        x, y = (np.array([np.nan if v is None else v for v in z], float) for z in (x, y))
-        if np.isnan(x).any() or np.isnan(y).any():
-            return None
-        return float(matching.dtw(matching.normalise(x), matching.normalise(y)[None])[0])
-
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+    """Pairs of the same two lengths are compared side by side."""
+    out = np.full(len(a), np.nan)
+    sizes = pd.DataFrame([(0, 0) if x is None or y is None else (len(x), len(y)) for x, y in zip(a, b, strict=True)], columns=["a", "b"])
+    for (n, m), places in sizes[sizes.all(axis=1)].groupby(["a", "b"]).groups.items():
+        step = max(1, ELEMENTS // max(n, m))
+        for lo in range(0, len(places), step):
+            at = np.asarray(places[lo : lo + step])
+            x, y = (np.array(z.iloc[at].tolist(), float) for z in (a, b))  # None becomes NaN
+            known = ~(np.isnan(x).any(1) | np.isnan(y).any(1))
+            out[at[known]] = matching.dtw(matching.normalise(x[known]), matching.normalise(y[known]))
+    return pd.Series(out)
 
 
 def student_t_p(t: pd.Series, df: pd.Series) -> pd.Series:

@@ -19,22 +19,26 @@ def normalise(x: np.ndarray) -> np.ndarray:
 
 
 def dtw(one: np.ndarray, many: np.ndarray, limit: float = np.inf) -> np.ndarray:
-    """Distances of one sequence to each row of many: the root of the least sum of squared differences along a path. Rows whose every path passes `limit` are given up as infinite."""
+    """Distances to each row of many, of one sequence or of a row for each: the root of the least sum of squared differences along a path. Rows whose every path passes `limit` are given up as infinite."""
     out = np.full(len(many), np.inf)
     live = np.arange(len(many))
-    last = np.full((len(many), many.shape[1] + 1), np.inf)
-    last[:, 0] = 0.0
-    for x in one:
-        cost = (many[live] - x) ** 2
-        row = np.full((len(live), many.shape[1] + 1), np.inf)
-        for j in range(many.shape[1]):
-            row[:, j + 1] = cost[:, j] + np.minimum(np.minimum(last[:, j + 1], last[:, j]), row[:, j])
-        keep = row[:, 1:].min(1) <= limit**2
-        live, last = live[keep], row[keep]
-        last[:, 0] = np.inf
+    one, many = one.T, np.ascontiguousarray(many.T)  # places first: a step takes all sequences, side by side
+    last = np.full((len(many) + 1, len(live)), np.inf)
+    last[0] = 0.0
+    for i in range(len(one)):
+        cost = (many - one[i]) ** 2
+        row = np.full((len(many) + 1, len(live)), np.inf)
+        for j in range(len(many)):
+            row[j + 1] = cost[j] + np.minimum(np.minimum(last[j + 1], last[j]), row[j])
+        keep = row[1:].min(0) <= limit**2
+        if not keep.all():
+            live, row, many = live[keep], row[:, keep], many[:, keep]
+            one = one[:, keep] if one.ndim > 1 else one
+        last = row
+        last[0] = np.inf
         if not len(live):
             return out
-    out[live] = np.sqrt(last[:, -1])
+    out[live] = np.sqrt(last[-1])
     return out
 
 

@@ -86,6 +86,16 @@ def test_dtw_like_the_plain_table(a, many):
     assert (got[want <= limit - 1e-6] == pytest.approx(want[want <= limit - 1e-6])) and M.normalise(np.ones((2, 4))).sum() == 0
 
 
+def test_dtw_of_pairs_is_that_of_one_by_one():
+    r = np.random.default_rng(9)
+    one, many = r.normal(size=(40, 7)), r.normal(size=(40, 5))
+    want = np.array([slow_dtw(a, b) for a, b in zip(one, many, strict=True)])
+    assert M.dtw(one, many) == pytest.approx(want)
+    limit = float(np.median(want)) + 1e-9
+    got = M.dtw(one, many, limit)
+    assert got[want <= limit] == pytest.approx(want[want <= limit]) and np.isinf(got).any() and (want[np.isinf(got)] > limit).all()
+
+
 def test_hmm_separates_regimes_and_climbs():
     r = np.random.default_rng(42)
     x = np.concatenate([r.normal(0.02, 0.01, 120), r.normal(-0.015, 0.03, 120), r.normal(0.02, 0.01, 120)])[:, None]

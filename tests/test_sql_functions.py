@@ -1,8 +1,11 @@
 import math
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from seriesforge.functions import sql
+from seriesforge.operators import matching
 
 
 @pytest.fixture
@@ -22,6 +25,23 @@ def test_distance_of_shifted_and_missing_sequences(registered):
     assert same == pytest.approx(0, abs=1e-9) and nothing == [None, None, None]
 
 
+@pytest.mark.parametrize("elements", [1, 20, 1 << 17])
+def test_distances_of_a_batch_are_those_of_its_pairs(monkeypatch, elements):
+    r = np.random.default_rng(4)
+    a = [r.normal(size=n) for n in (6, 6, 3, 6, 1, 6)] * 5
+    b = [r.normal(size=n) for n in (4, 4, 4, 4, 2, 4)] * 5
+    a[3], b[7], a[9], a[13], b[19] = None, None, np.array([]), np.array([1.0, None] + [2.0] * 4, object), np.ones(4)
+    want = [matching.dtw(matching.normalise(x), matching.normalise(y)[None])[0] if x is not None and y is not None and len(x) and x.dtype == float else None for x, y in zip(a, b, strict=True)]
+    calls = []
+    dtw = matching.dtw
+    monkeypatch.setattr(matching, "dtw", lambda x, y: calls.append(len(y)) or dtw(x, y))
+    monkeypatch.setattr(sql, "ELEMENTS", elements)
+    got = sql.dtw_distance(pd.Series(a), pd.Series(b, index=range(5, 35)))
+    assert [None if math.isnan(x) else x for x in got] == want and got.isna().sum() == 4
+    assert sum(calls) == 26 and (elements < 1 << 17 or len(calls) == 3)  # once for each pair of lengths
+    assert sql.dtw_distance(pd.Series([None]), pd.Series([None])).isna().all() and not len(sql.dtw_distance(pd.Series([], dtype=object), pd.Series([], dtype=object)))
+
+
 def test_table_functions_join_laterally(registered):
     df = registered.createDataFrame([("a", [float(i % 7 == 0) * 3 for i in range(140)]), ("b", [0.0] * 60 + [9.0] * 60), ("none", None), ("short", [1.0])], "entity string, x array<double>")
     cycles = registered.sql("SELECT s.entity, c.* FROM {df} s, LATERAL cycles(s.x, 0.1, 0.5) c", df=df).collect()
