@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from ..operators import changepoint, matching, spectral
-from .special import t_two_sided
+from .special import t_two_sided_each
 
 ENTITY = "entity"
 #: Elements of the sequences that are compared side by side.
@@ -69,7 +69,7 @@ def dtw_distance(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def student_t_p(t: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series([None if pd.isna(x) or pd.isna(n) else t_two_sided(float(x), float(n)) for x, n in zip(t, df, strict=True)], dtype="float64")
+    return pd.Series(t_two_sided_each(t.to_numpy(float), df.to_numpy(float)), t.index)
 
 
 def student_t_sf(t: pd.Series, df: pd.Series) -> pd.Series:

@@ -67,6 +67,15 @@ def test_breaks_are_found():
     assert CP.cusum(shift())
 
 
+def test_p_values_side_by_side_are_those_of_one_by_one():
+    t = np.array([0.0, -0.0, 1e-300, 1e-8, 0.3, 1, 2.5, -4, 37, 1e5, 1e160, 1e300, math.inf, -math.inf, math.nan])
+    df = np.array([math.nan, -1, 0, 1e-9, 0.5, 1, 2, 3, 7.5, 100, 1e6, 1e12, 1e200, math.inf])
+    t, df = (v.ravel() for v in np.meshgrid(t, df))
+    want = np.array([special.t_two_sided(float(x), float(n)) for x, n in zip(t, df, strict=True)])
+    assert special.t_two_sided_each(t, df) == pytest.approx(want, rel=1e-12, abs=0, nan_ok=True)
+    assert not len(special.t_two_sided_each(np.zeros(0), np.zeros(0)))
+
+
 def slow_dtw(a, b):
     d = np.full((len(a) + 1, len(b) + 1), np.inf)
     d[0, 0] = 0

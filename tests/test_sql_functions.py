@@ -1,11 +1,14 @@
 import math
+from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from seriesforge.functions import sql
+from seriesforge.functions import special, sql
 from seriesforge.operators import matching
+from seriesforge.plans import all_queries
 
 
 @pytest.fixture
@@ -19,6 +22,34 @@ def test_student_like_known_values(registered):
     assert [round(x, 3) for x in rows[:4]] == [0.05, 0.025, 0.975, 0.5] and rows[4] is None
 
 
+def test_rows_of_one_file_are_dealt_out_before_the_p_values(spark, tmp_path):
+    """One file with one group of rows, a third of them with a missing key, a third with one key; some rows come twice, some lack values."""
+    n = 6000
+    part = pd.DataFrame({"p_partkey": pd.array([None if i % 3 == 0 else 7 if i % 3 == 1 else i for i in range(n)], "Int64"), "p_size": pd.array([None if i % 50 == 0 else i % 40 for i in range(n)], "Int32"), "p_retailprice": [math.nan if i % 70 == 0 else 900 + i % 977 * 1.5 for i in range(n)]})
+    part = pd.concat([part, part[:500]])
+    part.to_parquet(tmp_path / "part.parquet")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = all_queries()[0]["sql_student"](spark, str(tmp_path)).withColumn("task", F.spark_partition_id())
+        rows = df.toPandas()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    sizes = rows.groupby("task").size()
+    assert len(sizes) == 4 and sizes.max() < 1.3 * sizes.mean()
+
+    def one(key, size, price):
+        if pd.isna(size) or math.isnan(price):
+            return key, None, None
+        t = (price - 1500) / 200
+        p = special.t_two_sided(t, size + 2.0)
+        return key, round(p, 6), round(p / 2 if t >= 0 else 1 - p / 2, 6)
+
+    plain = lambda r: tuple(None if pd.isna(v) else v for v in r)
+    got, want = (Counter(map(plain, x)) for x in (rows[["p_partkey", "p", "sf"]].itertuples(index=False), (one(*r) for r in part[["p_partkey", "p_size", "p_retailprice"]].itertuples(index=False))))
+    assert got == want
+
+
 def test_distance_of_shifted_and_missing_sequences(registered):
     text = "SELECT dtw_distance(array(1D, 2D, 3D, 2D), array(10D, 20D, 30D, 20D)), dtw_distance(array(1D), CAST(NULL AS array<double>)), dtw_distance(array(1D, NULL), array(1D, 2D)), dtw_distance(array(), array(1D))"
     same, *nothing = registered.sql(text).first()
