@@ -1,6 +1,7 @@
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,6 +129,22 @@ def test_bundles_and_parts_that_meet_do_not_change_the_best(spark, data, monkeyp
     assert got == best(x, ids)
 
 
+def test_rows_that_gain_nothing_reach_no_list(monkeypatch):
+    x = np.floor(256 * np.random.default_rng(5).normal(size=(500, 8)))
+    scores = x[:3] @ x.T
+    scores[np.arange(3), np.arange(3)] = -np.inf
+    floor = np.sort(scores, axis=1)[:, -4]  # better than the two best need, so four rows a query pass, its own aside
+    lists = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, 8, dtype=np.int32)), pa.array(m.ravel()))
+    whole = lambda a: pa.ListArray.from_arrays(pa.array([0, 3], pa.int32()), a)
+    asked = pa.table({"q_vec_id": whole(pa.array(np.arange(3))), "q_embedding": whole(lists(x[:3])), "q_kth": whole(pa.array(floor))})
+    rows = pa.table({"cell": pa.array(np.arange(500) % 2, pa.int32()), "vec_id": pa.array(np.arange(500)), "embedding": lists(x)})
+    seen, add = [], knn_join.V.Lists.add
+    monkeypatch.setattr(knn_join.V.Lists, "add", lambda self, rows, ids, scores: seen.append(len(ids)) or add(self, rows, ids, scores))
+    found = pa.Table.from_batches(knn_join._solve(2, x[:2], np.array([1e9, 1e9]), asked, rows)).to_pydict()
+    want = {(i, int(j), int(scores[i, j])) for i in range(3) for j in np.argsort(-scores[i])[:2]}
+    assert set(zip(*found.values(), strict=True)) == want and sum(seen) <= 3 * (4 + 1)
+
+
 def shuffled(df):
     """Bytes of rows in the shuffles of the plan that ran."""
     total, todo = 0, [df._jdf.queryExecution().executedPlan()]
